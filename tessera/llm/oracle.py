@@ -8,7 +8,7 @@ SPACED = r"[^\x20\x09-\x0D]+"
 def near_dedup(source: str = "documents", threshold: int = 85, k: int = 5) -> str:
     return rf"""
 WITH RECURSIVE src AS (SELECT doc_id, regexp_extract_all({FOLDED}, '{SPACED}') AS ws FROM {source}),
-sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k - 2}), i -> array_to_string(ws[i:i + {k - 1}], ' '))
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))
                                         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM src),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
