@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
@@ -131,3 +132,46 @@ def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def add_columns(docs: DataFrame, text: str, keep: list[str], schema: str, compute) -> DataFrame:
+    """``keep`` columns of ``docs`` plus those of ``schema``, which ``compute(texts)`` gives as arrays per batch.
+
+    A kept column whose name clashes with a new one gives way to it.
+    """
+    new = {f.split()[0].lower() for f in schema.split(", ")}
+    kept = [c for c in keep if c.lower() not in new]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                added = compute(batch.column(len(kept)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, *names])
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    out = ", ".join([*(f"`{c}` {types[c]}" for c in kept), schema])
+    return docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("text_in")).mapInArrow(run, out)
+
+
+def file_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder that a path or URI names."""
+    if folder.startswith("file:"):
+        folder = "file:///" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
+def commit_files(manifest: DataFrame, folder: str) -> DataFrame:
+    """Renames the files of ``manifest(temporary, file, bytes)`` to their final names; doing it again does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = file_store(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if store.get_file_info(f"{root}/{r['temporary']}").type == fs.FileType.File:
+                    store.move(f"{root}/{r['temporary']}", f"{root}/{r['file']}")
+                if store.get_file_info(f"{root}/{r['file']}").size != r["bytes"]:
+                    raise OSError(f"{r['file']} is not whole")
+            yield batch
+
+    return manifest.mapInArrow(run, manifest.schema).drop("temporary")
