@@ -166,53 +166,114 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs inside buckets that still hold several components, except pairs within one component.
+def _blocks(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Pairs of blocks ``x, y`` (of ``fields``) inside buckets that hold several components.
 
-    The component of the bucket's centre is left whole: its members are compared with the other members only,
-    in blocks of about BLOCK rows, so that neither a bucket nor its pairs meet in one task.
+    The component of the bucket's centre is left whole: its members are compared with the other members only.
+    Blocks hold about BLOCK rows, so that neither a bucket nor its pairs meet in one task.
     """
-    node = labels.select(F.col("node").alias("rep"), "component")
-    m = cut(members.join(node, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
-    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = cut(mixed.where("lo <> hi").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
-    rows = m.join(mixed, "key").join(classes.select("rep", "n_shingles", "sig"), "rep")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("rest", F.col("component") != F.col("main"))
-    blocks = cut(rows.groupBy("key", "nb", "rest", "blk").agg(F.collect_list(F.struct("rep", "component", "n_shingles", "sig")).alias("rows")))
+    blocks = cut(rows.groupBy("key", "nb", "rest", "blk").agg(F.collect_list(F.struct(*fields)).alias("rows")))
     target = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.lit(False).alias("rest"), i.alias("blk")))
     own = F.transform(F.sequence(F.col("blk"), F.col("nb") - 1), lambda i: F.struct(F.lit(True).alias("rest"), i.alias("blk")))
     left = blocks.where("rest").select("key", F.col("rows").alias("x"), F.explode(F.concat(target, own)).alias("t")).select("key", "x", "t.rest", "t.blk")
-    met = left.join(blocks.select("key", "rest", "blk", F.col("rows").alias("y")), ["key", "rest", "blk"])
+    return left.join(blocks.select("key", "rest", "blk", F.col("rows").alias("y")), ["key", "rest", "blk"]).select("key", "x", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(col: pa.Array, i: int) -> tuple:
-            s = col[i].values
-            return tuple(s.field(f).to_numpy() for f in ("rep", "component", "n_shingles")) + (np.frombuffer(b"".join(s.field("sig").to_pylist()), np.uint8).reshape(-1, BINS),)
 
+def _column(column: pa.Array, i: int, field: str) -> pa.Array:
+    return column[i].values.field(field)
+
+
+def _near(x: pa.Array, y: pa.Array, i: int, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of block ``x[i]`` the rows of ``y[i]`` in another component that may reach the threshold."""
+    (ca, na), (cb, nb) = ([_column(c, i, f).to_numpy() for f in ("component", "n_shingles")] for c in (x, y))
+    sa, sb = (np.frombuffer(b"".join(_column(c, i, "sig").to_pylist()), np.uint8).reshape(-1, BINS) for c in (x, y))
+    for at in range(len(ca)):
+        j = np.flatnonzero((cb != ca[at]) & (100 * np.minimum(nb, na[at]) >= threshold * np.maximum(nb, na[at])))
+        if len(j):
+            j = j[(sb[j] == sa[at]).mean(1) >= threshold / 100 - SLACK]
+        if len(j):
+            yield at, j
+
+
+def _across_small(rows: DataFrame, threshold: int) -> DataFrame:
+    """Likely pairs across the components of buckets of one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, (x, y) = [], batch.columns
             for i in range(batch.num_rows):
-                (ra, ca, na, sa), (rb, cb, nb, sb) = side(batch.column(0), i), side(batch.column(1), i)
-                for at in range(len(ra)):
-                    near = (cb != ca[at]) & (100 * np.minimum(nb, na[at]) >= threshold * np.maximum(nb, na[at]))
-                    j = np.flatnonzero(near)
-                    if len(j):
-                        j = j[(sb[j] == sa[at]).mean(1) >= threshold / 100 - SLACK]
-                        found += [np.stack([np.minimum(rb[j], ra[at]), np.maximum(rb[j], ra[at])])]
+                ra, rb = (_column(c, i, "rep").to_numpy() for c in (x, y))
+                found += [np.stack([np.minimum(rb[j], ra[at]), np.maximum(rb[j], ra[at])]) for at, j in _near(x, y, i, threshold)]
             a, b = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    met = _blocks(rows, ["rep", "component", "n_shingles", "sig"])
     return met.select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _across_large(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links across the components of larger buckets.
+
+    The full sets come along and pairs are confirmed where the blocks meet, in the first band that two classes
+    share; a pair whose classes this task has linked already isn't tried, so that at most as many links leave it
+    as classes came.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, (keys, x, y) = [], batch.columns
+            for i, key in enumerate(keys.to_numpy()):
+                up: dict[int, int] = {}
+
+                def root(v: int, up: dict[int, int] = up) -> int:
+                    while (w := up.setdefault(v, v)) != v:
+                        up[v] = v = up[w]
+                    return v
+
+                (ra, ca), (rb, cb) = ([_column(c, i, f).to_numpy() for f in ("rep", "component")] for c in (x, y))
+                ba, bb = (np.stack([b.values.to_numpy() for b in _column(c, i, "bands")]) for c in (x, y))
+                sa, sb = ([np.frombuffer(s.as_buffer(), np.uint64) for s in _column(c, i, "shingles")] for c in (x, y))
+                for at, near in _near(x, y, i, threshold):
+                    shared = bb[near] == ba[at]
+                    for j in near[ba[at][shared.argmax(1)] == key]:
+                        a, b = root(int(ca[at])), root(int(cb[j]))
+                        if a == b:
+                            continue
+                        both = len(np.intersect1d(sa[at], sb[j], assume_unique=True))
+                        if 100 * both >= threshold * (len(sa[at]) + len(sb[j]) - both):
+                            up[a] = b
+                            found.append((int(ra[at]), int(rb[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    met = _blocks(rows, ["rep", "component", "n_shingles", "sig", "bands", "shingles"])
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, star: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
+    """The links inside buckets that still hold several components, except those within one component."""
+    node = labels.select(F.col("node").alias("rep"), "component")
+    m = cut(members.join(node, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = cut(mixed.where("lo <> hi").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
+    rows = cut(m.join(mixed, "key"))
+    small = rows.where("nb = 1").join(classes.select("rep", "n_shingles", "sig"), "rep")
+    links = confirmed(cut(_across_small(small, threshold).join(star, ["a", "b"], "left_anti")), docs, threshold, k)
+    large = rows.where("nb > 1")
+    if large.isEmpty():
+        return links
+    sets = cut(shingle_table(docs, large.select(F.col("rep").alias("id")), k)).withColumnRenamed("id", "rep")
+    large = large.join(classes.select("rep", "n_shingles", "sig", "bands"), "rep").join(sets, "rep")
+    return links.union(_across_large(large, threshold))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 85, k: int = 5) -> DataFrame:
     """Groups of documents with 100 * intersection >= threshold * union of their ``k``-word shingle sets.
 
     Rows with one and the same set form a class, kept as its smallest doc_id.  Classes meet in banded buckets;
     in each bucket every class is a candidate of the smallest one only (a star), and a candidate counts after
-    a check on the full sets.  Where a bucket then still holds several components, the pairs across them are
-    tried as well, so that no link between two classes of a bucket is lost, and a large group never forms all
-    its pairs.
+    a check on the full sets.  Where a bucket then still holds several components, the classes of different
+    components are compared as well, in blocks, so that no link between two classes of a bucket is lost.
 
     Returns per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
     Null or wordless text: an empty set, linked with nothing.  Null doc_id: takes no part, component_id null,
@@ -231,9 +292,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, k: int = 5) -> DataFra
     members = cut(rows.join(shared, "key"))
     star = cut(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(confirmed(cut(_likely(star, classes, threshold)), docs, threshold, k))
-    across = cut(_across(members.select("key", "rep"), classes, components(links), threshold).join(star, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        links = links.union(cut(confirmed(across, docs, threshold, k)))
+    links = links.union(cut(_across(members.select("key", "rep"), classes, components(links), star, docs, threshold, k)))
     labels = components(links)
     node = classes.select(*own, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     node = cut(node.select(*own, F.coalesce("component", "rep").alias("component")))
