@@ -18,3 +18,38 @@ reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT r.x, e.b FROM reach
 comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
 SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS component_id, s.doc_id = coalesce(c, s.doc_id) AS kept
 FROM src s LEFT JOIN sizes USING (doc_id) LEFT JOIN comp ON comp.x = s.doc_id"""
+
+
+TOP_K = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i]))::BIGINT AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+CHAT = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY pos) AS turns,
+             string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY pos) AS rendered FROM t GROUP BY conv_id),
+g AS (SELECT turns::VARCHAR AS key, any_value(turns) AS turns, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n) AS n_turns FROM c GROUP BY turns::VARCHAR),
+p AS (SELECT DISTINCT unnest(list_transform(range(1, len(turns)), lambda i: turns[1:i]::VARCHAR)) AS key FROM c)
+SELECT g.conv_id, g.n_turns, g.n_copies, c.rendered FROM g JOIN c USING (conv_id) WHERE g.key NOT IN (SELECT key FROM p)"""
+
+
+def decontaminate(source: str = "documents", k: int = 10) -> str:
+    words = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT doc_id, {words} AS ws FROM {source}),
+i AS (SELECT item_id::VARCHAR AS item_id, {words} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda j: array_to_string(ws[j:j + n - 1], ' '))) AS g
+      FROM (SELECT *, least({k}, len(ws)) AS n FROM i) WHERE n > 0),
+sizes AS (SELECT DISTINCT n FROM w),
+dw AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS pos, unnest(list_transform(range(1, len(ws) - n + 2), lambda j: array_to_string(ws[j:j + n - 1], ' '))) AS g
+       FROM d, sizes WHERE len(ws) >= n),
+hits AS (SELECT doc_id, pos, dw.n, item_id FROM dw JOIN w ON dw.g = w.g AND dw.n = w.n),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM (SELECT DISTINCT doc_id, pos, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""

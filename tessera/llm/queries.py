@@ -2,27 +2,82 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import oracle
+from tessera.llm.chat import chat_format
+from tessera.llm.common import shared_dir
+from tessera.llm.decontaminate import contamination
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.pieces import encode
+from tessera.llm.secrets import KINDS, secret_spans, written
+from tessera.llm.top_k import top_k
+from tessera.llm.toxicity import toxicity
+from tessera.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Where tokenizer files lie; they are never copied.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder, blocks=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85, k=5)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    sha = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter(F.transform("base_spans", lambda s: s["kind"]), F.lit(kind).eqNullSafe)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return rows.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    found = (op1_warc, op2_exact_top_k, op4_chat_format, op5_minhash_near_dedup, op6_decontaminate, op7_sentencepiece, op8_toxicity, op10_secret_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": oracle.near_dedup()}
+    return {
+        "op2_exact_top_k": oracle.TOP_K,
+        "op4_chat_format": oracle.CHAT,
+        "op5_minhash_near_dedup": oracle.near_dedup(),
+        "op6_decontaminate": oracle.decontaminate(),
+    }

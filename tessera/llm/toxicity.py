@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Buckets of the term hash, labelled texts to fit on (about), and buckets kept for the model.
 BUCKETS, SAMPLE, TERMS = 1 << 20, 20_000, 512
-#: A bucket is kept if so many texts of the sample hold it.
-LEAST_TEXTS = 5
+#: A bucket is kept if so many texts, and such a share, of the sample hold it and its chi-squared is that high
+#: (chance: 8e-6).  The share keeps words of a single group of copies out, whose labels go wrong together.
+LEAST_TEXTS, LEAST_SHARE, LEAST_CHI = 5, 0.01, 20.0
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
@@ -27,14 +28,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 
     About ``sample`` labelled documents, chosen by a hash of their id, are read (all, if fewer).  Of their
     hashed terms the ``terms`` with the highest chi-squared against the label are the model's inputs; pairs of
-    them interact through ``factors`` factors.  Null ids and null labels are left out, a document with several
+    them interact through ``factors`` factors.  Of equal texts one counts.  Null ids and null labels are left out, a document with several
     labels counts with the largest.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    train = with_terms(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).select("label", "terms").repartition(8).cache()
+    train = with_terms(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).select("label", "terms", F.xxhash64("text").alias("same"))
+    train = train.dropDuplicates(["same"]).repartition(8).cache()
     try:
         totals = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("t")).first()
         if not 0 < totals.t < totals.n:
@@ -42,10 +44,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         per = train.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
         share = totals.t / totals.n
         chi = (F.col("t") - F.col("n") * share) ** 2 / (F.col("n") * share * (1 - share) * (1 - F.col("n") / (totals.n + 1)))
-        kept = per.where(F.col("n") >= min(LEAST_TEXTS, max(1, totals.n // 100))).orderBy(chi.desc(), "term").limit(terms)
+        kept = per.where((F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * totals.n)) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms)
         vocabulary = sorted(r.term for r in kept.collect()) or ["none"]
         vectors = CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features").setBinary(True)
-        fm = FMClassifier(factorSize=factors, regParam=1e-3, maxIter=150, stepSize=0.05, solver="adamW", seed=seed)
+        fm = FMClassifier(factorSize=factors, regParam=1e-4, maxIter=300, stepSize=0.1, solver="adamW", seed=seed)
         return PipelineModel([vectors, fm.fit(vectors.transform(train))])
     finally:
         train.unpersist()

@@ -143,7 +143,7 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, file_by
     schema = "page_id long, url string, payload binary, key string, refers_to long, mark int"
     both = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("key"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("mark"))
     both = both.unionByName(marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "key", "refers_to", F.lit(0).alias("mark")))
-    dealt = both.mapInArrow(shard_of, schema + ", shard int").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "key", "mark", "url")
+    dealt = both.mapInArrow(shard_of, schema + ", shard int").repartition("shard").sortWithinPartitions("shard", "page_id", "key", "mark", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, now, mark, first = Roll(folder, file_bytes, uuid.uuid4().hex), None, None, True
