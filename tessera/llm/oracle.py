@@ -53,3 +53,15 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def substring_dedup(source: str = "documents", k: int = 13) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM {source}),
+w AS (SELECT r, doc_id, unnest(range(1, len(ws) - {k - 2})) AS pos, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda j: md5(array_to_string(ws[j:j + {k - 1}], ' ')))) AS g FROM d WHERE len(ws) >= {k}),
+f AS (SELECT g, min(doc_id) AS lo FROM w GROUP BY g),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(pos, pos + {k})) AS p FROM w JOIN f USING (g) WHERE lo < doc_id) GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM d) u
+         WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(ps) AS p FROM gone) q WHERE q.r = u.r AND q.p = u.p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""

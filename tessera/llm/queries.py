@@ -15,6 +15,7 @@ from tessera.llm.decontaminate import contamination
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import encode
 from tessera.llm.secrets import KINDS, secret_spans, written
+from tessera.llm.substring import remove_repeats
 from tessera.llm.top_k import top_k
 from tessera.llm.toxicity import toxicity
 from tessera.llm.warc import read_warc, write_warc
@@ -63,6 +64,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), k=13, texts=False).drop("kept")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter(F.transform("base_spans", lambda s: s["kind"]), F.lit(kind).eqNullSafe)).cast("long").alias(f"n_{kind}") for kind in KINDS]
@@ -70,7 +75,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_warc, op2_exact_top_k, op4_chat_format, op5_minhash_near_dedup, op6_decontaminate, op7_sentencepiece, op8_toxicity, op10_secret_scan)
+    found = (op1_warc, op2_exact_top_k, op4_chat_format, op5_minhash_near_dedup, op6_decontaminate, op7_sentencepiece, op8_toxicity, op9_substring_dedup, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
@@ -80,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": oracle.CHAT,
         "op5_minhash_near_dedup": oracle.near_dedup(),
         "op6_decontaminate": oracle.decontaminate(),
+        "op9_substring_dedup": oracle.substring_dedup(),
     }
