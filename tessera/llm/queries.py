@@ -18,6 +18,7 @@ from tessera.llm.secrets import KINDS, secret_spans, written
 from tessera.llm.substring import remove_repeats
 from tessera.llm.top_k import top_k
 from tessera.llm.toxicity import toxicity
+from tessera.llm.training_order import read_training_order, write_training_order
 from tessera.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,12 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_training_order(encode(table(spark, sf_dir, "documents"), PIECE_MODEL), folder, key="epoch-0")
+    return read_training_order(spark, folder).withColumn("tokens", F.sha2(F.array_join("tokens", ","), 256)).withColumnRenamed("tokens", "tokens_sha256")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
@@ -75,7 +82,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_warc, op2_exact_top_k, op4_chat_format, op5_minhash_near_dedup, op6_decontaminate, op7_sentencepiece, op8_toxicity, op9_substring_dedup, op10_secret_scan)
+    found = (op1_warc, op2_exact_top_k, op3_training_order, op4_chat_format, op5_minhash_near_dedup, op6_decontaminate, op7_sentencepiece, op8_toxicity, op9_substring_dedup, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
