@@ -56,8 +56,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def text_steps(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields ``(first row, bytes, offsets)`` in steps of about STEP_BYTES; a null is an empty text."""
+def text_steps(column: pa.Array | pa.ChunkedArray, size: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yields ``(first row, bytes, offsets)`` in steps of about ``size`` bytes; a null is an empty text."""
     for chunk, base in _chunks(column):
         chunk = chunk.cast(pa.large_binary())
         _, offsets, data = chunk.buffers()
@@ -65,7 +65,7 @@ def text_steps(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nda
         raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         i = 0
         while i < len(chunk):
-            j = max(i + 1, int(np.searchsorted(off, off[i] + STEP_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
             j = min(j, len(chunk))
             yield base + i, raw[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j

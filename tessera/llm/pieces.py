@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -11,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, text_steps, word_hashes
 
 #: Code points from which a text is giant, and of its chunks; chunks joined to one group of the scan.
 GIANT, CHUNK, GROUP = 65_536, 16_384, 256
-#: Words remembered by a worker.
-MEMORY = 400_000
+#: Words remembered by a worker; bytes of text encoded at once.
+MEMORY, STEP = 1_500_000, 4 << 20
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 NEVER = -np.inf
 
 
@@ -46,7 +44,7 @@ class Pieces:
         self.inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         spec.normalizer_spec.add_dummy_prefix = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.memory: dict[str, list[int]] = {}
+        self.words = WordIds(self)
         self.fits: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -55,16 +53,7 @@ class Pieces:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """No piece goes from another character on to a space, so that each word is encoded once and remembered."""
-        if self.inner:
-            return self.plain.encode([self.prepared(t) for t in texts], num_threads=1)
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        words = [WORD.findall(self.prepared(t)) for t in texts]
-        new = list(set(chain.from_iterable(words)) - self.memory.keys())
-        self.memory.update(zip(new, self.plain.encode(new, num_threads=1), strict=True))
-        of = self.memory.__getitem__
-        return [list(chain.from_iterable(map(of, w))) for w in words]
+        return self.plain.encode([self.prepared(t) for t in texts], num_threads=1)
 
     def decode(self, ids: list[int]) -> str:
         """Byte pieces are joined to UTF-8 text; bytes that aren't UTF-8 become U+FFFD; the dummy prefix goes."""
@@ -235,6 +224,67 @@ def through(matrices: list[np.ndarray], entry: int, leave: int) -> list[tuple[in
     return list(zip(states[:-1], states[1:], strict=True))
 
 
+class WordIds:
+    """Ids of words, each encoded once and remembered by hash.
+
+    No piece goes on from another character to a space, so a text's ids are those of its words: runs of spaces
+    and what follows them.
+    """
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.count, self.same, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = self.pieces.plain.encode(words, num_threads=1)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin = len(self.flat) + np.cumsum(count) - count
+        same = np.array([d == w for d, w in zip(self.pieces.plain.decode(ids), words, strict=True)], bool)
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
+        place = np.arange(len(self.begin), len(self.begin) + len(words))
+        self.begin, self.count, self.same = np.concatenate([self.begin, begin]), np.concatenate([self.count, count]), np.concatenate([self.same, same])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, place)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, ends of the texts' ids (one more in front), and whether each text comes back."""
+        n, size = len(off) - 1, np.diff(off)
+        text = np.full(len(data) + n, 0x20, np.uint8)
+        text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), size)] = data
+        first = off[:-1] + np.arange(n)
+        space = text == 0x20
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[first] = size > 0
+        if (empty := first[size == 0]).size:
+            after = np.setdiff1d(empty + 1, first)
+            start[after[after < len(text)]] |= space[after[after < len(text)]]
+        starts = np.flatnonzero(start)
+        stop = np.append(starts[1:], len(text))
+        doc = np.searchsorted(first, starts, "right") - 1
+        stop = np.minimum(stop, first[doc] + size[doc] + 1)
+        hashes = word_hashes(text, starts, stop)
+        distinct, where, of = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > MEMORY:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if new.any():
+            raw = text.tobytes()
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), stop[where[new]].tolist(), strict=True)])
+        word = self.place[np.searchsorted(self.hashes, distinct)][of]
+        count = self.count[word]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        flat = self.flat[np.arange(int(ends[-1])) - np.repeat(ends[:-1], count) + np.repeat(self.begin[word], count)]
+        edge = np.searchsorted(doc, np.arange(n + 1))
+        bad = np.concatenate([[0], np.cumsum(~self.same[word])])
+        return flat, ends[edge], bad[edge[1:]] == bad[edge[:-1]]
+
+
 _LOADED: dict[bytes, Pieces] = {}
 
 
@@ -260,12 +310,17 @@ def _ordinary(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model.value)
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                ids = p.encode(texts)
-                same = [p.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                added = [pa.array(map(len, ids), pa.int64()), _lists(ids, pa.int32()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=[*part.schema.names[:-1], "n_tokens", "ids", "round_trip"])
+            texts = batch.column(batch.num_columns - 1)
+            for base, data, off in text_steps(texts, STEP):
+                n = len(off) - 1
+                if p.inner or SPACE.encode() in data.tobytes():
+                    own = [t or "" for t in texts.slice(base, n).to_pylist()]
+                    ids = p.encode(own)
+                    added = [pa.array(map(len, ids), pa.int64()), _lists(ids, pa.int32()), pa.array([p.decode(x) == t for x, t in zip(ids, own, strict=True)])]
+                else:
+                    flat, ends, same = p.words.encode(data, off)
+                    added = [pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(same)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(base, n) for c in batch.columns[:-1]), *added], names=[*batch.schema.names[:-1], "n_tokens", "ids", "round_trip"])
 
     return run
 
