@@ -120,16 +120,15 @@ def join_vectors_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecs.join(docs, (F.col("vec_id") == F.col("doc_id")) & (F.col("h") == F.col("g"))).select("vec_id", "label", "doc_id")
 
 
-@query("""WITH o AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 7)
-SELECT doc_id, 'novel' AS change FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o) UNION ALL SELECT doc_id, 'removed' FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)""")
+@query("""SELECT doc_id, 'novel' AS change FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'removed' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT doc_id, 'duplicate' FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1 UNION SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1)""")
 def join_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return J.snapshot_diff(docs.where("doc_id % 10 <> 3"), docs.where("doc_id % 10 <> 7"), "doc_id")
+    return J.snapshot_diff(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("""SELECT l_suppkey, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) END AS l_linestatus, min(l_linestatus) <> max(l_linestatus) AS conflicting FROM lineitem WHERE l_quantity > 48 GROUP BY l_suppkey""")
+@query("""SELECT l_orderkey, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) END AS l_linestatus, min(l_linestatus) <> max(l_linestatus) AS conflicting FROM lineitem GROUP BY l_orderkey""")
 def join_consistent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.consistent_lookup(table(spark, sf_dir, "lineitem").where("l_quantity > 48"), "l_suppkey", "l_linestatus")
+    return J.consistent_lookup(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linestatus")
 
 
 @query("""SELECT d.doc_id, coalesce(l.quality, (n_chars > 1500)::INTEGER) AS quality, l.quality IS NOT NULL AS overridden FROM documents d LEFT JOIN labels l USING (doc_id)""")
@@ -139,39 +138,37 @@ def join_reviewed_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, concat_ws(',', CASE WHEN c_custkey IS NULL THEN 'unknown_customer' END, CASE WHEN p_partkey IS NULL THEN 'unknown_part' END) AS faults FROM events
-LEFT JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON user_id = c_custkey LEFT JOIN (SELECT DISTINCT p_partkey FROM part) ON event_id = p_partkey""")
+LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) ON user_id = c_custkey LEFT JOIN (SELECT DISTINCT p_partkey FROM part) ON event_id = p_partkey""")
 def join_reference_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("customer_id", F.col("user_id")).withColumn("part_id", F.col("event_id"))
-    known, flags = [("customer", table(spark, sf_dir, "customer").where("c_custkey % 3 = 0"), "c_custkey", "customer_id"), ("part", table(spark, sf_dir, "part"), "p_partkey", "part_id")], []
+    known, flags = [("customer", table(spark, sf_dir, "customer"), "c_custkey", "customer_id"), ("part", table(spark, sf_dir, "part"), "p_partkey", "part_id")], []
     for name, parent, key, ref in known:
         events = events.join(parent.select(F.col(key).alias(name)).distinct(), F.col(ref) == F.col(name), "left")
         flags.append((F.col(name).isNotNull(), f"unknown_{name}"))
     return events.select("event_id", F.array_join(P.reasons(flags), ",").alias("faults"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id AS a, 1000000 + (event_id % 400) AS b FROM events WHERE value > 90), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS a, 1000000000 + n_chars AS b FROM documents), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS x, a AS y FROM w UNION SELECT r.x, w.b FROM r JOIN w ON r.y = w.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def join_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    e = table(spark, sf_dir, "events").where("value > 90").select(F.col("user_id").alias("a"), (F.lit(1000000) + F.col("event_id") % 400).alias("b"))
-    return J.connected(e)
+    return J.connected(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), (F.lit(1000000000) + F.col("n_chars")).alias("b")))
 
 
-@query("""WITH old AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL), new AS (SELECT user_id, event_type, -count(*) AS n FROM events WHERE event_id % 3 = 0 AND user_id < 60 GROUP BY ALL)
-SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.user_id = old.user_id AND new.event_type = old.event_type)""")
+@query("""WITH old AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1), new AS (SELECT user_id AS id, -count(*) AS n FROM events GROUP BY 1)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)""")
 def sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    old = e.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    new = e.where("event_id % 3 = 0 and user_id < 60").groupBy("user_id", "event_type").agg((-F.count("*")).alias("n"))
-    return J.upsert(old, new, ["user_id", "event_type"])
+    old = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    new = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg((-F.count("*")).alias("n"))
+    return J.upsert(old, new, ["id"])
 
 
-@query("""WITH x AS (SELECT *, count(DISTINCT n_chars) OVER (PARTITION BY lang, left(text, 20)) AS p, row_number() OVER (PARTITION BY lang, left(text, 20) ORDER BY doc_id) AS rn FROM documents)
+@query("""WITH x AS (SELECT *, count(DISTINCT source) OVER (PARTITION BY lang, text) AS p, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS rn FROM documents)
 SELECT doc_id, CASE WHEN p > 1 THEN 'price_conflict' WHEN rn = 1 THEN 'kept' ELSE 'duplicate' END AS outcome FROM x""")
 def join_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.substring("text", 1, 20).alias("title"))
-    return J.quarantine(rows, ["lang", "title"], "n_chars", ["doc_id"]).select("doc_id", "outcome")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("title"))
+    return J.quarantine(rows, ["lang", "title"], "source", ["doc_id"]).select("doc_id", "outcome")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS families, count(DISTINCT l_partkey) AS entities FROM lineitem GROUP BY ALL")
