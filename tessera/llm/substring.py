@@ -194,14 +194,14 @@ def _occurrences(rows: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
 def _pieces(rows: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
     """The words of every distinct passage, from its first document; a wide anchor's passages by window.
 
-    ``(hash, content, at, route, words, doc_id)``: equal windows have equal routes.
+    ``(hash, content, at, wide, route, words, doc_id)``: equal windows have equal routes.
     """
     many = distinct.groupBy("hash").count().where(F.col("count") > WIDE).select("hash", F.lit(True).alias("wide"))
     marked = distinct.join(cut(many), "hash", "left")
     wanted = marked.groupBy("first.doc_id", "first.fp").agg(F.collect_list(F.struct("first.start", "first.n", "hash", "content", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("wanted"))
     wanted = cut(wanted)
     near = _with_map(rows, _map_of(wanted.select(F.xxhash64("doc_id").alias("hash")), DOC_BITS))
-    names = ["hash", "content", "at", "route", "words", "doc_id"]
+    names = ["hash", "content", "at", "wide", "route", "words", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,15 +215,15 @@ def _pieces(rows: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
                         a = start + int(words.first[i])
                         if wide:
                             routes = signed(windows[a : a + n]).tolist()
-                            out += [(anchor, content, j, routes[j], words.h[a + j : a + j + k].tobytes(), int(ids[base + i])) for j in range(n)]
+                            out += [(anchor, content, j, True, routes[j], words.h[a + j : a + j + k].tobytes(), int(ids[base + i])) for j in range(n)]
                         else:
-                            out.append((anchor, content, 0, anchor, words.h[a : a + n + k - 1].tobytes(), int(ids[base + i])))
+                            out.append((anchor, content, 0, False, anchor, words.h[a : a + n + k - 1].tobytes(), int(ids[base + i])))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    yield _batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names)
+                    yield _batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names)
 
     joined = near.join(wanted, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
-    return joined.select("doc_id", "text", "wanted").mapInArrow(run, "hash long, content long, at int, route long, words binary, doc_id long")
+    return joined.select("doc_id", "text", "wanted").mapInArrow(run, "hash long, content long, at int, wide boolean, route long, words binary, doc_id long")
 
 
 def _with_map(rows: DataFrame, known, inside: bool = True) -> DataFrame:
@@ -240,10 +240,12 @@ def _with_map(rows: DataFrame, known, inside: bool = True) -> DataFrame:
 def _first_documents(pieces: DataFrame, k: int) -> DataFrame:
     """``(route, same, firsts)``: for every distinct piece the least document of each of its windows.
 
-    Equal pieces are one row before they meet.  The shards hold about SHARD_WORDS words; all pieces that could
-    share a window have equal routes, and so one shard.
+    Equal pieces are one row before they meet (passages are distinct already, their single windows aren't).  The
+    shards hold about SHARD_WORDS words; all pieces that could share a window have equal routes, and so one shard.
     """
-    distinct = cut(pieces.groupBy("route", "words").agg(F.min("doc_id").alias("doc_id")))
+    own = ["route", "words", "same", "doc_id"]
+    windows = cut(pieces.where("wide").groupBy("route", "words", "same").agg(F.min("doc_id").alias("doc_id")).select(*own))
+    distinct = pieces.where(~F.col("wide")).select(*own).union(windows)
     total = distinct.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     shard = F.pmod(F.xxhash64("route"), F.lit(max(1, -(-int(total) // SHARD_WORDS))))
 
@@ -257,7 +259,7 @@ def _first_documents(pieces: DataFrame, k: int) -> DataFrame:
         firsts = pa.array([automaton.matches(w, k) for w in words], pa.list_(pa.int64()))
         return pa.Table.from_arrays([table.column("route"), table.column("same"), firsts], names=["route", "same", "firsts"])
 
-    dealt = distinct.select("route", "words", "doc_id", F.xxhash64("words").alias("same"), shard.alias("shard"))
+    dealt = distinct.select(*own, shard.alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, "route long, same long, firsts array<long>")
 
 
