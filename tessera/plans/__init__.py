@@ -1,6 +1,6 @@
 """Queries over the standard tables, by family, each beside its SQL."""
 
-from tessera.plans import basics, builds, evaluation, matching, pricing, retrieval  # noqa: F401
+from tessera.plans import basics, builds, evaluation, matching, operations, pricing, retrieval  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
