@@ -65,7 +65,7 @@ def stream_idempotent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT l_suppkey, l_returnflag, median(l_extendedprice) AS med, count(*) AS n, count(DISTINCT l_partkey) AS entities FROM lineitem GROUP BY ALL HAVING count(*) >= 5)
 SELECT l_suppkey, l_returnflag, round(any_value(med), 4) AS median, any_value(m.n) AS n, any_value(m.entities) AS entities, round(median(abs(l_extendedprice - med)), 4) AS mad, round(CASE WHEN l_returnflag = 'R' THEN 1000 / any_value(med) ELSE any_value(med) END, 6) AS target
-FROM lineitem JOIN m USING (l_suppkey, l_returnflag) GROUP BY ALL""")
+FROM lineitem JOIN m USING (l_suppkey, l_returnflag) GROUP BY l_suppkey, l_returnflag""")
 def performance_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("entity", F.col("l_partkey"))
     out = G.training_rows(rows, "l_suppkey", ["l_returnflag"], "l_extendedprice", F.col("l_returnflag") == "R", 5)
