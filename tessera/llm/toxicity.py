@@ -47,7 +47,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         kept = per.where((F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * totals.n)) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms)
         vocabulary = sorted(r.term for r in kept.collect()) or ["none"]
         vectors = CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features").setBinary(True)
-        fm = FMClassifier(factorSize=factors, regParam=1e-4, maxIter=300, stepSize=0.1, solver="adamW", seed=seed)
+        fm = FMClassifier(factorSize=factors, regParam=1e-5, maxIter=100, stepSize=0.3, solver="adamW", seed=seed)
         return PipelineModel([vectors, fm.fit(vectors.transform(train))])
     finally:
         train.unpersist()
