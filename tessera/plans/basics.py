@@ -77,7 +77,7 @@ def filter_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = table(spark, sf_dir, "events")
     newest = events.agg(F.max("ts").alias("as_of"))
-    return events.join(F.broadcast(newest)).where(within_days(F.col("ts"), F.col("as_of"), 7)).select("event_id")
+    return events.join(newest).where(within_days(F.col("ts"), F.col("as_of"), 7)).select("event_id")
 
 
 @query("""SELECT o_orderkey, arg_min(l_partkey, (l_extendedprice, l_linenumber)) AS l_partkey, min(l_extendedprice) AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' GROUP BY o_orderkey""")
@@ -308,7 +308,7 @@ SELECT doc_id, round(len(list_intersect(ws, bs)) / (len(ws) + len(bs) - len(list
 def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.split(F.lower("text"), " "))
     b = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("w")).agg(F.collect_set("w").alias("bs"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).join(F.broadcast(b))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).join(b)
     return rows.select("doc_id", F.round(F.size(F.array_intersect("ws", "bs")) / F.size(F.array_union("ws", "bs")), 6).alias("jaccard"))
 
 
