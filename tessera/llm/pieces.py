@@ -15,7 +15,7 @@ from tessera.llm.common import cut, text_steps, word_hashes
 #: Code points from which a text is giant, and of its chunks; chunks joined to one group of the scan.
 GIANT, CHUNK, GROUP = 65_536, 16_384, 256
 #: Words remembered by a worker; bytes of text encoded at once.
-MEMORY, STEP = 1_500_000, 4 << 20
+MEMORY, STEP = 400_000, 2 << 20
 SPACE = "▁"
 NEVER = -np.inf
 
@@ -239,19 +239,19 @@ class WordIds:
         self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.count, self.same, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str], check: bool) -> None:
         ids = self.pieces.plain.encode(words, num_threads=1)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         begin = len(self.flat) + np.cumsum(count) - count
-        same = np.array([d == w for d, w in zip(self.pieces.plain.decode(ids), words, strict=True)], bool)
+        same = np.array([d == w for d, w in zip(self.pieces.plain.decode(ids), words, strict=True)], bool) if check else np.ones(len(words), bool)
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
         place = np.arange(len(self.begin), len(self.begin) + len(words))
         self.begin, self.count, self.same = np.concatenate([self.begin, begin]), np.concatenate([self.count, count]), np.concatenate([self.same, same])
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, place)
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids, ends of the texts' ids (one more in front), and whether each text comes back."""
+    def encode(self, data: np.ndarray, off: np.ndarray, check: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, ends of the texts' ids (one more in front), and, if asked, whether each text comes back."""
         n, size = len(off) - 1, np.diff(off)
         text = np.full(len(data) + n, 0x20, np.uint8)
         text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), size)] = data
@@ -275,7 +275,7 @@ class WordIds:
         new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
         if new.any():
             raw = text.tobytes()
-            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), stop[where[new]].tolist(), strict=True)])
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), stop[where[new]].tolist(), strict=True)], check)
         word = self.place[np.searchsorted(self.hashes, distinct)][of]
         count = self.count[word]
         ends = np.concatenate([[0], np.cumsum(count)])
@@ -306,7 +306,7 @@ def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.Array:
 ENCODED = "n_tokens bigint, ids array<int>, round_trip boolean"
 
 
-def _ordinary(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _ordinary(model, check: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model.value)
         for batch in batches:
@@ -318,8 +318,8 @@ def _ordinary(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     ids = p.encode(own)
                     added = [pa.array(map(len, ids), pa.int64()), _lists(ids, pa.int32()), pa.array([p.decode(x) == t for x, t in zip(ids, own, strict=True)])]
                 else:
-                    flat, ends, same = p.words.encode(data, off)
-                    added = [pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(same)]
+                    flat, ends, same = p.words.encode(data, off, check)
+                    added = [pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(same) if check else pa.nulls(n, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(base, n) for c in batch.columns[:-1]), *added], names=[*batch.schema.names[:-1], "n_tokens", "ids", "round_trip"])
 
     return run
@@ -410,13 +410,13 @@ def _giant(texts: DataFrame, model, chunk: int) -> DataFrame:
     return whole.select("text_key", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
-def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None, giant: int = GIANT, chunk: int = CHUNK, check: bool = True) -> DataFrame:
     """Token ids of whole texts under a SentencePiece model, and whether decoding them gives the text back.
 
     Adds to the ``keep`` columns (default: doc_id): n_tokens, ids, round_trip.  Texts below ``giant`` code
     points are encoded as one; longer ones by the parallel scan, once per distinct text.  Null and empty texts
     have no ids (round_trip: true).  A text that holds U+2581 itself decodes to spaces there (round_trip:
-    false).  Repeated rows give repeated results; an empty table gives an empty one.
+    false); without ``check`` round_trip may be null.  Repeated rows give repeated results; an empty table gives an empty one.
     """
     keep = ["doc_id"] if keep is None else keep
     keep = [c for c in keep if c.lower() not in ("n_tokens", "ids", "round_trip")]
@@ -427,7 +427,7 @@ def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None, gian
     rows = docs.select(*[docs[c] for c in keep], text.alias("text_in"))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), ENCODED])
     short = F.coalesce(F.length("text_in") < giant, F.lit(True))
-    out = rows.where(short).mapInArrow(_ordinary(model), schema)
+    out = rows.where(short).mapInArrow(_ordinary(model, check), schema)
     long = rows.where(~short).withColumn("text_key", F.sha2("text_in", 256))
     texts = cut(long.select("text_key", F.col("text_in").alias("text")).dropDuplicates(["text_key"]))
     if texts.isEmpty():

@@ -17,6 +17,8 @@ from tessera.llm.common import U, commit_files, cut, file_store, mix
 ROUNDS = 8
 #: Tokens of a sequence; bytes of a record before them: document, part, tokens in use.
 LENGTH, HEAD = 256, 16
+#: Documents cut into records at once.
+PART = 1024
 LEAST_SHARDS, SHARD_BYTES = 256, 1 << 28
 MANIFEST = "shard long, file string, temporary string, first_slot long, records long, bytes long, sha256 string"
 
@@ -63,10 +65,10 @@ def sequences(encoded: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(i, PART) for b in batches for i in range(0, b.num_rows, PART)):
             ids = batch.column(1)
             counts = np.diff(ids.offsets.to_numpy())
-            flat = ids.values.to_numpy()[ids.offsets[0].as_py() :]
+            flat = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
             if flat.max(initial=0) > 65535:
                 raise ValueError("token ids need more than 16 bits")
             parts = -(-counts // length)
