@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,26 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def add_columns(docs: DataFrame, text: str, keep: list[str], schema: str, compute) -> DataFrame:
+#: Rows of a batch that goes back to Spark.
+BACK = 2000
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in smaller batches; a worker gives its memory back at the end of each task, as it stays alive."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in run(batches):
+                for i in range(0, batch.num_rows, BACK):
+                    yield batch.slice(i, BACK)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def add_columns(docs: DataFrame, text: str, keep: list[str], schema: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """``keep`` columns of ``docs`` plus those of ``schema``, which ``compute(texts)`` gives as arrays per batch.
 
     A kept column whose name clashes with a new one gives way to it.
@@ -142,16 +162,17 @@ def add_columns(docs: DataFrame, text: str, keep: list[str], schema: str, comput
     new = {f.split()[0].lower() for f in schema.split(", ")}
     kept = [c for c in keep if c.lower() not in new]
     names = [f.split()[0] for f in schema.split(", ")]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    own = kept.index(text) if text in kept and types[text] == "string" else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                added = compute(batch.column(len(kept)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, *names])
+        for batch in (b.slice(i, BACK) for b in batches for i in range(0, b.num_rows, BACK)):
+            added = compute(batch.column(own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, *names])
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     out = ", ".join([*(f"`{c}` {types[c]}" for c in kept), schema])
-    return docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("text_in")).mapInArrow(run, out)
+    more = [] if own < len(kept) else [docs[text].cast("string").alias("text_in")]
+    return map_batches(docs.select(*[docs[c] for c in kept], *more), run, out)
 
 
 def file_store(folder: str) -> tuple[fs.FileSystem, str]:

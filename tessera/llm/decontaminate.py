@@ -106,6 +106,8 @@ class WuManber:
             bucket = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             same = keys[bucket] == key
             live, bucket = live[same], bucket[same]
+            if not len(live):
+                continue
             order = np.argsort(bucket, kind="stable")
             live, bucket = live[order], bucket[order]
             for b, lo, hi in zip(*_runs(bucket), strict=True):

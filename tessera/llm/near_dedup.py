@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_SPACE, U, cut, mix, signed, text_steps, window_hashes, word_hashes, word_spans
+from tessera.llm.common import NOT_SPACE, U, cut, map_batches, mix, signed, text_steps, window_hashes, word_hashes, word_spans
 from tessera.llm.graph import components
 
 #: Bins of the one-permutation hash, and rows of a band.  At a similarity of 0.85 a pair misses all 30 bands
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SIGNED)
 
 
 def _id_map(ids: DataFrame, spark) -> object:
@@ -122,7 +122,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     rows = rows.select("id", "text", F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("bit"))
-    return rows.mapInArrow(run, "id long, shingles binary")
+    return map_batches(rows, run, "id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, text_steps, word_hashes
+from tessera.llm.common import cut, map_batches, text_steps, word_hashes
 
 #: Code points from which a text is giant, and of its chunks; chunks joined to one group of the scan.
 GIANT, CHUNK, GROUP = 65_536, 16_384, 256
@@ -321,6 +321,7 @@ def _ordinary(model, check: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     flat, ends, same = p.words.encode(data, off, check)
                     added = [pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(same) if check else pa.nulls(n, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(base, n) for c in batch.columns[:-1]), *added], names=[*batch.schema.names[:-1], "n_tokens", "ids", "round_trip"])
+        p.words.clear()
 
     return run
 
@@ -427,7 +428,7 @@ def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None, gian
     rows = docs.select(*[docs[c] for c in keep], text.alias("text_in"))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), ENCODED])
     short = F.coalesce(F.length("text_in") < giant, F.lit(True))
-    out = rows.where(short).mapInArrow(_ordinary(model, check), schema)
+    out = map_batches(rows.where(short), _ordinary(model, check), schema)
     long = rows.where(~short).withColumn("text_key", F.sha2("text_in", 256))
     texts = cut(long.select("text_key", F.col("text_in").alias("text")).dropDuplicates(["text_key"]))
     if texts.isEmpty():

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_SPACE, U, cut, mix, signed, text_steps, window_hashes, word_hashes, word_spans
+from tessera.llm.common import NOT_SPACE, U, cut, map_batches, mix, signed, text_steps, window_hashes, word_hashes, word_spans
 
 #: Words of the gram that anchors a window: each window belongs to its gram with the least hash.
 GRAM = 5
@@ -168,7 +168,7 @@ def _repeated_anchors(rows: DataFrame, k: int) -> DataFrame:
                 doc, _, _, anchor, _ = _Words(data, off).passages(k)
                 yield _batch([signed(anchor), ids[base + doc]], ["hash", "doc_id"])
 
-    found = rows.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long")
+    found = map_batches(rows.select("doc_id", "text"), run, "hash long, doc_id long")
     return found.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
 
 
@@ -187,7 +187,7 @@ def _occurrences(rows: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
                 doc, begin, count, anchor, content = (c[keep] for c in (doc, begin, count, anchor, content))
                 yield _batch([ids[base + doc], fps[base + doc], begin - words.first[doc], count.astype(np.int32), signed(anchor), signed(content)], names)
 
-    found = rows.mapInArrow(run, f"{KEY}, start long, n int, hash long, content long")
+    found = map_batches(rows, run, f"{KEY}, start long, n int, hash long, content long")
     return found.join(anchors, "hash")
 
 
