@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, k: int) -> Data
 
     right = pairs.join(table.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     wide = table.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).join(right, "a")
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return map_batches(wide.select("a", "b", "sa", "sb"), run, "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _across_large(rows: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     met = _blocks(rows, ["rep", "component", "n_shingles", "sig", "bands", "shingles"])
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(met, run, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, star: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:

@@ -223,7 +223,7 @@ def _pieces(rows: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
                     yield _batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names)
 
     joined = near.join(wanted, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
-    return joined.select("doc_id", "text", "wanted").mapInArrow(run, "hash long, content long, at int, wide boolean, route long, words binary, doc_id long")
+    return map_batches(joined.select("doc_id", "text", "wanted"), run, "hash long, content long, at int, wide boolean, route long, words binary, doc_id long")
 
 
 def _with_map(rows: DataFrame, known, inside: bool = True) -> DataFrame:
@@ -234,7 +234,7 @@ def _with_map(rows: DataFrame, known, inside: bool = True) -> DataFrame:
             hit = _in_map(known.value, batch.column(3).to_numpy().view(np.uint64))
             yield batch.select([0, 1, 2]).filter(pa.array(hit == inside))
 
-    return rows.select("doc_id", "fp", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(run, f"{KEY}, text string")
+    return map_batches(rows.select("doc_id", "fp", "text", F.xxhash64("doc_id").alias("k")), run, f"{KEY}, text string")
 
 
 def _first_documents(pieces: DataFrame, k: int) -> DataFrame:
@@ -334,4 +334,4 @@ def remove_repeats(docs: DataFrame, k: int = 13, texts: bool = True) -> DataFram
     none = F.lit(None).cast("array<long>")
     clean = _with_map(known, near, inside=False).unionByName(rows.where("doc_id is null")).select("doc_id", "text", none.alias("hits"))
     touched = _with_map(known, near).join(hits, ["doc_id", "fp"], "left").select("doc_id", "text", "hits")
-    return clean.mapInArrow(_rewritten(k, texts), RESULT).union(touched.mapInArrow(_rewritten(k, texts), RESULT))
+    return map_batches(clean, _rewritten(k, texts), RESULT).union(map_batches(touched, _rewritten(k, texts), RESULT))
