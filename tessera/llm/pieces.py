@@ -15,7 +15,7 @@ from tessera.llm.common import cut, map_batches, text_steps, word_hashes
 #: Code points from which a text is giant, and of its chunks; chunks joined to one group of the scan.
 GIANT, CHUNK, GROUP = 65_536, 16_384, 256
 #: Words remembered by a worker; bytes of text encoded at once.
-MEMORY, STEP = 400_000, 2 << 20
+MEMORY, STEP = 150_000, 1 << 20
 SPACE = "▁"
 NEVER = -np.inf
 
