@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -148,12 +149,20 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
                 for i in range(0, batch.num_rows, BACK):
                     yield batch.slice(i, BACK)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(tidy, schema)
 
 
+def give_back() -> None:
+    """Returns free memory to the system (also the C library's, where it offers that)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def add_columns(docs: DataFrame, text: str, keep: list[str], schema: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """``keep`` columns of ``docs`` plus those of ``schema``, which ``compute(texts)`` gives as arrays per batch.
 
