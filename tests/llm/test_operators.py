@@ -305,6 +305,38 @@ def test_toxicity(spark):
     assert none.agg(F.max("score")).first()[0] == 0.0 and toxicity(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_of_rare_words(spark):
+    rng = random.Random(16)
+    rows, labels = [], []
+    for i in range(2400):
+        ws, bad = words(rng, 30, 60), i % 10 == 0
+        if bad:
+            ws[rng.randrange(30)] = f"slur{i // 10 % 20}"
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(bad)))
+    copied = " ".join(f"c{j}" for j in range(200))
+    rows += [(3000 + i, f"{copied} end{i}") for i in range(60)]
+    labels += [(3000 + i, int(i < 8)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect() if r.held_out]
+    bad = [r.predicted for r in got if r.doc_id < 3000 and r.doc_id % 10 == 0]
+    good = [r.predicted for r in got if r.doc_id >= 3000 or r.doc_id % 10]
+    assert len(bad) > 40 and sum(bad) / len(bad) > 0.9 and sum(good) / len(good) < 0.01
+
+
+def test_toxicity_of_a_pair(spark):
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([*words(rng, 20, 40), *["left"] * a, *["right"] * b])))
+        labels.append((i, int(a and b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = dict(labels)
+    got = [r for r in toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"), threshold=0.5).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in got) / len(got) > 0.95
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline as cp
 
