@@ -91,6 +91,14 @@ def test_near_duplicates(spark, docs):
     assert rows == {(None, 2, None, True), (1, 2, 1, True), (2, 0, 2, True)}
 
 
+@pytest.mark.parametrize("seed", [5106, 6389])
+def test_near_duplicates_with_unlike_bins(spark, seed):
+    rng = random.Random(seed)
+    ws = [f"w{rng.randrange(10**6)}" for _ in range(24)]
+    df = spark.createDataFrame([(1, " ".join(ws)), (2, " ".join(ws[:-3]))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()} == {(1, 1, True), (2, 1, False)}
+
+
 def test_near_duplicates_of_a_large_bucket(spark):
     rng = random.Random(3)
     base = words(rng, 60, 10_000)
