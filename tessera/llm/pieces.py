@@ -7,15 +7,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_batches, text_steps, word_hashes
+from tessera.llm.common import cut, map_batches, text_steps
 
 #: Code points from which a text is giant, and of its chunks; chunks joined to one group of the scan.
 GIANT, CHUNK, GROUP = 65_536, 16_384, 256
-#: Words remembered by a worker; bytes of text encoded at once.
-MEMORY, STEP = 150_000, 1 << 20
+#: Words remembered by a worker (some 12 MB, kept from task to task); bytes of text encoded at once.
+MEMORY, STEP = 300_000, 1 << 22
 SPACE = "▁"
 NEVER = -np.inf
 
@@ -45,6 +46,7 @@ class Pieces:
         spec.normalizer_spec.add_dummy_prefix = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         self.words = WordIds(self)
+        self.spelled: dict[str, tuple[float, list[str]]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -177,9 +179,54 @@ def _ends(p: Pieces, text: str, begin: int, end: int) -> list[list[str]]:
     return [p.ending(text, at) if at > 0 else [] for at in range(begin, min(len(text), end + p.longest - 1) + 1)]
 
 
+def word_starts(p: Pieces, text: str, begin: int, end: int) -> list[int]:
+    """Places from ``begin`` to ``end`` where a space follows another character: no piece crosses them, and no rule
+    looks across, so that every path passes through one and the same state there."""
+    found, at = [], begin
+    while not p.inner and (at := text.find(SPACE, at, end + 1)) >= 0:
+        if at > 0 and text[at - 1] != SPACE:
+            found.append(at)
+        at += 1
+    return found
+
+
+def spelled(p: Pieces, word: str) -> tuple[float, list[str]]:
+    """Score and pieces of the best path through one whole word; short words are remembered."""
+    known = p.spelled.get(word)
+    if known is None:
+        rows, _ = _forward(p, 0, len(word), (0, ""), _ends(p, word, 0, len(word)))
+        s, (score, _) = max(rows[len(word)].items(), key=lambda x: x[1][0])
+        known = score, _walk(rows, len(word), s, 0)
+        if len(word) <= 64:
+            if len(p.spelled) >= MEMORY:
+                p.spelled.clear()
+            p.spelled[word] = known
+    return known
+
+
+def _walk(rows: list[Row], at: int, s: str, stop: int) -> list[str]:
+    out = []
+    while at > stop:
+        out.append(s)
+        at, s = at - len(s), rows[at][s][1]
+    return out[::-1]
+
+
 def transfer(p: Pieces, text: str, begin: int, end: int, first: bool = False) -> np.ndarray:
-    """The max-plus matrix of a chunk: best score from each boundary state at ``begin`` to each at ``end``."""
-    entries, exits, ends = entry_states(p, text, begin, first), crossing(p, text, end), _ends(p, text, begin, end)
+    """The max-plus matrix of a chunk: best score from each boundary state at ``begin`` to each at ``end``.
+
+    Between the first and the last word start inside the chunk one number, the sum of the words' scores, stands
+    for all paths: the matrix is a column plus that number plus a row.
+    """
+    entries, exits, marks = entry_states(p, text, begin, first), crossing(p, text, end), word_starts(p, text, begin, end)
+    if marks:
+        lead, tail = _ends(p, text, begin, marks[0]), _ends(p, text, marks[-1], end)
+        column = [max((v for v, _ in _forward(p, begin, marks[0], e, lead)[0][marks[0] - begin].values()), default=NEVER) for e in entries]
+        inner = sum(spelled(p, text[a:b])[0] for a, b in zip(marks[:-1], marks[1:], strict=True))
+        rows, _ = _forward(p, marks[-1], end, (0, ""), tail)
+        row = [rows[over + end - marks[-1]].get(s, (NEVER, ""))[0] if over + end > marks[-1] else 0.0 for over, s in exits]
+        return np.array(column)[:, None] + inner + np.array(row)
+    ends = _ends(p, text, begin, end)
     out, runs = np.full((len(entries), len(exits)), NEVER), []
     for i, e in enumerate(entries):
         rows, _ = _forward(p, begin, end, e, ends, runs)
@@ -200,12 +247,16 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def backtrace(p: Pieces, text: str, begin: int, end: int, entry: State, leave: State) -> list[str]:
     """The pieces after ``entry`` up to and with ``leave`` on the best path of one chunk."""
-    rows, _ = _forward(p, begin, end, entry, _ends(p, text, begin, end))
-    at, s, out = end - begin + leave[0], leave[1], []
-    while at > entry[0]:
-        out.append(s)
-        at, s = at - len(s), rows[at][s][1]
-    return out[::-1]
+    marks = word_starts(p, text, begin, end)
+    if not marks:
+        rows, _ = _forward(p, begin, end, entry, _ends(p, text, begin, end))
+        return _walk(rows, end - begin + leave[0], leave[1], entry[0])
+    rows, _ = _forward(p, begin, marks[0], entry, _ends(p, text, begin, marks[0]))
+    last = max(rows[marks[0] - begin].items(), key=lambda x: x[1][0])[0]
+    lead = _walk(rows, marks[0] - begin, last, entry[0])
+    inner = [s for a, b in zip(marks[:-1], marks[1:], strict=True) for s in spelled(p, text[a:b])[1]]
+    rows, _ = _forward(p, marks[-1], end, (0, ""), _ends(p, text, marks[-1], end))
+    return lead + inner + _walk(rows, end - marks[-1] + leave[0], leave[1], 0)
 
 
 def through(matrices: list[np.ndarray], entry: int, leave: int) -> list[tuple[int, int]]:
@@ -225,64 +276,84 @@ def through(matrices: list[np.ndarray], entry: int, leave: int) -> list[tuple[in
 
 
 class WordIds:
-    """Ids of words, each encoded once and remembered by hash.
+    """Ids of words, each distinct one encoded once and remembered with its bytes.
 
     No piece goes on from another character to a space, so a text's ids are those of its words: runs of spaces
-    and what follows them.
+    and what follows them.  Words are told apart by their bytes.
     """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
+        shown = [bytes([pieces.of_byte[i]]) if i in pieces.of_byte else b"" if i in pieces.control else " ⁇ ".encode() if i == pieces.unknown else t.replace(SPACE, " ").encode() for i, t in enumerate(pieces.text)]
+        self.piece_size = np.fromiter(map(len, shown), np.int32, len(shown))
+        self.piece_at = (np.cumsum(self.piece_size) - self.piece_size).astype(np.int32)
+        self.piece_bytes = np.frombuffer(b"".join(shown), np.uint8)
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.count, self.same, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
-
-    def _learn(self, hashes: np.ndarray, words: list[str], check: bool) -> None:
-        ids = self.pieces.plain.encode(words, num_threads=1)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.flat) + np.cumsum(count) - count
-        same = np.array([d == w for d, w in zip(self.pieces.plain.decode(ids), words, strict=True)], bool) if check else np.ones(len(words), bool)
+        self.words, self.flat = pa.array([], pa.binary()), np.zeros(0, np.int32)
+        self.begin, self.count, self.seen = (np.zeros(0, np.int32) for _ in range(3))
+
+    def _learn(self, words: pa.Array) -> None:
+        ids = self.pieces.plain.encode(words.cast(pa.string()).to_pylist(), num_threads=1)
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
+        self.count = np.concatenate([self.count, count])
+        self.seen = np.concatenate([self.seen, np.zeros(len(count), np.int32)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
-        place = np.arange(len(self.begin), len(self.begin) + len(words))
-        self.begin, self.count, self.same = np.concatenate([self.begin, begin]), np.concatenate([self.count, count]), np.concatenate([self.same, same])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, place)
-
-    def encode(self, data: np.ndarray, off: np.ndarray, check: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids, ends of the texts' ids (one more in front), and, if asked, whether each text comes back."""
-        n, size = len(off) - 1, np.diff(off)
-        text = np.full(len(data) + n, 0x20, np.uint8)
-        text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), size)] = data
-        first = off[:-1] + np.arange(n)
-        space = text == 0x20
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _forget(self) -> None:
+        """Keeps the words met most often, as many as half the memory; what they counted is halved."""
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[: MEMORY // 2])
+        self.flat, edge = _spread(self.flat, self.begin[keep], self.count[keep], np.arange(len(keep) + 1))
+        self.words, self.begin = self.words.take(pa.array(keep)), edge[:-1].astype(np.int32)
+        self.count, self.seen = self.count[keep], self.seen[keep] // 2
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and the ends of the texts' ids (one more in front); each text that isn't empty begins with a space."""
+        space = data == 0x20
         start = space.copy()
         start[1:] &= ~space[:-1]
-        start[first] = size > 0
-        if (empty := first[size == 0]).size:
-            after = np.setdiff1d(empty + 1, first)
-            start[after[after < len(text)]] |= space[after[after < len(text)]]
+        start[off[:-1][off[1:] > off[:-1]]] = True
         starts = np.flatnonzero(start)
-        stop = np.append(starts[1:], len(text))
-        doc = np.searchsorted(first, starts, "right") - 1
-        stop = np.minimum(stop, first[doc] + size[doc] + 1)
-        hashes = word_hashes(text, starts, stop)
-        distinct, where, of = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > MEMORY:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
-        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
-        if new.any():
-            raw = text.tobytes()
-            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), stop[where[new]].tolist(), strict=True)], check)
-        word = self.place[np.searchsorted(self.hashes, distinct)][of]
-        count = self.count[word]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        flat = self.flat[np.arange(int(ends[-1])) - np.repeat(ends[:-1], count) + np.repeat(self.begin[word], count)]
-        edge = np.searchsorted(doc, np.arange(n + 1))
-        bad = np.concatenate([[0], np.cumsum(~self.same[word])])
-        return flat, ends[edge], bad[edge[1:]] == bad[edge[:-1]]
+        ends = np.append(starts, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = words.dictionary
+        if len(self.words) > MEMORY:
+            self._forget()
+        known = pc.index_in(distinct, self.words)
+        if known.null_count:
+            before = len(self.words)
+            new = known.is_null()
+            self._learn(distinct.filter(new))
+            place = known.fill_null(0).to_numpy().copy()
+            place[np.flatnonzero(new.to_numpy(zero_copy_only=False))] = np.arange(before, len(self.words))
+        else:
+            place = known.to_numpy()
+        word = place[words.indices.to_numpy()]
+        self.seen += np.bincount(word, minlength=len(self.seen)).astype(np.int32)
+        return _spread(self.flat, self.begin[word], self.count[word], np.searchsorted(starts, off))
+
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that the ids stand for, and the ends of the texts' bytes; the dummy prefix shows as a space."""
+        return _spread(self.piece_bytes, self.piece_at[flat], self.piece_size[flat], ends)
+
+    def come_back(self, flat: np.ndarray, ends: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether each text's ids decode to its bytes."""
+        out, stop = self.decode(flat, ends)
+        if len(out) == len(data) and (out == data).all():
+            return (stop == off)[1:] & (stop == off)[:-1]
+        return np.array([np.array_equal(out[a:b], data[c:d]) for a, b, c, d in zip(stop[:-1], stop[1:], off[:-1], off[1:], strict=True)], bool)
+
+
+def _spread(values: np.ndarray, begin: np.ndarray, count: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[begin : begin + count]`` one after another, and where runs ``edge`` begin in that row."""
+    after = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    kind = np.int32 if after[-1] < 2**31 else np.int64
+    at = np.repeat((begin - after[:-1]).astype(kind), count)
+    at += np.arange(len(at), dtype=kind)
+    return values[at], after[edge]
 
 
 _LOADED: dict[bytes, Pieces] = {}
@@ -306,7 +377,7 @@ def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.Array:
 ENCODED = "n_tokens bigint, ids array<int>, round_trip boolean"
 
 
-def _ordinary(model, check: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _ordinary(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model.value)
         for batch in batches:
@@ -314,14 +385,14 @@ def _ordinary(model, check: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for base, data, off in text_steps(texts, STEP):
                 n = len(off) - 1
                 if p.inner or SPACE.encode() in data.tobytes():
-                    own = [t or "" for t in texts.slice(base, n).to_pylist()]
+                    own = [t[1:] for t in texts.slice(base, n).to_pylist()]
                     ids = p.encode(own)
-                    added = [pa.array(map(len, ids), pa.int64()), _lists(ids, pa.int32()), pa.array([p.decode(x) == t for x, t in zip(ids, own, strict=True)])]
+                    flat, ends = np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum([0, *map(len, ids)])
                 else:
-                    flat, ends, same = p.words.encode(data, off, check)
-                    added = [pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(same) if check else pa.nulls(n, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(c.slice(base, n) for c in batch.columns[:-1]), *added], names=[*batch.schema.names[:-1], "n_tokens", "ids", "round_trip"])
-        p.words.clear()
+                    flat, ends = p.words.encode(data, off)
+                same = pa.array(p.words.come_back(flat, ends, data, off))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(c.slice(base, n) for c in batch.columns[:-1]), pa.array(np.diff(ends)), lists, same], names=[*batch.schema.names[:-1], "n_tokens", "ids", "round_trip"])
 
     return run
 
@@ -411,13 +482,14 @@ def _giant(texts: DataFrame, model, chunk: int) -> DataFrame:
     return whole.select("text_key", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
-def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None, giant: int = GIANT, chunk: int = CHUNK, check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """Token ids of whole texts under a SentencePiece model, and whether decoding them gives the text back.
 
     Adds to the ``keep`` columns (default: doc_id): n_tokens, ids, round_trip.  Texts below ``giant`` code
-    points are encoded as one; longer ones by the parallel scan, once per distinct text.  Null and empty texts
-    have no ids (round_trip: true).  A text that holds U+2581 itself decodes to spaces there (round_trip:
-    false); without ``check`` round_trip may be null.  Repeated rows give repeated results; an empty table gives an empty one.
+    points are encoded as one; longer ones by the parallel scan, once per distinct text.  The ids of every text
+    are decoded again.  Null and empty texts have no ids (round_trip: true).  A text that holds U+2581 itself
+    decodes to spaces there (round_trip: false).  Repeated rows give repeated results; an empty table gives an
+    empty one.
     """
     keep = ["doc_id"] if keep is None else keep
     keep = [c for c in keep if c.lower() not in ("n_tokens", "ids", "round_trip")]
@@ -428,7 +500,8 @@ def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None, gian
     rows = docs.select(*[docs[c] for c in keep], text.alias("text_in"))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), ENCODED])
     short = F.coalesce(F.length("text_in") < giant, F.lit(True))
-    out = map_batches(rows.where(short), _ordinary(model, check), schema)
+    spaced = F.when(F.length("text_in") > 0, F.concat(F.lit(" "), "text_in")).otherwise(F.lit(""))
+    out = map_batches(rows.where(short).withColumn("text_in", spaced), _ordinary(model), schema)
     long = rows.where(~short).withColumn("text_key", F.sha2("text_in", 256))
     texts = cut(long.select("text_key", F.col("text_in").alias("text")).dropDuplicates(["text_key"]))
     if texts.isEmpty():

@@ -18,7 +18,7 @@ from tessera.llm.secrets import KINDS, secret_spans, written
 from tessera.llm.substring import remove_repeats
 from tessera.llm.top_k import top_k
 from tessera.llm.toxicity import toxicity
-from tessera.llm.training_order import read_training_order, write_training_order
+from tessera.llm.training_order import domain, read_training_order, write_training_order
 from tessera.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +44,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_dir(spark)
-    write_training_order(encode(table(spark, sf_dir, "documents"), PIECE_MODEL, check=False), folder, key="epoch-0")
-    return read_training_order(spark, folder).withColumn("tokens", F.sha2(F.array_join("tokens", ","), 256)).withColumnRenamed("tokens", "tokens_sha256")
+    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    at = domain(docs, F.octet_length("text") + 3)
+    write_training_order(encode(docs, PIECE_MODEL), folder, key="epoch-0", at=at)
+    return read_training_order(spark, folder).withColumn("tokens", F.sha2("tokens", 256)).withColumnRenamed("tokens", "tokens_sha256")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,22 +5,23 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U, commit_files, cut, file_store, mix
 
 ROUNDS = 8
-#: Tokens of a sequence; bytes of a record before them: document, part, tokens in use.
-LENGTH, HEAD = 256, 16
-#: Documents cut into records at once.
-PART = 1024
-LEAST_SHARDS, SHARD_BYTES = 256, 1 << 28
-MANIFEST = "shard long, file string, temporary string, first_slot long, records long, bytes long, sha256 string"
+#: Tokens of a sequence, and bytes of a token (4 for vocabularies beyond 16 bits).
+LENGTH, WIDTH = 256, 2
+#: Documents cut into records at once, and bytes of records dealt out together.
+PART, TOGETHER = 1024, 1 << 25
+#: Bytes of a shard, which one task holds, and least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 1 << 26, 48
+MANIFEST = "shard long, file string, temporary string, records long, bytes long, sha256 string"
 
 
 class Permutation:
@@ -28,15 +29,15 @@ class Permutation:
 
     def __init__(self, n: int, key: str) -> None:
         self.n = n
-        self.half = U(max(1, ((max(n, 2) - 1).bit_length() + 1) // 2))
-        self.mask = (U(1) << self.half) - U(1)
+        bits = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+        self.half, self.mask, self.whole = U(bits), U((1 << bits) - 1), n == 1 << 2 * bits
         self.keys = [U(int.from_bytes(hashlib.blake2b(f"{key}/{r}".encode(), digest_size=8).digest(), "little")) for r in range(ROUNDS)]
 
     def _walk(self, x: np.ndarray, once) -> np.ndarray:
         x = once(np.asarray(x).astype(np.uint64))
-        while (out := x >= U(self.n)).any():
+        while not self.whole and (out := x >= U(self.n)).any():
             x[out] = once(x[out])
-        return x.astype(np.int64)
+        return x
 
     def slot(self, index: np.ndarray) -> np.ndarray:
         def once(x: np.ndarray) -> np.ndarray:
@@ -57,111 +58,157 @@ class Permutation:
         return self._walk(slot, once)
 
 
-def sequences(encoded: DataFrame, length: int) -> DataFrame:
-    """``(task, at, record)``: fixed-size records of ``length`` 16-bit tokens, numbered within each task.
-
-    A document's tokens are cut into parts, the last filled up with zeros; a document without tokens gives none.
-    """
+class Domain(NamedTuple):
+    """Least doc_id, number of ids up to the greatest, parts counted for each id, and shards."""
+
+    least: int
+    ids: int
+    parts: int
+    shards: int
+
+    def codes(self, doc: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """A number below ``size`` for each sequence; only where ids times parts leave 63 bits do parts share one."""
+        return (doc.astype(np.uint64) - U(self.least % 2**64)) * U(self.parts) + (part % self.parts).astype(np.uint64)
+
+    @property
+    def size(self) -> int:
+        return self.ids * self.parts
+
+    def shard(self, place: np.ndarray) -> np.ndarray:
+        return (place // U(-(-self.size // self.shards))).astype(np.int64)
+
+
+def domain(docs: DataFrame, tokens, length: int = LENGTH, width: int = WIDTH, shards: int | None = None) -> Domain:
+    """From one aggregation over ``docs``; the column ``tokens`` is a row's number of tokens, or a bound of it."""
+    n = F.coalesce(tokens.cast("long"), F.lit(0))
+    low, high, most, total = docs.where("doc_id is not null").agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(n), F.sum(F.ceil(n / length))).first()
+    if low is None:
+        return Domain(0, 1, 1, 1)
+    ids = high - low + 1
+    parts = max(1, min(-(-most // length), 2**63 // ids))
+    shards = shards or max(LEAST_SHARDS, -(-int(total) * record(length, width).itemsize // SHARD_BYTES))
+    return Domain(low, ids, parts, min(shards, ids * parts))
+
+
+def record(length: int, width: int) -> np.dtype:
+    """Document, part, tokens in use, and ``length`` tokens, the last of a document filled up with zeros."""
+    return np.dtype([("doc", "<i8"), ("part", "<i4"), ("used", "<i4"), ("tokens", f"<u{width}", (length,))])
+
+
+def _records(doc_ids: np.ndarray, ids: pa.Array, kind: np.dtype) -> np.ndarray:
+    length = kind["tokens"].shape[0]
+    ends = ids.offsets.to_numpy().astype(np.int64)
+    flat, counts = ids.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+    if len(flat) and not 0 <= flat.min() <= flat.max() < 1 << 8 * kind["tokens"].base.itemsize:
+        raise ValueError("token ids don't fit the width of a token")
+    parts = -(-counts // length)
+    first = np.cumsum(parts) - parts
+    doc = np.repeat(np.arange(len(counts)), parts)
+    out = np.zeros(len(doc), kind)
+    out["doc"], out["part"] = doc_ids[doc], np.arange(len(doc)) - first[doc]
+    out["used"] = np.minimum(counts[doc] - out["part"].astype(np.int64) * length, length)
+    where = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], counts)
+    out["tokens"][np.repeat(first, counts) + where // length, where % length] = flat
+    return out
+
+
+def _dealt(encoded: DataFrame, at: Domain, key: str, kind: np.dtype) -> DataFrame:
+    """``(shard, places, records)``: the records of one stretch of input that go to one shard, compressed as one."""
+
+    def blocks(held: list[np.ndarray], order: Permutation) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        place = order.slot(at.codes(rows["doc"], rows["part"]))
+        shard = at.shard(place)
+        by = np.argsort(shard, kind="stable")
+        shard, place, rows = shard[by], place[by], rows[by]
+        edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for i in range(0, len(edges) - 1, 64):
+            spans = list(zip(edges[i : i + 64], edges[i + 1 : i + 65]))
+            packed = [[pa.compress(x[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in spans] for x in (place, rows)]
+            sizes = pa.array([int(b - a) for a, b in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[[a for a, _ in spans]]), sizes, *(pa.array(x, pa.binary()) for x in packed)], names=["shard", "n", "places", "records"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at = TaskContext.get().partitionId(), 0
+        order, held, size = Permutation(at.size, key), [], 0
         for batch in (b.slice(i, PART) for b in batches for i in range(0, b.num_rows, PART)):
-            ids = batch.column(1)
-            counts = np.diff(ids.offsets.to_numpy())
-            flat = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
-            if flat.max(initial=0) > 65535:
-                raise ValueError("token ids need more than 16 bits")
-            parts = -(-counts // length)
-            rows = int(parts.sum())
-            doc = np.repeat(np.arange(len(counts)), parts)
-            part = np.arange(rows) - np.repeat(np.cumsum(parts) - parts, parts)
-            out = np.zeros((rows, HEAD // 2 + length), np.uint16)
-            used = np.minimum(counts[doc] - part * length, length)
-            where = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-            line = np.repeat(np.cumsum(parts) - parts, counts) + where // length
-            out[line, HEAD // 2 + where % length] = flat
-            out[:, :4] = batch.column(0).to_numpy()[doc].astype("<i8").view("<u2").reshape(-1, 4)
-            out[:, 4:6] = part.astype("<i4").view("<u2").reshape(-1, 2)
-            out[:, 6:8] = used.astype("<i4").view("<u2").reshape(-1, 2)
-            raw, stride = out.tobytes(), HEAD + 2 * length
-            records = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1, dtype=np.int32) * stride).tobytes()), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, task, np.int64)), pa.array(np.arange(at, at + rows)), records], names=["task", "at", "record"])
-            at += rows
-
-    return encoded.where("doc_id is not null and size(ids) > 0").select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "task long, at long, record binary")
-
-
-def write_training_order(encoded: DataFrame, folder: str, key: str, length: int = LENGTH, shards: int | None = None) -> DataFrame:
-    """Writes the sequences of ``encoded(doc_id, ids)`` in the order of a keyed permutation; returns the manifest.
+            held.append(_records(batch.column(0).to_numpy(), batch.column(1), kind))
+            size += held[-1].nbytes
+            if size >= TOGETHER:
+                yield from blocks(held, order)
+                held, size = [], 0
+        if size:
+            yield from blocks(held, order)
+
+    rows = encoded.where("doc_id is not null and size(ids) > 0").select(F.col("doc_id").cast("long"), "ids")
+    return rows.mapInArrow(run, "shard long, n long, places binary, records binary")
 
-    Sequences are numbered in input order, and the permutation gives each number a global slot.  Shard i holds
-    the records of slots ``[i * per_shard, (i + 1) * per_shard)`` one after another, all of the same size, so
-    that any slot is found by arithmetic and reading can resume there.  Tasks write temporary files, which are
-    renamed once their task has ended; the manifest is written last.
 
-    A null doc_id and a document without tokens give no sequence; repeated rows give sequences of their own;
-    an empty table gives an empty manifest.
+def write_training_order(encoded: DataFrame, folder: str, key: str, length: int = LENGTH, width: int = WIDTH, at: Domain | None = None) -> DataFrame:
+    """Writes the sequences of ``encoded(doc_id, ids)`` in the order of a keyed permutation; returns the manifest.
+
+    A sequence's number is made of its document's id and its part, the permutation of the whole domain of such
+    numbers gives it a place, and its global slot is the rank of that place among those taken.  So the order
+    depends on key and data alone, however the input is split.  Equal ranges of places are shards, of about
+    equal size since places are pseudorandom; a shard holds its records one after another, all of the same
+    size, and the manifest the shard's first slot, so that any slot is found by arithmetic and reading can
+    resume there.  The tokens cross one shuffle, compressed, and aren't stored elsewhere.  Tasks write
+    temporary files, which are renamed once their task has ended; the manifest is written last.
+
+    ``at`` comes from ``domain``; without it, ``encoded`` is run once more to find it.  A null doc_id and a
+    document without tokens give no sequence; repeated rows give sequences of their own (of one document's,
+    the order is that of the records' bytes); an empty table gives an empty manifest.
     """
-    spark, stride = encoded.sparkSession, HEAD + 2 * length
-    rows = cut(sequences(encoded, length))
-    counts = {r.task: r["count"] for r in rows.groupBy("task").count().collect()}
-    total, before = 0, {}
-    for task in sorted(counts):
-        before[task] = total
-        total += counts[task]
-    shards = shards or max(LEAST_SHARDS, -(-total * stride // SHARD_BYTES))
-    per_shard = max(1, -(-total // shards))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Permutation(total, key)
-        for b in batches:
-            if b.num_rows:
-                index = np.array([before[t] for t in b.column(0).to_pylist()]) + b.column(1).to_numpy()
-                slot = order.slot(index)
-                yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column(2)], names=["shard", "slot", "record"])
-
-    dealt = rows.mapInArrow(place, "shard long, slot long, record binary").repartition("shard").sortWithinPartitions("shard", "slot")
+    spark, kind = encoded.sparkSession, record(length, width)
+    at = at or domain(encoded, F.size("ids"), length, width)
+    dealt = _dealt(encoded, at, key, kind).repartitionById(at.shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (store, root), attempt = file_store(folder), uuid.uuid4().hex
-        done, now, out, n, sha = [], None, None, 0, None
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                done.append((now, f"shard-{now:06d}.bin", f"_temporary/{attempt}-{now}", now * per_shard, n, n * stride, sha.hexdigest()))
+        now, places, rows = None, [], []
+
+        def close() -> pa.RecordBatch:
+            place, own = np.concatenate(places), np.concatenate(rows)
+            by = np.lexsort((own["part"], own["doc"], place))
+            place, own = place[by], own[by]
+            ties = np.flatnonzero((place[1:] == place[:-1]) & (own["doc"][1:] == own["doc"][:-1]) & (own["part"][1:] == own["part"][:-1]))
+            for lo, hi in _stretches(ties):
+                own[lo:hi] = own[lo + np.argsort([own[i].tobytes() for i in range(lo, hi)], kind="stable")]
+            data, name = memoryview(own).cast("B"), f"_temporary/{attempt}-{now}"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(data)
+            return pa.RecordBatch.from_pylist([{"shard": now, "file": f"shard-{now:06d}.bin", "temporary": name, "records": len(own), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}])
 
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi == lo:
-                    continue
-                if now != shard[lo]:
-                    close()
-                    now, n, sha = int(shard[lo]), 0, hashlib.sha256()
-                    out = store.open_output_stream(f"{root}/_temporary/{attempt}-{now}", compression=None)
-                part = batch.slice(lo, hi - lo)
-                if not (part.column(1).to_numpy() == now * per_shard + n + np.arange(hi - lo)).all():
-                    raise ValueError(f"slots missing in shard {now}")
-                data = b"".join(part.column(2).to_pylist())
-                out.write(data)
-                sha.update(data)
-                n += hi - lo
-        close()
-        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 7, types, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
+            for shard, n, p, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now and places:
+                    yield close()
+                    places, rows = [], []
+                now = shard
+                places.append(np.frombuffer(pa.decompress(p, 8 * n, "zstd"), np.uint64))
+                rows.append(np.frombuffer(pa.decompress(r, kind.itemsize * n, "zstd"), kind))
+        if places:
+            yield close()
 
     store, root = file_store(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
     manifest = commit_files(cut(dealt.mapInArrow(write, MANIFEST)), folder)
-    manifest.withColumn("length", F.lit(length)).write.parquet(f"{folder}/_manifest")
+    before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    manifest.select("*", F.coalesce(before, F.lit(0)).cast("long").alias("first_slot"), F.lit(length).alias("length"), F.lit(width).alias("width")).write.parquet(f"{folder}/_manifest")
     store.delete_dir(f"{root}/_temporary")
     return spark.read.parquet(f"{folder}/_manifest")
 
 
+def _stretches(ties: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows in which each equals the next, given the places of such rows."""
+    for run in np.split(ties, np.flatnonzero(np.diff(ties) > 1) + 1) if len(ties) else []:
+        yield int(run[0]), int(run[-1]) + 2
+
+
 def read_training_order(spark: SparkSession, folder: str, first_slot: int = 0, end_slot: int | None = None) -> DataFrame:
-    """``(slot, doc_id, part, n_tokens, tokens)`` of the slots from ``first_slot`` on, each shard read in order."""
+    """``(slot, doc_id, part, n_tokens, tokens)`` of the slots from ``first_slot`` on, each shard read in order.
+
+    ``tokens`` are the bytes of the tokens in use, little-endian; ``token_array`` makes an array of them.
+    """
     manifest = spark.read.parquet(f"{folder}/_manifest")
     end_slot = (1 << 62) if end_slot is None else end_slot
     wanted = manifest.where((F.col("first_slot") < end_slot) & (F.col("first_slot") + F.col("records") > first_slot))
@@ -170,20 +217,26 @@ def read_training_order(spark: SparkSession, folder: str, first_slot: int = 0, e
         store, root = file_store(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                stride = HEAD + 2 * r["length"]
+                kind = record(r["length"], r["width"])
                 at, stop = max(first_slot, r["first_slot"]), min(end_slot, r["first_slot"] + r["records"])
                 with store.open_input_file(f"{root}/{r['file']}") as f:
-                    f.seek((at - r["first_slot"]) * stride)
+                    f.seek((at - r["first_slot"]) * kind.itemsize)
                     while at < stop:
                         n = min(stop - at, 4096)
-                        data = np.frombuffer(f.read(n * stride), np.uint16).reshape(n, -1)
-                        head = data[:, : HEAD // 2].copy()
-                        used = head[:, 6:8].copy().view("<i4").ravel()
-                        tokens = data[:, HEAD // 2 :]
-                        flat = tokens[np.arange(tokens.shape[1]) < used[:, None]].astype(np.int32)
-                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32)), pa.array(flat))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.array(head[:, :4].copy().view("<i8").ravel()), pa.array(head[:, 4:6].copy().view("<i4").ravel()), pa.array(used), lists], names=["slot", "doc_id", "part", "n_tokens", "tokens"])
+                        rows = np.frombuffer(f.read(n * kind.itemsize), kind)
+                        used = rows["used"].astype(np.int64)
+                        flat = rows["tokens"][np.arange(r["length"]) < used[:, None]]
+                        ends = np.concatenate([[0], np.cumsum(used * r["width"])]).astype(np.int32)
+                        tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), *(pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "part", "used")), tokens], names=["slot", "doc_id", "part", "n_tokens", "tokens"])
                         at += n
 
-    files = wanted.select("file", "first_slot", "records", "length").repartition(max(1, min(wanted.count(), 4 * spark.sparkContext.defaultParallelism)))
-    return files.mapInArrow(run, "slot long, doc_id long, part int, n_tokens int, tokens array<int>")
+    files = wanted.select("file", "first_slot", "records", "length", "width").repartition(max(1, min(wanted.count(), 4 * spark.sparkContext.defaultParallelism)))
+    return files.mapInArrow(run, "slot long, doc_id long, part int, n_tokens int, tokens binary")
+
+
+def token_array(tokens, width: int = WIDTH):
+    """The little-endian tokens of a binary column as an array of integers."""
+    text, digits = F.hex(tokens), 2 * width
+    one = lambda i: F.concat(*[F.substring(text, i * digits + 2 * b + 1, F.lit(2)) for b in reversed(range(width))])
+    return F.transform(F.sequence(F.lit(0), (F.octet_length(tokens) / width).cast("int") - 1), lambda i: F.conv(one(i.cast("int")), 16, 10).cast("int"))
