@@ -40,8 +40,11 @@ ENCODINGS = [
 ]
 #: Of prose: sum of cubed letter shares less the square of the sum of squared ones.
 PROSE3_EXCESS = 0.0011
-#: Share of false discoveries, least p of the battery for a random string, upper ends of the length classes.
-FDR, LEAST_P, LENGTHS = 0.01, 0.001, (24, 32, 48, 96)
+#: A structured string shifts the standardised runs and serial correlation by at least ORDER * sqrt(n) + MARGIN
+#: (all ordered or all alternating ones: by sqrt(n)).
+ORDER, MARGIN = 0.5, 3.5
+#: Share of false discoveries, upper ends of the length classes.
+FDR, LENGTHS = 0.01, (24, 32, 48, 96)
 #: Bins of -log10 p: STEP to the unit, up to BINS.
 STEP, BINS = 20, 2000
 
@@ -70,21 +73,23 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
 
 
 def _normal_tail(z: Column) -> Column:
-    """P(Z > z) for z >= 0 (a fixed rational approximation of the error function, absolute error below 2e-7)."""
-    x = z / math.sqrt(2)
+    """P(Z > z), by a fixed rational approximation of the error function (absolute error below 2e-7), 1e-90 at least."""
+    x = F.least(F.abs(z), F.lit(20.0)) / math.sqrt(2)
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return 0.5 * poly * F.exp(-x * x)
+    upper = F.greatest(0.5 * poly * F.exp(-x * x), F.lit(1e-90))
+    return F.when(z < 0, 1 - upper).otherwise(upper)
 
 
 def battery(value: Column) -> Column:
-    """Struct (n, encoding, p_random, p_prose) of one string.
-
-    Symbols are the places of the characters in the inferred alphabet of k symbols.  Chi-squared uniformity,
-    the number of runs above and below the middle, and the lag-one serial correlation are standardised with
-    their exact (uniformity) or asymptotic moments for random strings; p_random is the p of the sum of their
-    squares (chi-squared with 3 degrees).  p_prose is the chance that a string of this length with the letter
-    shares of prose looks as uniform as this one, and is what false-discovery control works on.
+    """Struct (n, encoding, p_uniform, p_runs, p_serial, p) of one string.
+
+    Symbols are the places of the characters in the inferred alphabet of k symbols.  Each test asks how likely a
+    string that isn't random would look as random as this one: p_uniform is the chance that one with the letter
+    shares of prose has so small a chi-squared against uniform shares; p_runs and p_serial that one with order in
+    it (ORDER, MARGIN) has so few too many or too few runs above and below the middle, or so small a lag-one
+    serial correlation, both standardised with their asymptotic moments for random strings.  All three fall with
+    the length.  A secret has to beat all three, so its p is the largest of them.
     """
     body = F.regexp_replace(value, "=+$", "")
     fits = [(body.rlike(e.pattern), e) for e in ENCODINGS]
@@ -98,22 +103,22 @@ def battery(value: Column) -> Column:
         total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda t, v: t + f(v))
         squares = total(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda d: d == c)), F.lit(2.0)))
         uniform = squares * k / n - n
-        z1 = (uniform - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         after = F.concat(F.slice(codes, 2, F.size(codes)), F.slice(codes, 1, 1))
         pairs = F.arrays_zip(codes.alias("a"), after.alias("b"))
         high = total(codes, lambda c: (c >= k / 2).cast("double"))
         turns = total(F.slice(pairs, 1, F.size(codes) - 1), lambda p: ((p["a"] >= k / 2) != (p["b"] >= k / 2)).cast("double"))
         mean = 2 * high * (n - high) / n
-        z2 = F.when((high > 0) & (high < n) & (mean > 1), (turns - mean) / F.sqrt(mean * (mean - 1) / (n - 1))).otherwise(9.0)
+        z2 = F.when((high > 0) & (high < n) & (mean > 1), (turns - mean) / F.sqrt(mean * (mean - 1) / (n - 1))).otherwise(n)
         s1, s2, s11 = total(codes, lambda c: c), total(codes, lambda c: c * c), total(pairs, lambda p: p["a"] * p["b"])
         spread = n * s2 - s1 * s1
-        z3 = F.when(spread > 0, ((n * s11 - s1 * s1) / spread + 1 / (n - 1)) * F.sqrt(n)).otherwise(9.0)
-        q = z1 * z1 + z2 * z2 + z3 * z3
-        p_random = F.when(q > 600, 0.0).otherwise(2 * _normal_tail(F.sqrt(q)) + F.sqrt(2 * q / math.pi) * F.exp(-q / 2))
+        z3 = F.when(spread > 0, ((n * s11 - s1 * s1) / spread + 1 / (n - 1)) * F.sqrt(n)).otherwise(n)
         like_prose = (n - 1) * (k * prose2 - 1) + (k - 1)
-        z = (like_prose - uniform) / F.sqrt(4 * n * k * k * PROSE3_EXCESS + 2 * (k - 1))
-        p_prose = F.when(z < 0, 1 - _normal_tail(-z)).when(z > 20, 1e-90).otherwise(_normal_tail(z))
-        return F.struct(n.cast("int").alias("n"), x["encoding"].alias("encoding"), p_random.alias("p_random"), p_prose.alias("p_prose"))
+        spread_prose = F.sqrt(4 * n * k * k * PROSE3_EXCESS + 2 * (k - 1))
+        ordered = ORDER * F.sqrt(n) + MARGIN
+        shifts = F.array((like_prose - uniform) / spread_prose, ordered - F.abs(z2), ordered - F.abs(z3))
+        ps = F.transform(shifts, _normal_tail)
+        named = [ps[i].alias(name) for i, name in enumerate(("p_uniform", "p_runs", "p_serial"))]
+        return F.struct(n.cast("int").alias("n"), x["encoding"].alias("encoding"), *named, F.array_max(ps).alias("p"))
 
     known = F.struct(codes.alias("codes"), pick(lambda e: e.name).alias("encoding"), pick(lambda e: float(len(e.symbols))).alias("k"), pick(lambda e: e.prose2).alias("prose2"))
     return F.transform(F.array(known), of)[0]
@@ -131,8 +136,8 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def binned(s: Column) -> Column:
         length = sum((s["b"]["n"] >= F.lit(edge)).cast("int") for edge in LENGTHS)
-        level = F.least(F.floor(-F.log10(F.greatest(s["b"]["p_prose"], F.lit(1e-90))) * STEP), F.lit(BINS)).cast("int")
-        return F.struct(s["start"], s["rank"], s["kind"], s["end"], s["b"]["encoding"].alias("encoding"), length.alias("length"), level.alias("level"), (s["b"]["p_random"] >= LEAST_P).alias("random"))
+        level = F.least(F.floor(-F.log10(F.greatest(s["b"]["p"], F.lit(1e-90))) * STEP), F.lit(BINS)).cast("int")
+        return F.struct(s["start"], s["rank"], s["kind"], s["end"], s["b"]["encoding"].alias("encoding"), length.alias("length"), level.alias("level"))
 
     without = lambda a: F.transform(a, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
     return docs.select(*keep, without(base).alias("base_spans"), F.transform(F.transform(runs, tested), binned).alias("candidates"))
@@ -155,8 +160,9 @@ def secret_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All secrets of the whole texts, as spans in code points.
 
     Adds to the ``keep`` columns (default: doc_id): base_spans (fixed patterns) and spans (these and the
-    battery's), arrays of (start, rank, kind, end) by start, then kind.  The battery keeps a run whose symbols
-    pass as random and whose likeness to prose is a discovery within its length class over all documents.
+    battery's), arrays of (start, rank, kind, end) by start, then kind.  The battery keeps a run whose p, the
+    largest of its tests', is a discovery within its length class over all documents.  Runs without a digit or
+    without a letter aren't tested: of random keys of 20 characters that is 3 in 100 (base 62) or 2 (base 32).
     Null and empty texts have no spans; repeated rows give repeated results; an empty table an empty one.
     """
     keep = ["doc_id"] if keep is None else [c for c in keep if c.lower() not in ("base_spans", "candidates", "spans")]
@@ -165,7 +171,7 @@ def secret_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def kept(s: Column) -> Column:
         limits = [F.when(s["length"] == c, F.lit(v)) for c, v in levels.items()]
-        return s["random"] & (s["level"] >= F.coalesce(*limits, F.lit(BINS + 1)))
+        return s["level"] >= F.coalesce(*limits, F.lit(BINS + 1))
 
     more = F.transform(F.filter("candidates", kept), lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
     return rows.select(*keep, "base_spans", F.array_sort(F.concat("base_spans", more)).alias("spans"))
