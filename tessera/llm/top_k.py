@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,17 +13,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: Vectors of a shard, of a leaf, and of a block of queries; shards that meet a block of queries in one task.
-SHARD, LEAF, QUERIES, TOGETHER = 8192, 64, 1024, 8
+#: Vectors of a shard, of a leaf, and of a block of queries.
+SHARD, LEAF, QUERIES = 8192, 64, 1024
+#: Shards, and blocks of queries, that meet in one task at most; both sides are copied the less the more meet.
+SHARDS_MET, BLOCKS_MET = 16, 32
 
-PACKED = "shard long, part long, dim int, ids binary, vecs binary, tree binary, kth binary"
+PACKED = "{} long, dim int, ids binary, vecs binary, tree binary"
 
 
 def scaled(df: DataFrame, vec: str, scale: int) -> DataFrame:
     """``(vec_id, x)`` with x = floor(scale * component) as longs; rows with null or non-finite parts are left out."""
-    usable = F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    usable = F.forall(vec, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     x = F.transform(vec, lambda c: F.floor(F.lit(scale) * c.cast("double")))
-    return df.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long"), x.alias("x")).distinct()
+    return df.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long"), x.alias("x"))
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -45,7 +49,7 @@ def ball_tree(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]
         centres.append(c)
         radii.append(np.sqrt(((part - c) ** 2).sum(1).max()))
         spread = part.max(0) - part.min(0)
-        if b - a > LEAF and spread.max() > 0:
+        if b - a > LEAF and spread.max(initial=0) > 0:
             half = (b - a) // 2
             order[a:b] = order[a:b][np.argpartition(part[:, spread.argmax()], half)]
             nodes[at] = (a, b, grow(a, a + half), grow(a + half, b))
@@ -91,7 +95,7 @@ class Best:
 
 
 def search(best: Best, q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, tree: tuple) -> None:
-    """Visits the nodes in falling order of their largest bound q.c + |q| r over the queries still open there.
+    """Visits the nodes in falling order of their bound q.c + |q| r, the largest over the queries still open there.
 
     A query leaves a node whose bound lies below its k-th score; equal bounds are searched, for ties.
     """
@@ -99,9 +103,9 @@ def search(best: Best, q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.nd
     norm = np.sqrt((q.astype(float) ** 2).sum(1))
     bound = q.astype(float) @ centres.T + norm[:, None] * radii
     bound += 1e-9 * (np.abs(bound) + norm[:, None] * (np.sqrt((centres**2).sum(1)) + radii)) + 1e-6
-    stack = [(0, np.arange(len(q)))]
-    while stack:
-        at, rows = stack.pop()
+    heap, n = [(0.0, 0, 0, np.arange(len(q)))], 0
+    while heap:
+        _, _, at, rows = heapq.heappop(heap)
         rows = rows[bound[rows, at] >= best.kth()[rows]]
         if not len(rows):
             continue
@@ -110,52 +114,48 @@ def search(best: Best, q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.nd
             for lo in range(a, b, 4 * LEAF):
                 hi = min(b, lo + 4 * LEAF)
                 best.add(rows, _products(q[rows], x[lo:hi]), ids[lo:hi], qid[rows][:, None] != ids[lo:hi])
-        else:
-            first = bound[rows, left].sum() >= bound[rows, right].sum()
-            stack += [(right, rows), (left, rows)] if first else [(left, rows), (right, rows)]
+            continue
+        for child in (left, right):
+            n += 1
+            heapq.heappush(heap, (-bound[rows, child].max(), n, child, rows))
 
 
-def _pack(kind: str):
+def _pack(tree: bool):
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
         pdf = pdf.sort_values("vec_id", kind="stable")
-        x, ids, tree = _matrix(pdf["x"]), pdf["vec_id"].to_numpy(), b""
-        if kind == "shard":
+        x, ids, built = _matrix(pdf["x"]), pdf["vec_id"].to_numpy(), None
+        if tree:
             built = ball_tree(x)
-            x, ids, tree = x[built[0]], ids[built[0]], pickle.dumps(built)
-        kth = np.full(len(ids), -np.inf).tobytes() if kind == "block" else b""
-        return pd.DataFrame([(int(key[0]), int(pdf["part"].iloc[0]), x.shape[1], ids.tobytes(), x.tobytes(), tree, kth)], columns=[c.split()[0] for c in PACKED.split(", ")])
+            x, ids = x[built[0]], ids[built[0]]
+        return pd.DataFrame([(int(key[0]), x.shape[1], ids.tobytes(), x.tobytes(), pickle.dumps(built))], columns=["at", "dim", "ids", "vecs", "tree"])
 
     return pack
 
 
-def _met(pairs: DataFrame, k: int, schema: str, give) -> DataFrame:
-    """Runs each block of queries through the shards that stand with it, one after the other, with one k-th score."""
+def _wide(x: np.ndarray, dim: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, dim - x.shape[1])))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
 
-        now, best, block = None, None, None
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                if now != (r.block, r.part):
-                    if best is not None:
-                        yield give(now, block, best)
-                    now = (r.block, r.part)
-                    block = (np.frombuffer(r.qids, np.int64), np.frombuffer(r.qvecs, np.int64).reshape(-1, r.qdim))
-                    best = Best(len(block[0]), k, np.frombuffer(r.qkth, np.float64))
-                ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.vecs, np.int64).reshape(-1, r.dim)
-                q, tree = block[1], pickle.loads(r.tree)
-                if (wide := max(q.shape[1], x.shape[1])) > x.shape[1]:
-                    x = np.pad(x, ((0, 0), (0, wide - x.shape[1])))
-                    tree = (*tree[:2], np.pad(tree[2], ((0, 0), (0, wide - tree[2].shape[1]))), tree[3])
-                search(best, np.pad(q, ((0, 0), (0, wide - q.shape[1]))), block[0], x, ids, tree)
-        if best is not None:
-            yield give(now, block, best)
+def _met(blocks: DataFrame, shards: DataFrame, on: list[str], k: int, schema: str, give: Callable) -> DataFrame:
+    """Every block of a group past all shards of that group, one after the other, its k-th scores going along."""
 
-    ordered = pairs.sortWithinPartitions("part", "block", "shard")
-    return ordered.select("block", "part", "shard", "qids", "qvecs", "qdim", "qkth", "ids", "vecs", "dim", "tree").mapInPandas(run, schema)
+    def run(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for r in xs.sort_values("shard").itertuples(index=False):
+            ids = np.frombuffer(r.ids, np.int64)
+            sides.append((ids, np.frombuffer(r.vecs, np.int64).reshape(len(ids), r.dim), pickle.loads(r.tree)))
+        out = []
+        for r in qs.itertuples(index=False):
+            qid = np.frombuffer(r.ids, np.int64)
+            q = np.frombuffer(r.vecs, np.int64).reshape(len(qid), r.dim)
+            best = Best(len(qid), k, np.frombuffer(r.kth, np.float64) if r.kth is not None else np.full(len(qid), -np.inf))
+            for ids, x, tree in sides:
+                dim = max(q.shape[1], x.shape[1])
+                search(best, _wide(q, dim), qid, _wide(x, dim), ids, (*tree[:2], _wide(tree[2], dim), tree[3]))
+            out.append(give(r.block, qid, best))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return blocks.groupBy(*on).cogroup(shards.groupBy(*on)).applyInPandas(run, schema)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, vec: str = "embedding") -> DataFrame:
@@ -163,33 +163,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Vectors are dealt into shards of about SHARD rows by a hash of their id, and each shard gets a ball tree.
     Queries are packed in blocks of about QUERIES.  A first round searches one shard per block and leaves each
-    query's k-th score with it; the second takes every block past every shard, in one task past TOGETHER of
-    them, and the k-th score only rises.  The best of all shards are then ranked.
+    query's k-th score with it; in the second, groups of blocks meet groups of shards, both of bounded size, and
+    the k-th score of a block only rises from shard to shard.  The best of all groups are then ranked.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; a query's own id is never
-    its result; fewer candidates give fewer rows.  Null ids, and vectors that are null, empty or hold null or
-    non-finite components, take no part.  Rows repeated in full count once.  Shorter vectors are filled with
-    zeros.  Sums beyond 64 bits wrap.  Empty tables give an empty result; other columns are ignored.
+    its result; fewer candidates give fewer rows.  Null ids, and vectors that are null or hold null or non-finite
+    components, take no part.  Rows of ``vectors`` repeated in full are candidates each; rows of ``queries``
+    repeated in full are one query, and different ones with one id share a list of ``k``.  Shorter vectors,
+    down to empty ones, are filled with zeros.  Sums beyond 64 bits wrap.  Empty tables give an empty result;
+    other columns are ignored.
     """
-    x, q = scaled(vectors, vec, scale), scaled(queries, vec, scale)
+    x, q = scaled(vectors, vec, scale), scaled(queries, vec, scale).distinct()
     n_shards, n_blocks = (max(1, -(-n // size)) for n, size in ((vectors.count(), SHARD), (queries.count(), QUERIES)))
-    deal = lambda df, n: df.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("part", F.floor(F.col("shard") / TOGETHER))
-    shards = cut(deal(x, n_shards).groupBy("shard").applyInPandas(_pack("shard"), PACKED))
-    blocks = cut(deal(q, n_blocks).groupBy("shard").applyInPandas(_pack("block"), PACKED))
-    side = blocks.select(F.col("shard").alias("block"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.col("dim").alias("qdim"), F.col("kth").alias("qkth"))
+    n_groups = -(-n_blocks // BLOCKS_MET)
+    n_parts = max(-(-n_shards // SHARDS_MET), min(n_shards, -(-vectors.sparkSession.sparkContext.defaultParallelism // n_groups)))
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def packed(df: DataFrame, at: str, n: int, tree: bool) -> DataFrame:
+        dealt = df.withColumn(at, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+        return cut(dealt.groupBy(at).applyInPandas(_pack(tree), PACKED.format("at")).withColumnRenamed("at", at))
 
-    def seed(now: tuple, block: tuple, best: Best) -> pd.DataFrame:
-        return pd.DataFrame({"block": [now[0]], "kth": [best.kth().tobytes()]})
+    def kth_of(block: int, qid: np.ndarray, best: Best) -> pd.DataFrame:
+        return pd.DataFrame({"block": [block], "kth": [best.kth().tobytes()]})
 
-    def rows(now: tuple, block: tuple, best: Best) -> pd.DataFrame:
+    def rows_of(block: int, qid: np.ndarray, best: Best) -> pd.DataFrame:
         at = np.nonzero(best.real)
-        return pd.DataFrame({"query_id": block[0][at[0]], "vec_id": best.ids[at], "score": best.score[at]})
-
-    pilot = side.withColumn("shard", F.pmod("block", F.lit(n_shards))).join(shards, "shard")
-    kth = cut(_met(pilot, k, "block long, kth binary", seed))
-    side = side.drop("qkth").join(kth.withColumnRenamed("kth", "qkth"), "block")
-    n_parts = -(-n_shards // TOGETHER)
-    pairs = side.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long")))).join(shards, "part")
-    found = _met(pairs, k, "query_id long, vec_id long, score long", rows)
+        return pd.DataFrame({"query_id": qid[at[0]], "vec_id": best.ids[at], "score": best.score[at]})
+
+    shards, blocks = packed(x, "shard", n_shards, True), packed(q, "block", n_blocks, False).drop("tree")
+    first = shards.where(F.col("shard") < n_blocks).withColumn("block", F.explode(F.sequence("shard", F.lit(n_blocks - 1).cast("long"), F.lit(n_shards).cast("long"))))
+    kth = cut(_met(blocks.withColumn("kth", F.lit(None).cast("binary")), first, ["block"], k, "block long, kth binary", kth_of))
+    known = blocks.join(kth, "block", "left").withColumn("grp", F.pmod("block", F.lit(n_groups)).cast("int")).withColumn("part", whole(n_parts))
+    dealt = shards.withColumn("part", F.pmod("shard", F.lit(n_parts)).cast("int")).withColumn("grp", whole(n_groups))
+    found = _met(known, dealt, ["grp", "part"], k, "query_id long, vec_id long, score long", rows_of)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
