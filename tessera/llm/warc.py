@@ -19,8 +19,10 @@ from tessera.llm.common import commit_files, cut, file_store
 #: Ids that set the bounds of the shards: about so many, chosen by a hash of the id, reach the driver.
 BOUND_IDS = 20_000
 LEAST_SHARDS = 256
-SHARD_BYTES = 1 << 30
-FILE_BYTES = 1 << 30
+#: Payload bytes of a shard, of the shards that one task writes, and compressed bytes after which a file is closed.
+SHARD_BYTES, TASK_BYTES, FILE_BYTES = 1 << 28, 1 << 28, 1 << 25
+#: Bytes that the reader decompresses at once; what follows a member in them is read again.
+FEED = 1 << 13
 #: WARC-Date of every record, so that equal input gives equal files.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,13 +57,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of a gzip archive, one member in memory at a time."""
-    z, out, rest = zlib.decompressobj(31), io.BytesIO(), b""
-    while piece := rest or stream.read(1 << 20):
-        out.write(z.decompress(piece))
-        rest = z.unused_data
-        if z.eof:
-            yield _parsed(out.getvalue())
-            z, out = zlib.decompressobj(31), io.BytesIO()
+    z, out = zlib.decompressobj(31), io.BytesIO()
+    while piece := stream.read(1 << 20):
+        at, view = 0, memoryview(piece)
+        while at < len(piece):
+            part = view[at : at + FEED]
+            out.write(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+            if z.eof:
+                yield _parsed(out.getvalue())
+                z, out = zlib.decompressobj(31), io.BytesIO()
     if out.tell():
         raise ValueError("archive ends inside a record")
 
@@ -143,7 +148,9 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, file_by
     schema = "page_id long, url string, payload binary, key string, refers_to long, mark int"
     both = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("key"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("mark"))
     both = both.unionByName(marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "key", "refers_to", F.lit(0).alias("mark")))
-    dealt = both.mapInArrow(shard_of, schema + ", shard int").repartition("shard").sortWithinPartitions("shard", "page_id", "key", "mark", "url")
+    dealt = both.mapInArrow(shard_of, schema + ", shard int")
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)))
+    dealt = dealt.repartitionById(tasks, "shard").sortWithinPartitions("shard", "page_id", "key", "mark", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, now, mark, first = Roll(folder, file_bytes, uuid.uuid4().hex), None, None, True
