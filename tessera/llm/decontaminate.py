@@ -21,7 +21,9 @@ SPACE, STOP = 0x20, 0x01
 
 #: Bytes of windows that are broadcast at once; more are searched in several passes.
 PATTERN_BYTES = 32 << 20
-SHIFT_BITS = 18
+SHIFT_BITS = 20
+#: Word starts of a lane; the lanes of a step are searched side by side.
+LANE = 64
 
 
 def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +67,9 @@ class WuManber:
     """Patterns of similar length share a block shift table and suffix-hash buckets.
 
     The last block of a window's first ``m`` bytes (``m``: the shortest length of the group) is looked up in
-    the shift table.  A shift above 0 makes the position impossible; all positions of a step are looked up
-    together.  Every pattern begins with the space before a word, so only those positions are tried.
+    the shift table.  A shift above 0 skips so many positions, as no pattern begins there; at 0 the suffix hash is
+    tried, then the bytes.  Every pattern begins with the space before a word, so the search goes on at the next
+    of these.  The text is cut into lanes, which advance together, each by its own shift.
     """
 
     def __init__(self, patterns: list[bytes]) -> None:
@@ -94,10 +97,7 @@ class WuManber:
         padded = np.concatenate([text, np.zeros(8, np.uint8)])
         where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m, block, shift, suffix, keys, begin, ids in self.groups:
-            live = np.flatnonzero(at + m <= len(text))
-            last = np.stack([padded[at[live] + m - block + j] for j in range(block)], 1) if block < 4 else None
-            hashed = _block_hash(last) if block < 4 else _fold(np.ndarray((len(text) + 5,), np.uint32, padded, strides=(1,))[at[live] + m - 4])
-            live = live[shift[hashed] == 0]
+            live = self._unskipped(padded, at[: np.searchsorted(at, len(text) - m, "right")], m, block, shift)
             if not len(live):
                 continue
             key = np.ndarray((len(text) + 1,), np.uint64, padded, strides=(1,))[at[live] + m - suffix]
@@ -121,8 +121,23 @@ class WuManber:
                         which.append(np.full(len(hit), i))
         return np.concatenate(where), np.concatenate(which)
 
+    @staticmethod
+    def _unskipped(padded: np.ndarray, at: np.ndarray, m: int, block: int, shift: np.ndarray) -> np.ndarray:
+        """Indices into ``at`` of the positions that are reached and have a shift of 0."""
+        words = np.ndarray((len(padded) - 3,), np.uint32, padded, strides=(1,))
+        now, found = np.arange(0, len(at), LANE), [np.zeros(0, np.int64)]
+        stop = np.minimum(now + LANE, len(at))
+        while len(now):
+            last = words[at[now] + m - block]
+            skip = shift[_fold(last & np.uint32((1 << 8 * block) - 1))]
+            found.append(now[skip == 0])
+            now = np.where(skip == 0, now + 1, np.searchsorted(at, at[now] + skip))
+            now, stop = now[now < stop], stop[now < stop]
+        return np.sort(np.concatenate(found))
+
 
 def _fold(x: np.ndarray) -> np.ndarray:
+    """The place of a block in the shift table."""
     return (x * np.uint32(2654435761)) >> np.uint32(32 - SHIFT_BITS)
 
 
@@ -190,30 +205,26 @@ def contamination(docs: DataFrame, items: DataFrame, k: int = 10, keep: list[str
     """
     keep = ["doc_id"] if keep is None else keep
     patterns = cut(item_windows(items, k).groupBy("pattern", "n").agg(F.collect_set("item_id").alias("ids")))
-    total = patterns.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    total = patterns.agg(F.sum(F.length("pattern") + F.aggregate("ids", F.lit(0), lambda t, i: t + F.length(i)))).first()[0] or 0
     passes = max(1, -(-total // pattern_bytes))
-    spark, out = docs.sparkSession, None
+    plain = "text" in keep and docs.schema["text"].dataType.simpleString() == "string"
+    own = {c: "text" if plain and c == "text" else f"kept_{i}" for i, c in enumerate(keep) if c.lower() not in ("n_words", "n_hit", "spans", "items")}
+    out = docs.select(docs["text"].cast("string").alias("text"), *[docs[c].alias(n) for c, n in own.items() if n != "text"])
     for i in range(passes):
         part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i)
-        windows = [(bytes(r.pattern), r.n, list(r.ids)) for r in part.collect()]
-        sent = spark.sparkContext.broadcast(windows)
-        schema = "n_words bigint, spans array<array<bigint>>, items array<string>"
-        if out is None:
-            names = keep if passes == 1 else [*keep, *({"text"} - set(keep))]
-            out = add_columns(docs, "text", names, schema, _search_once(sent))
-        else:
-            before = out.withColumnRenamed("spans", "spans_0").withColumnRenamed("items", "items_0")
-            names = [c for c in before.columns if c != "n_words"]
-            out = add_columns(before, "text", names, schema, _search_once(sent))
-            out = out.withColumn("spans", F.concat("spans_0", "spans")).withColumn("items", F.array_sort(F.array_union("items_0", "items"))).drop("spans_0", "items_0")
+        sent = docs.sparkSession.sparkContext.broadcast([(bytes(r.pattern), r.n, list(r.ids)) for r in part.collect()])
+        before = [c for c in out.columns if c != "text" and c != "n_words"]
+        schema = f"n_words bigint, spans_{i} array<array<bigint>>, items_{i} array<string>"
+        out = add_columns(out, "text", [*before, *(["text"] if plain or i < passes - 1 else [])], schema, _search_once(sent))
+        if i:
+            out = out.withColumn(f"spans_{i}", F.concat(f"spans_{i - 1}", f"spans_{i}")).withColumn(f"items_{i}", F.array_union(f"items_{i - 1}", f"items_{i}")).drop(f"spans_{i - 1}", f"items_{i - 1}")
         if passes > 1:
             out = cut(out)
-    n_hit = F.size("hit_words") if passes > 1 else F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s[1] - s[0])
+    spans = F.col(f"spans_{passes - 1}")
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda t, s: t + s[1] - s[0])
     if passes > 1:
-        words = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s[0], s[1] - 1))))
-        out = out.withColumn("hit_words", words)
-    out = out.withColumn("n_hit", n_hit.cast("long"))
-    return out.select(*[c for c in keep if c.lower() not in ("n_words", "n_hit", "spans", "items")], "n_words", "n_hit", "spans", "items")
+        n_hit = F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s[0], s[1] - 1))))).cast("long")
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], "n_words", n_hit.alias("n_hit"), spans.alias("spans"), F.array_sort(f"items_{passes - 1}").alias("items"))
 
 
 _SEARCHERS: dict[str, Callable] = {}
