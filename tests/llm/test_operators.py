@@ -24,7 +24,7 @@ from tessera.llm.secrets import KINDS, redacted, secret_spans, written
 from tessera.llm.substring import SuffixAutomaton, remove_repeats
 from tessera.llm.top_k import top_k
 from tessera.llm.toxicity import toxicity
-from tessera.llm.training_order import Permutation, read_training_order, write_training_order
+from tessera.llm.training_order import Permutation, domain, read_training_order, token_array, write_training_order
 from tessera.llm.warc import read_warc, write_warc
 
 DOCS = "doc_id long, text string, lang string, n_words long, score double, spans string"
@@ -126,6 +126,10 @@ def test_contamination(spark, docs, texts):
     one = contamination(docs, items)
     key = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in df.collect())
     assert key(passes) == key(one)
+    clash = docs.select("doc_id", "text", F.lit(1).alias("spans_0"), F.lit("a").alias("items_0"), F.lit(2).alias("hit_words"), F.lit(3).alias("n_hit"))
+    for size in (400, 1 << 20):
+        rows = contamination(clash, items, keep=clash.columns, pattern_bytes=size)
+        assert rows.columns == ["doc_id", "text", "spans_0", "items_0", "hit_words", "n_words", "n_hit", "spans", "items"] and key(rows) == key(one)
     assert contamination(docs, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert contamination(docs.limit(0), items).count() == 0
 
@@ -169,6 +173,8 @@ def test_top_k(spark):
     for q, x in [r for r in ok if r[0] % 100 == 0]:
         best = sorted(((-int(x @ y), i) for i, y in ok if i != q))[:10]
         assert [got[q, j + 1] for j in range(10)] == [(i, -s) for s, i in best]
+    odd = spark.createDataFrame([(100, [1.0, 2.0]), (100, [1.0, 2.0]), (1, [3.0]), (1, [3.0]), (2, [2.0, 0.5, 9.0]), (3, []), (4, None), (5, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    same(top_k(odd, odd.where("vec_id % 100 = 0")), oracle.TOP_K, embeddings=odd)
     few = df.where("vec_id < 3")
     assert top_k(few, few).count() == 6 and top_k(df.limit(0), df).count() == 0 and top_k(df, df.limit(0)).count() == 0
 
@@ -236,6 +242,33 @@ def test_parallel_scan_equals_the_library(pieces):
         assert scanned(pieces, text, rng.choice([16, 33, 64, 200])) == lib.encode(text)
 
 
+def test_giants_equal_the_library(spark):
+    import sentencepiece
+
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL), random.Random(9)
+    prose = " ".join("".join(rng.choice(["ver", "stand", "ing", "la", "que", "tion", "über", "é", "x"]) for _ in range(rng.randint(1, 5))) for _ in range(16_000))
+    dense = "".join(rng.choice("日本語のテキスト😀abc") for _ in range(66_000))
+    spaces = "a" + " " * 70_000 + "b  c"
+    texts = [prose, dense, spaces, prose + " ▁" + prose]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in encode(df, PIECE_MODEL).collect():
+        assert r.ids == lib.encode(texts[r.doc_id]) and r.round_trip == (r.doc_id != 3)
+
+
+def test_words_are_forgotten_by_use(pieces, monkeypatch):
+    from tessera.llm import pieces as module
+
+    monkeypatch.setattr(module, "MEMORY", 40)
+    rng, one = random.Random(2), module.WordIds(pieces)
+    for step in range(30):
+        texts = [f" the {rng.randrange(10**6)} of  {step}", "", " the"]
+        data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+        flat, ends = one.encode(data, off)
+        assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [pieces.plain.encode(t) for t in texts]
+        assert one.come_back(flat, ends, data, off).all() and len(one.words) < 50
+    assert not one.come_back(np.append(flat, flat[:1]), np.append(ends, ends[-1] + 1), data, np.append(off, off[-1])).all()
+
+
 def test_encode_and_decode(spark, docs, texts):
     import sentencepiece
 
@@ -252,22 +285,40 @@ def test_encode_and_decode(spark, docs, texts):
 
 
 def test_training_order(spark):
-    for n in (1, 2, 3, 100, 4097):
+    for n in (1, 2, 3, 4, 100, 4096, 4097):
         p = Permutation(n, "k")
         slots = p.slot(np.arange(n))
-        assert sorted(slots) == list(range(n)) and (p.index(slots) == np.arange(n)).all()
-    rows = [(1, [5] * 10), (2, []), (3, None), (4, list(range(23))), (4, [65535]), (None, [1])]
+        assert sorted(slots.tolist()) == list(range(n)) and (p.index(slots) == np.arange(n)).all()
+    rows = [(1, [5] * 10), (2, []), (3, None), (4, list(range(23))), (4, [65535]), (4, [65535]), (None, [1]), (-7, [9] * 9), (2**62, [1, 2, 3])]
     df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
-    folder = shared_dir(spark)
-    write_training_order(df, folder, "key", length=8, shards=3)
-    got = sorted((r.slot, r.doc_id, r.part, list(r.tokens)) for r in read_training_order(spark, folder).collect())
-    assert [g[0] for g in got] == list(range(6))
-    assert sorted(g[1:] for g in got) == sorted((d, i // 8, ids[i : i + 8]) for d, ids in rows if d and ids for i in range(0, len(ids), 8))
+    want = [(d, i // 8, ids[i : i + 8]) for d, ids in rows if d and ids for i in range(0, len(ids), 8)]
+    orders = []
+    for source in (df.repartition(1), df.repartition(3, "ids"), df.repartition(7)):
+        folder = shared_dir(spark)
+        write_training_order(source, folder, "key", length=8, at=domain(source, F.size("ids"), 8, shards=3))
+        got = sorted((r.slot, r.doc_id, r.part, list(r.ids)) for r in read_training_order(spark, folder).withColumn("ids", token_array(F.col("tokens"))).collect())
+        assert [g[0] for g in got] == list(range(len(want)))
+        assert sorted(g[1:] for g in got) == sorted(want)
+        orders.append([g[1:] for g in got])
+    assert orders[0] == orders[1] == orders[2]
     assert [r.slot for r in read_training_order(spark, folder, 2, 5).orderBy("slot").collect()] == [2, 3, 4]
+    wide = shared_dir(spark)
+    write_training_order(spark.createDataFrame([(1, [70_000])], df.schema), wide, "key", width=4)
+    assert read_training_order(spark, wide).select(token_array(F.col("tokens"), 4)).first()[0] == [70_000]
     empty = shared_dir(spark)
     assert write_training_order(df.limit(0), empty, "key").count() == 0 and read_training_order(spark, empty).count() == 0
 
 
+def test_training_order_mixes_documents(spark):
+    df = spark.createDataFrame([(i, [i] * 40) for i in range(500)], "doc_id long, ids array<int>")
+    folder = shared_dir(spark)
+    manifest = write_training_order(df, folder, "key", length=8)
+    sizes = [r.records for r in manifest.collect()]
+    assert sum(sizes) == 2500 and max(sizes) < 110
+    docs = [r.doc_id for r in read_training_order(spark, folder).orderBy("slot").collect()]
+    assert abs(np.corrcoef(np.arange(2500), docs)[0, 1]) < 0.08 and abs(np.corrcoef(docs[1:], docs[:-1])[0, 1]) < 0.08
+
+
 BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
 
 
@@ -291,6 +342,54 @@ def test_secrets(spark):
     assert secret_spans(df.limit(0)).count() == 0
 
 
+def plain_battery(value):
+    """The battery of one string, written out with the exact normal distribution."""
+    import math
+
+    from tessera.llm.secrets import ENCODINGS, MARGIN, ORDER, PROSE3_EXCESS
+
+    body = value.rstrip("=")
+    e = next(e for e in ENCODINGS if re.match(e.pattern, body))
+    plain = body.lower() if e.name == "hex" else body.translate(str.maketrans("-_", "+/"))
+    c, k = np.array([e.symbols.index(x) for x in plain], float), len(e.symbols)
+    n, tail = len(c), lambda z: math.erfc(z / math.sqrt(2)) / 2
+    uniform = (np.unique(c, return_counts=True)[1] ** 2).sum() * k / n - n
+    p_uniform = tail(((n - 1) * (k * e.prose2 - 1) + k - 1 - uniform) / math.sqrt(4 * n * k * k * PROSE3_EXCESS + 2 * (k - 1)))
+    high = c >= k / 2
+    mean = 2 * high.sum() * (n - high.sum()) / n
+    z2 = ((high[1:] != high[:-1]).sum() - mean) / math.sqrt(mean * (mean - 1) / (n - 1)) if 0 < high.sum() < n and mean > 1 else n
+    spread = n * (c * c).sum() - c.sum() ** 2
+    z3 = ((n * (c * np.roll(c, -1)).sum() - c.sum() ** 2) / spread + 1 / (n - 1)) * math.sqrt(n) if spread > 0 else n
+    edge = ORDER * math.sqrt(n) + MARGIN
+    return n, e.name, max(p_uniform, tail(edge - abs(z2)), tail(edge - abs(z3)))
+
+
+def test_battery_and_false_discoveries(spark):
+    import math
+
+    from tessera.llm.secrets import BINS, FDR, LENGTHS, RUN, STEP
+
+    rng = random.Random(21)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"]
+    runs = ["".join(rng.choice(a) for _ in range(rng.choice([20, 23, 30, 40, 64, 120]))) for a in alphabets for _ in range(60)]
+    made = ["four2word-names-like-these", "aaaa1111aaaa1111aaaa1111", "abcdefghijklmnopqrstuvwxyz0123456789", "A1" * 30, "0" * 19 + "a", "Zz9" * 20, "release-notes-2024-final-version", "0123456789abcdef" * 4]
+    runs = [r for r in [*runs, *made * 3] if re.fullmatch(RUN, r) and re.search("[0-9]", r) and re.search("[A-Za-z]", r)]
+    df = spark.createDataFrame([(i, f"see {r} here") for i, r in enumerate(runs)], "doc_id long, text string")
+    got = {r.doc_id: "random" in r.spans for r in secret_spans(df).select("doc_id", written("spans").alias("spans")).collect()}
+    tests = [plain_battery(r) for r in runs]
+    level = [min(BINS, math.floor(-math.log10(max(p, 1e-90)) * STEP)) for _, _, p in tests]
+    length = [sum(n >= edge for edge in LENGTHS) for n, _, _ in tests]
+    for c in set(length):
+        own = [v for v, x in zip(level, length) if x == c]
+        good = [v for v in set(own) if 10 ** (-v / STEP) <= FDR * sum(w >= v for w in own) / len(own)]
+        limit = min(good, default=BINS + 1)
+        for i, (v, x) in enumerate(zip(level, length)):
+            if x == c and abs(v - limit) > 1:
+                assert got[i] == (v >= limit), (runs[i], tests[i], limit)
+    long = [got[i] for i, r in enumerate(runs) if r not in made and len(r) >= 30 and tests[i][1] != "base32"]
+    assert sum(long) / len(long) > 0.95 and not any(got[i] for i, r in enumerate(runs) if r in made)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -364,3 +463,37 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     clean = con.sql(f"SELECT doc_id FROM ({oracle.decontaminate()}) WHERE NOT contaminated").df().doc_id
     assert {r.doc_id for r in cp.decontaminate(spark, docs, src).collect()} == set(clean)
     assert pd.Series(list(ids)).isin(pdf.doc_id).all()
+
+
+STRANGE = "label int, candidates string, score double, spans string, n_hit long, items string, terms long, Features string, ids string, component_id long, kept boolean, text_key string, n_chars long"
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    body = [" ".join(words(rng, 40, 5000)) for _ in range(300)]
+    insult = [f"{' '.join(words(rng, 20, 5000))} grimble" for _ in range(60)]
+    item = " ".join(words(rng, 25, 10**6))
+    rows = [(i, t) for i, t in enumerate(body)] + [(1000 + i, t) for i, t in enumerate(insult)]
+    rows += [(2000, body[0]), (2001, body[1] + " more"), (2002, "a b " + item + " c"), (2003, "password: hunter22 x"), (2004, None), (2005, ""), (None, "no id"), (2006, "one"), (2006, "one"), (2007, "z " * 40_000 + "end")]
+    extra = (1, "c", 0.25, "s", 7, "i", 3, "f", "x", 5, True, "k", 9)
+    df = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, " + STRANGE)
+    src = str(tmp_path)
+    df.write.parquet(f"{src}/documents.parquet")
+    spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows if i is not None and i < 1060], "doc_id long, toxic int").write.parquet(f"{src}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{src}/benchmark.parquet")
+    docs = df
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, src)
+        assert docs.columns == df.columns and docs.schema == df.schema, name
+        assert stage(spark, df.limit(0), src).count() == 0, name
+    got = {(r.doc_id, r.text): r for r in docs.collect()}
+    ids = [i for i, _ in got]
+    assert not [i for i in ids if i is not None and 1000 <= i < 1060] and not {2000, 2001, 2002} & set(ids)
+    assert set(range(300)) <= set(ids) and {2003, 2004, 2005, 2006, 2007, None} <= set(ids)
+    assert (2003, "[secret] x") in got and got[2003, "[secret] x"].n_chars == 10 and got[2006, "one"][2:] == extra
+    out = cp.run(spark, src)
+    assert out.columns == [c for c in df.columns if c not in ("text", "ids")] + ["n_tokens", "ids", "round_trip"]
+    rows = out.collect()
+    assert len(rows) == docs.count() and all(r.round_trip and r.candidates == "c" for r in rows)
