@@ -16,8 +16,8 @@ SEARCH_TOKEN = r"[a-z0-9]+(?:[._+-][a-z0-9]+)*"
 
 @F.pandas_udf(StringType())
 def search_normalised(texts: pd.Series) -> pd.Series:
-    """NFKC and case folding, for text beyond ASCII."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+    """NFKC and case folding; plain ASCII is lower-cased only."""
+    return texts.map(lambda t: None if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
 
 
 @F.pandas_udf(StringType())
@@ -42,6 +42,11 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(SEARCH_TOKEN), F.lit(0))
 
 
+def search_terms(text: Column) -> Column:
+    """Search tokens of any text: full-width digits, ligatures and case variants beyond ASCII count as their plain forms."""
+    return F.regexp_extract_all(search_normalised(F.coalesce(text, F.lit(""))), F.lit(SEARCH_TOKEN), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """ASCII form of the matching normaliser, in built-in functions."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))

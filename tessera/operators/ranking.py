@@ -1,7 +1,9 @@
 """Ranking features and the heuristic ranker.
 
-Candidates have query_id, product_id, price, budget, workload (a weighted score), the retrieval scores, and any
-signal named below; an absent signal counts as null.
+Candidates have query_id, product_id, price, budget, the retrieval scores, and any signal named below; an absent
+signal counts as null.  What a signal doesn't give is computed where the columns for it are there: model (text) and
+query_terms (tokens), attributes and requirements (maps of text), brand and preferred_brands (an array), and
+workload_scores and workload_weights (maps of numbers).
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import search_tokens
 from tessera.operators.windows import min_max, price_percentile, ranked
 
 #: Weights of the heuristic ranker (fixed values).
@@ -60,9 +63,26 @@ def model_match(model: Column, query: Column) -> Column:
 
 
 def requirement_fit(actual: Column, required: Column) -> Column:
-    """Ratio to the requirement, within 0..2; 1 without a requirement, 0 for an unknown value."""
+    """Ratio to the requirement, within 0..2; 0 without a requirement or for an unknown value."""
     ratio = F.greatest(F.lit(0.0), F.least(F.lit(2.0), actual / required))
-    return F.when(F.coalesce(required, F.lit(0)) <= 0, 1.0).otherwise(F.coalesce(ratio, F.lit(0.0)))
+    return F.when((required > 0) & actual.isNotNull(), ratio).otherwise(0.0)
+
+
+def unit(value: Column) -> Column:
+    """A share within 0..1; values above 1 are taken for percentages."""
+    v = F.coalesce(value, F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v > 1, v / 100).otherwise(v)))
+
+
+def specification_match(requirements: Column, attributes: Column) -> Column:
+    """Share of the requirements other than minimums that known attributes meet; 0 without any."""
+    said = F.filter(F.map_entries(requirements), lambda e: ~e["key"].startswith("minimum_") & F.try_element_at(attributes, e["key"]).isNotNull())
+    met = F.size(F.filter(said, lambda e: F.lower(F.try_element_at(attributes, e["key"])) == F.lower(e["value"])))
+    return F.coalesce(F.try_divide(met.cast("double"), F.size(said)), F.lit(0.0))
+
+
+def preference_match(brand: Column, preferred: Column) -> Column:
+    return F.coalesce(F.array_contains(F.transform(preferred, F.lower), F.lower(brand)).cast("double"), F.lit(0.0))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -70,14 +90,21 @@ def features(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     get = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
     zero = lambda c: F.coalesce(get(c), F.lit(0.0))
-    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), zero(c)))
-    price, budget, work = get("price"), F.coalesce(get("budget"), F.lit(0.0)), zero("weighted_workload_score")
+    given = lambda c, need, compute: F.coalesce(F.when(get(c).isNotNull(), unit(get(c))), compute() if have.issuperset(need) else F.lit(0.0))
+    price, budget = get("price"), F.coalesce(get("budget"), F.lit(0.0))
+    work = zero("weighted_workload_score")
+    if "workload_scores" in have:
+        weights = F.col("workload_weights") if "workload_weights" in have else F.create_map().cast("map<string,double>")
+        work = F.when(F.coalesce(F.size("workload_scores"), F.lit(0)) > 0, weighted_mean(F.col("workload_scores"), weights)).otherwise(work)
     share = F.when(price.isNull(), F.when(budget > 0, 1.5).otherwise(0.0)).when(budget > 0, price / budget).otherwise(0.0)
     fit = F.when(price.isNull(), 0.0).when(budget > 0, F.greatest(F.lit(0.0), 1 - price / budget)).otherwise(0.5)
     median = get("median_price_30d")
     out = {
-        **{c: zero(c) for c in ("bm25_score", "vector_similarity", "rrf_score", "exact_model_match", "specification_match", "preference_match_score", "observed_benchmark_score", "predicted_workload_score")},
-        **{c: unit(c) for c in ("availability_score", "reliability_score", "review_score", "freshness_score", "upgradeability_score", "power_efficiency_score")},
+        **{c: zero(c) for c in ("bm25_score", "vector_similarity", "rrf_score", "observed_benchmark_score", "predicted_workload_score")},
+        **{c: unit(get(c)) for c in ("availability_score", "reliability_score", "review_score", "freshness_score", "upgradeability_score", "power_efficiency_score")},
+        "exact_model_match": given("exact_model_match", {"model", "query_terms"}, lambda: model_match(search_tokens(F.col("model")), F.col("query_terms"))),
+        "specification_match": given("specification_match", {"requirements", "attributes"}, lambda: specification_match(F.col("requirements"), F.col("attributes"))),
+        "preference_match_score": given("preference_match_score", {"brand", "preferred_brands"}, lambda: preference_match(F.col("brand"), F.col("preferred_brands"))),
         "weighted_workload_score": work,
         "has_observed_benchmark": get("observed_benchmark_score").isNotNull().cast("double"),
         "gpu_memory_fit": requirement_fit(get("vram_gb"), get("minimum_vram_gb")),

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import parts as P
 from tessera.operators import entity as E
 from tessera.operators import ranking as K
 from tessera.plans.registry import query, table
 
-CAND = """c AS (SELECT p_type AS query_id, p_partkey AS product_id, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS price, 1500.0::DOUBLE AS budget, p_size / 50 AS weighted_workload_score,
-(p_partkey % 7) / 7 AS bm25_score, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 11) / 11 END AS observed_benchmark_score, p_size AS vram_gb, 16 AS minimum_vram_gb, 1200.0::DOUBLE AS median_price_30d, p_size % 9 AS warranty_years, (p_partkey % 3) / 2 AS availability_score FROM part)"""
+ASKED = "CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 9 = 1 THEN 0 ELSE 16 END"
+CAND = f"""c AS (SELECT p_type AS query_id, p_partkey AS product_id, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS price, 1500.0::DOUBLE AS budget, p_size / 50 AS weighted_workload_score,
+(p_partkey % 7) / 7 AS bm25_score, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 11) / 11 END AS observed_benchmark_score, p_size AS vram_gb, {ASKED} AS minimum_vram_gb, 1200.0::DOUBLE AS median_price_30d, p_size % 9 AS warranty_years, (p_partkey % 3) / 2 AS availability_score,
+p_partkey % 120 AS review, p_name, p_brand, CASE p_partkey % 4 WHEN 0 THEN 'ATX' WHEN 1 THEN 'sfx' END AS form, p_partkey % 6 AS speed FROM part)"""
+SHARE = lambda e: f"greatest(0, least(1, CASE WHEN {e} > 1 THEN {e} / 100 ELSE {e} END))"
 FEAT = f"""{CAND}, f AS (SELECT query_id, product_id, bm25_score, coalesce(observed_benchmark_score, 0) AS observed_benchmark_score, (observed_benchmark_score IS NOT NULL)::INT::DOUBLE AS has_observed_benchmark, weighted_workload_score,
-greatest(0, least(2, vram_gb / minimum_vram_gb)) AS gpu_memory_fit, coalesce(ln(1 + price), 0) AS price_log1p, coalesce(price / budget, 1.5) AS budget_share, coalesce(greatest(0, 1 - price / budget), 0) AS budget_fit,
+coalesce(CASE WHEN minimum_vram_gb > 0 THEN greatest(0, least(2, vram_gb / minimum_vram_gb)) END, 0) AS gpu_memory_fit, coalesce(ln(1 + price), 0) AS price_log1p, coalesce(price / budget, 1.5) AS budget_share, coalesce(greatest(0, 1 - price / budget), 0) AS budget_fit,
 coalesce(weighted_workload_score * 1000 / CASE WHEN price < 1 THEN 1 ELSE price END, 0) AS price_to_performance, CASE WHEN price IS NULL THEN 1 ELSE cume_dist() OVER (PARTITION BY query_id, price IS NULL ORDER BY price) END AS price_percentile,
-coalesce((median_price_30d - price) / median_price_30d, 0) AS discount_vs_30d_median, warranty_years / 10 AS warranty_score, availability_score FROM c)"""
-SHOWN = ["bm25_score", "observed_benchmark_score", "has_observed_benchmark", "weighted_workload_score", "gpu_memory_fit", "price_log1p", "budget_share", "budget_fit", "price_to_performance", "price_percentile", "discount_vs_30d_median", "warranty_score", "availability_score"]
+coalesce((median_price_30d - price) / median_price_30d, 0) AS discount_vs_30d_median, warranty_years / 10 AS warranty_score, availability_score, {SHARE("review")}::DOUBLE AS review_score,
+(string_split(p_name, ' ')[1] IN ('red', 'small'))::INT::DOUBLE AS exact_model_match, coalesce(((form = 'ATX')::INT + (speed = 3)::INT) / ((form IS NOT NULL)::INT + 1), (speed = 3)::INT)::DOUBLE AS specification_match,
+(p_brand IN ('Brand#2', 'Brand#17'))::INT::DOUBLE AS preference_match_score FROM c)"""
+SHOWN = ["bm25_score", "observed_benchmark_score", "has_observed_benchmark", "weighted_workload_score", "gpu_memory_fit", "price_log1p", "budget_share", "budget_fit", "price_to_performance", "price_percentile", "discount_vs_30d_median", "warranty_score", "availability_score",
+         "review_score", "exact_model_match", "specification_match", "preference_match_score"]
 SCALED = {c: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0 END" for c in SHOWN}
 
 
@@ -23,8 +30,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         F.col("p_type").alias("query_id"), k.alias("product_id"), F.when(k % 13 != 0, F.col("p_retailprice")).alias("price"), F.lit(1500.0).alias("budget"), (F.col("p_size") / 50).alias("weighted_workload_score"),
-        (k % 7 / 7).alias("bm25_score"), F.when(k % 5 != 0, k % 11 / 11).alias("observed_benchmark_score"), F.col("p_size").alias("vram_gb"), F.lit(16).alias("minimum_vram_gb"), F.lit(1200.0).alias("median_price_30d"),
-        (F.col("p_size") % 9).alias("warranty_years"), (k % 3 / 2).alias("availability_score"),
+        (k % 7 / 7).alias("bm25_score"), F.when(k % 5 != 0, k % 11 / 11).alias("observed_benchmark_score"), F.col("p_size").alias("vram_gb"), F.expr(ASKED).alias("minimum_vram_gb"), F.lit(1200.0).alias("median_price_30d"),
+        (F.col("p_size") % 9).alias("warranty_years"), (k % 3 / 2).alias("availability_score"), (k % 120).alias("review_score"),
+        F.split("p_name", " ")[0].alias("model"), F.array(F.lit("red"), F.lit("small"), F.lit("widget")).alias("query_terms"), F.col("p_brand").alias("brand"), F.array(F.lit("brand#2"), F.lit("BRAND#17")).alias("preferred_brands"),
+        F.create_map(F.lit("form"), F.when(k % 4 == 0, "ATX").when(k % 4 == 1, "sfx"), F.lit("speed"), (k % 6).cast("string")).alias("attributes"),
+        F.create_map(F.lit("form"), F.lit("atx"), F.lit("speed"), F.lit("3"), F.lit("minimum_vram_gb"), F.lit("16"), F.lit("colour"), F.lit("red")).alias("requirements"),
     )
 
 
@@ -47,36 +57,137 @@ def rank_pointwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.train_pointwise(rows, "grade").transform(rows).select("query_id", "product_id", "prediction")
 
 
+#: A part as a product and as its listing: expressions that both engines read.
+KINDS = [("STANDARD", "memory", "RAM", "capacity_gb", " GB"), ("PROMO", "storage", "SSD", "capacity_gb", " GB"), ("LARGE", "power_supply", "PSU", "wattage_w", " W"), ("SMALL", "gpu", "Graphics Card", "vram_gb", " GB"),
+         ("ECONOMY", "cooler", "CPU Cooler", "radiator_size_mm", " mm"), ("MEDIUM", "cpu", "Processor", "cores", "")]
+
+
+def _by_kind(i: int) -> str:
+    return "CASE p_type " + " ".join(f"WHEN '{k[0]}' THEN '{k[i]}'" for k in KINDS) + " END"
+
+
+SOLD = "p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END"
+TITLE = "p_name || ' k' || CAST(floor(p_partkey / 4) AS BIGINT) || ' '"
+COLOUR = "CASE WHEN p_partkey % 4 = 0 THEN 'black' WHEN p_partkey % 4 = 2 THEN 'white' END"
+PRODUCT = {
+    "id": "p_partkey", "category": _by_kind(1), "brand": "p_brand", "mpn": "CASE WHEN p_partkey % 3 = 0 THEN 'MPN-' || p_partkey END", "gtin": "CASE WHEN p_partkey % 10 = 1 THEN '880' || (1000000000 + p_partkey) END",
+    "title": f"{TITLE} || p_size || {_by_kind(4)}", "price": "p_retailprice", "value": f"CASE WHEN p_partkey % 2 = 0 THEN p_size || {_by_kind(4)} END", "colour": f"CASE WHEN p_partkey % 2 = 0 THEN {COLOUR} END",
+}
+LISTING = {
+    "id": "p_partkey + 1000000", "category": _by_kind(2), "brand": "CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_brand END", "mpn": "CASE WHEN p_partkey % 6 = 0 THEN 'mpn ' || p_partkey END",
+    "gtin": "CASE WHEN p_partkey % 10 = 1 THEN '880' || (1000000000 + p_partkey) WHEN p_partkey % 60 = 12 THEN '880' || (1000000000 + p_partkey - 1) END",
+    "title": f"CASE WHEN p_partkey % 100 = 0 THEN p_brand || ' ' ELSE '' END || {TITLE} || ({SOLD}) || {_by_kind(4)} || CASE WHEN p_partkey % 12 = 9 THEN ' MPN' || p_partkey ELSE '' END || CASE WHEN p_partkey % 16 = 0 THEN ' white' WHEN p_partkey % 4 = 0 THEN ' Black' ELSE '' END",
+    "price": "paid", "value": f"CASE WHEN p_type = 'ECONOMY' THEN ({SOLD}) || ' mm' END", "colour": "CAST(NULL AS STRING)",
+}
+FIELD = _by_kind(3)
+
+
 def listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
-    cols = lambda d, pid: d.select(pid.alias("id"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("MPN-"), "p_partkey")).alias("mpn"),
-                                   F.lit(None).cast("string").alias("gtin"), F.concat_ws(" ", "p_name", F.concat(F.lit("k"), (F.col("p_partkey") / 4).cast("long"))).alias("title"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("capacity"))
+
+    def side(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+        out = rows.select(*[F.expr(e).alias(c) for c, e in columns.items()], F.expr(FIELD).alias("field"))
+        attributes = F.when(F.col("value").isNotNull(), F.create_map("field", "value", F.lit("colour"), "colour"))
+        return out.withColumn("attributes", attributes).drop("field", "value", "colour")
+
     sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_extendedprice").alias("paid"))
-    seen = part.join(sold, F.col("l_partkey") == F.col("p_partkey")).withColumn("p_retailprice", F.col("paid"))
-    return cols(seen, F.col("p_partkey") + 1000000), cols(part, F.col("p_partkey"))
+    return side(part.join(sold, F.col("l_partkey") == F.col("p_partkey")), LISTING), side(part, PRODUCT)
+
+
+def _q(e: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({e}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _sql_side(p: str, columns: dict[str, str], source: str) -> str:
+    c = {k: v.replace("AS STRING", "AS VARCHAR") for k, v in columns.items()}
+    sold = SOLD if p == "l" else "p_size"
+    known = "p_type <> 'MEDIUM'" + (" AND (p_type <> 'ECONOMY' OR p_partkey % 2 = 0)" if p == "p" else "")
+    generic = ", ".join(f"'{g}'" for g in P.GENERIC)
+    colours = ", ".join(f"'{g}'" for g in P.COLOURS)
+    return f"""{p}0 AS (SELECT {c['id']} AS {p}_id, {_by_kind(1)} AS block, {_q(c['brand'])} AS {p}_brand, regexp_replace(lower(coalesce({c['mpn']}, '')), '[^a-z0-9]+', '', 'g') AS {p}_mpn, coalesce({c['gtin']}, '') AS {p}_gtin, {_q(c['title'])} AS {p}_title,
+({c['price']})::DOUBLE AS {p}_price, CASE WHEN {known} THEN ({sold})::DOUBLE END AS {p}_value, {c['colour']} AS {p}_colour, {c['value']} AS {p}_text, {FIELD} AS {p}_field, p_type, ({sold})::DOUBLE AS {p}_said FROM {source}),
+{p} AS (SELECT *, list_filter(list_distinct(string_split({p}_title, ' ')), lambda x: x NOT IN ('', {generic})) AS {p}_ts, list_filter(list_distinct(string_split({p}_title, ' ')), lambda x: regexp_matches(x, '[0-9]')) AS {p}_ns, list_intersect(list_distinct(string_split({p}_title, ' ')), [{colours}]) AS {p}_cs,
+list_filter(list_transform(range(1, length(replace({p}_title, ' ', '')) - 2), lambda i: substr(replace({p}_title, ' ', ''), i, 4)), lambda x: regexp_matches(x, '[0-9]')) AS {p}_gs,
+list_filter([CASE WHEN {p}_text IS NOT NULL THEN {p}_field || '=' || {_q(p + '_text')} END, CASE WHEN {p}_text IS NOT NULL AND {p}_colour IS NOT NULL THEN 'colour=' || {p}_colour END], lambda x: x IS NOT NULL) AS {p}_specs FROM {p}0)"""
+
 
+def _jac(a: str, b: str, missing: str = "0") -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN {missing} ELSE {both} / (len(list_distinct({a})) + len(list_distinct({b})) - {both}) END"
 
-PAIRS = r"""base AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS block, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS brand, CASE WHEN p_partkey % 3 = 0 THEN 'mpn' || p_partkey ELSE '' END AS mpn,
-trim(regexp_replace(lower(p_name || ' k' || (p_partkey // 4)), '[^a-z0-9]+', ' ', 'g')) AS title, p_retailprice AS price, p_size AS capacity FROM part),
-l AS (SELECT base.* REPLACE (paid AS price, p_partkey + 1000000 AS p_partkey) FROM base JOIN (SELECT l_partkey, min(l_extendedprice) AS paid FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
-tl AS (SELECT *, list_distinct(string_split(title, ' ')) AS ts FROM l), tp AS (SELECT *, list_distinct(string_split(title, ' ')) AS ts FROM base),
-pairs AS (SELECT l.p_partkey AS l_id, p.p_partkey AS p_id, l.mpn <> '' AND l.mpn = p.mpn AS exact_mpn, l.brand = p.brand AS brand_match, l.ts AS lt, p.ts AS pt, l.price AS lp, p.price AS pp,
-  len(list_intersect(l.ts, p.ts)) AS shared FROM tl l JOIN tp p ON l.block = p.block AND l.capacity = p.capacity WHERE ((l.mpn <> '' AND l.mpn = p.mpn) OR len(list_intersect(l.ts, p.ts)) > 0) AND (l.brand = p.brand OR (l.mpn <> '' AND l.mpn = p.mpn)))"""
 
+MET = f"""{_sql_side('l', LISTING, '(SELECT part.*, paid FROM part JOIN (SELECT l_partkey, min(l_extendedprice) AS paid FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)')}, {_sql_side('p', PRODUCT, 'part')},
+m AS (SELECT *, l_mpn <> '' AND l_mpn = p_mpn AS exact_mpn, l_gtin <> '' AND l_gtin = p_gtin AS exact_gtin, l_brand <> '' AND l_brand = p_brand AS brand_match, coalesce(l_value <> p_value, false) AS conflict,
+len(l_cs) > 1 OR (len(l_cs) = 1 AND p_colour IS NOT NULL AND p_colour <> l_cs[1]) AS colour_conflict, {_jac('l_ts', 'p_ts')} AS overlap FROM l JOIN p USING (block)),
+kept AS (SELECT * FROM m WHERE exact_mpn OR exact_gtin OR ((l_brand = '' OR l_brand = p_brand) AND (len(list_intersect(l_ts, p_ts)) > 0 OR len(list_intersect(l_gs, p_gs)) > 0))),
+pairs AS (SELECT * FROM kept WHERE NOT conflict)"""
+BASE = "CASE WHEN exact_mpn OR exact_gtin THEN 0.995 WHEN brand_match AND overlap >= 0.999 THEN 0.985 ELSE 0.01 END::DOUBLE"
+SQL_FEATURES = {
+    "exact_mpn_match": "exact_mpn::INT", "exact_gtin_match": "exact_gtin::INT", "brand_match": "brand_match::INT", "category_match": "1", "model_token_overlap": "overlap", "numeric_token_agreement": _jac("l_ns", "p_ns", "0.5"),
+    "capacity_agreement": "CASE WHEN block IN ('memory', 'storage', 'gpu') THEN (l_said = p_said)::INT ELSE 0.5 END", "form_factor_agreement": "0.5", "specification_overlap": _jac("l_specs", "p_specs"), "embedding_cosine_similarity": "0",
+    "relative_price_difference": "least(5, abs(l_price - p_price) / greatest(abs(l_price), abs(p_price), 1))", "price_missing": "0", "numeric_conflict": "conflict::INT", "mpn_mismatch": "(l_mpn <> '' AND p_mpn <> '' AND l_mpn <> p_mpn)::INT",
+    "gtin_mismatch": "(l_gtin <> '' AND p_gtin <> '' AND l_gtin <> p_gtin)::INT", "brand_mismatch": "(l_brand <> '' AND p_brand <> '' AND l_brand <> p_brand)::INT", "numeric_conflict_count": "conflict::INT",
+    "numeric_conflict_severity": "CASE WHEN conflict THEN abs(l_value - p_value) / greatest(l_value, p_value, 1) ELSE 0 END", "capacity_conflict": "(conflict AND block IN ('memory', 'storage', 'gpu'))::INT", "module_count_conflict": "0",
+    "power_conflict": "(conflict AND block = 'power_supply')::INT", "radiator_conflict": "(conflict AND block = 'cooler')::INT",
+}
 
-@query(f"""WITH {PAIRS} SELECT l_id, p_id, exact_mpn::INT AS exact_mpn, brand_match::INT AS brand_match, round(shared / (len(lt) + len(pt) - shared), 6) AS token_jaccard, shared::INTEGER AS shared_tokens,
-round(abs(lp - pp) / greatest(lp, pp), 6) AS price_difference FROM pairs""")
+
+@query(f"WITH {MET} SELECT l_id, p_id, {', '.join(f'round(({e})::DOUBLE, 6) AS {f}' for f, e in SQL_FEATURES.items())} FROM kept")
 def entity_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.pair_features(E.block_pairs(*listings(spark, sf_dir)))
-    return rows.select("l_id", "p_id", "exact_mpn", "brand_match", F.round("token_jaccard", 6).alias("token_jaccard"), "shared_tokens", F.round("price_difference", 6).alias("price_difference"))
+    rows = E.pair_features(E.block_pairs(*listings(spark, sf_dir), keep_conflicts=True))
+    return rows.select("l_id", "p_id", *[F.round(c, 6).alias(c) for c in E.FEATURES if c != "character_similarity"])
 
 
-@query(f"""WITH {PAIRS}, s AS (SELECT l_id, p_id, CASE WHEN exact_mpn THEN 0.995 WHEN brand_match AND shared / (len(lt) + len(pt) - shared) >= 0.999 THEN 0.985 ELSE 0.01 END AS score FROM pairs),
-r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY l_id ORDER BY score DESC, p_id))
-SELECT l_id, p_id, score::DOUBLE AS score, CASE WHEN round(score - coalesce(nxt, 0), 9) < 0.02 AND score >= 0.8 THEN 'ambiguous' WHEN score >= 0.98 THEN 'auto' WHEN score >= 0.8 THEN 'manual' ELSE 'reject' END AS outcome FROM r WHERE rn = 1""")
+@query(f"""WITH {MET}, s AS (SELECT l_id, p_id, {BASE} AS score, colour_conflict FROM pairs),
+r AS (SELECT *, row_number() OVER w AS rn, lead(CASE WHEN NOT colour_conflict THEN score END) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY l_id ORDER BY colour_conflict, score DESC, p_id))
+SELECT l_id, p_id, score, CASE WHEN colour_conflict THEN 'reject' WHEN round(score - coalesce(nxt, 0), 9) < 0.02 AND score >= 0.8 THEN 'ambiguous' WHEN score >= 0.98 THEN 'auto' WHEN score >= 0.8 THEN 'manual' ELSE 'reject' END AS outcome FROM r WHERE rn = 1""")
 def entity_listing_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = E.block_pairs(*listings(spark, sf_dir))
-    return E.listing_outcomes(pairs.withColumn("score", E.exact_baseline(pairs)))
+    return E.listing_outcomes(pairs.withColumns({"score": E.exact_baseline(pairs), "conflict": E.hard_conflict(pairs)}))
+
+
+ANCHORED = f"""a AS (SELECT l_id, p_id, l_gtin <> '' AND l_gtin = p_gtin AS g, len(p_mpn) >= 3 AND CASE WHEN l_brand <> '' THEN l_brand = p_brand ELSE p_brand <> '' AND starts_with(l_title || ' ', p_brand || ' ') END
+  AND (l_mpn = p_mpn OR (l_mpn = '' AND len(p_mpn) >= 6 AND instr(replace(l_title, ' ', ''), p_mpn) > 0)) AS mp, NOT (conflict OR colour_conflict) AS safe FROM m),
+an AS (SELECT l_id, count_if(g) AS n_g, count_if(mp) AS n_m, count_if(g AND mp) AS n_gm, count_if(g AND safe) AS s_g, count_if(mp AND safe) AS s_m, min(p_id) FILTER (g) AS p_g, min(p_id) FILTER (mp) AS p_m FROM a WHERE g OR mp GROUP BY l_id),
+ao AS (SELECT l_id, n_g, p_g, p_m, CASE WHEN n_g > 0 AND n_m > 0 AND (n_gm < n_g OR n_gm < n_m) THEN 'ambiguous' WHEN CASE WHEN n_g > 0 THEN s_g = 1 AND n_g = 1 ELSE s_m = 1 AND n_m = 1 END THEN 'auto_matched' WHEN CASE WHEN n_g > 0 THEN s_g = 0 ELSE s_m = 0 END THEN 'hard_conflict' ELSE 'ambiguous' END AS outcome FROM an),
+anchored AS (SELECT l_id, outcome, CASE WHEN outcome = 'auto_matched' THEN CASE WHEN n_g > 0 THEN p_g ELSE p_m END END AS p_id, CASE WHEN outcome = 'auto_matched' THEN CASE WHEN n_g > 0 THEN 'exact_gtin' ELSE 'exact_mpn_brand' END END AS method FROM ao)"""
+
+
+@query(f"WITH {MET}, {ANCHORED} SELECT l_id, outcome, coalesce(p_id, -1) AS p_id, method FROM anchored")
+def entity_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.anchored(*listings(spark, sf_dir)).withColumn("p_id", F.coalesce("p_id", F.lit(-1)))
+
+
+MATCHED = f"""sc AS (SELECT l_id, p_id, {BASE} AS score, conflict OR colour_conflict AS conflict FROM kept),
+sw AS (SELECT l_id, p_id AS winner, score AS probability, score - lead(score) OVER w AS margin, row_number() OVER w AS rn FROM sc WHERE NOT conflict WINDOW w AS (PARTITION BY l_id ORDER BY score DESC, p_id)),
+md AS (SELECT l.l_id, CASE WHEN c.l_id IS NULL THEN 'model_rejected' WHEN winner IS NULL THEN 'hard_conflict' WHEN probability >= 0.98 THEN CASE WHEN coalesce(round(margin, 12) < 0.02, false) THEN 'manual_review' ELSE 'auto_matched' END WHEN probability >= 0.8 THEN 'manual_review' ELSE 'model_rejected' END AS said, winner, probability, margin
+  FROM l LEFT JOIN (SELECT DISTINCT l_id FROM sc) c USING (l_id) LEFT JOIN (SELECT * FROM sw WHERE rn = 1) s USING (l_id)),
+res AS (SELECT md.l_id, coalesce(a.outcome, said) AS outcome, CASE WHEN a.outcome IS NOT NULL THEN a.p_id WHEN said = 'auto_matched' THEN winner END AS p_id, CASE WHEN a.outcome IS NULL THEN 'model' ELSE a.method END AS method,
+  CASE WHEN a.outcome IS NULL THEN probability END AS probability, CASE WHEN a.outcome IS NULL THEN winner END AS winner, CASE WHEN a.outcome IS NULL THEN margin END AS margin FROM md LEFT JOIN anchored a USING (l_id))"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sides = listings(spark, sf_dir)
+    pairs = E.block_pairs(*sides, keep_conflicts=True)
+    scored = pairs.select("l_id", "p_id", E.exact_baseline(pairs).alias("score"), E.hard_conflict(pairs).alias("conflict"))
+    return E.matched(*sides, scored, authorized=True), scored
+
+
+@query(f"WITH {MET}, {ANCHORED}, {MATCHED} SELECT l_id, outcome, coalesce(p_id, -1) AS p_id, method, coalesce(winner, -1) AS winner, round(margin, 6) AS margin FROM res")
+def entity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir)[0].select("l_id", "outcome", F.coalesce("p_id", F.lit(-1)).alias("p_id"), "method", F.coalesce("winner", F.lit(-1)).alias("winner"), F.round("margin", 6).alias("margin"))
+
+
+@query(f"""WITH {MET}, {ANCHORED}, {MATCHED}, g AS (SELECT l_id, CASE WHEN l_id % 9 <> 0 THEN l_id - 1000000 END AS gold FROM l),
+x AS (SELECT res.*, gold, b.l_id IS NOT NULL AS hit, coalesce(method = 'model' AND probability >= 0.98, false) AS sure, coalesce(round(margin, 12) < 0.02, false) AS close, coalesce(coalesce(res.p_id, winner) = gold, false) AS won FROM res JOIN g USING (l_id) LEFT JOIN (SELECT DISTINCT sc.l_id FROM sc JOIN g USING (l_id) WHERE p_id = gold) b USING (l_id)),
+t AS (SELECT count(*) AS listings, count(gold) AS in_catalogue, count_if(hit) AS blocking_hits, count_if(gold IS NOT NULL AND won) AS winners, count_if(outcome = 'auto_matched' OR (sure AND NOT close)) AS auto, count_if((outcome = 'auto_matched' OR (sure AND NOT close)) AND won) AS auto_correct,
+  count_if(sure AND close) AS ambiguous, count_if(sure AND close AND outcome = 'manual_review') AS deferred FROM x)
+SELECT *, round(blocking_hits / in_catalogue, 6) AS blocking_recall, round(winners / in_catalogue, 6) AS winner_accuracy, round(auto_correct / auto, 6) AS precision, round(auto_correct / in_catalogue, 6) AS recall FROM t""")
+def entity_matcher_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, scored = _matched(spark, sf_dir)
+    gold = listings(spark, sf_dir)[0].select(F.col("id").alias("l_id"), F.when(F.col("id") % 9 != 0, F.col("id") - 1000000).alias("gold"))
+    shown = ("blocking_recall", "winner_accuracy", "precision", "recall")
+    return E.evaluate_matcher(results, gold, scored.select("l_id", "p_id")).withColumns({c: F.round(c, 6) for c in shown}).drop("f1", "precision_lower")
 
 
 @query()
@@ -84,8 +195,67 @@ def entity_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.blocking_score(E.block_pairs(*listings(spark, sf_dir))).select("l_id", "p_id", "score", "rank")
 
 
+@query()
+def entity_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = E.review_candidates(E.block_pairs(*listings(spark, sf_dir), keep_conflicts=True))
+    return E.hard_negatives(rows).select("l_id", "p_id", "score", "hardness", "hard_rank", F.array_join("reasons", ",").alias("reasons"))
+
+
+PRIORITY = """e AS (SELECT event_id AS item_id, user_id AS listing_id, event_type AS category, least(1, greatest(0, value / 100)) AS p, (event_id % 101) / 100 AS b, event_id % 6 = 0 AS conflict FROM events),
+h AS (SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) END AS ent FROM e)"""
+
+
+def _review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("user_id").alias("listing_id"), F.col("event_type").alias("category"), p.alias("probability"), (F.col("event_id") % 101 / 100).alias("blocking_score"), (F.col("event_id") % 6 == 0).alias("conflict"))
+    return E.review_priority(rows)
+
+
+@query(f"""WITH {PRIORITY} SELECT item_id, round(least(1, 0.40 * ent + 0.30 * greatest(0, 1 - abs(p - 0.98) / 0.98) + 0.20 * (conflict AND p >= 0.8)::INT + 0.10 * greatest(0, 1 - abs(b - 0.5) * 2)), 6) AS priority,
+coalesce(nullif(concat_ws(',', CASE WHEN conflict AND p >= 0.8 THEN 'conflict_model_disagreement' END, CASE WHEN abs(p - 0.98) <= 0.10 THEN 'operating_threshold_boundary' END, CASE WHEN ent >= 0.90 THEN 'high_predictive_entropy' END, CASE WHEN b BETWEEN 0.35 AND 0.65 THEN 'ambiguous_blocking_score' END), ''), 'diversity_exploration') AS reasons FROM h""")
+def entity_review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _review_items(spark, sf_dir).select("item_id", F.round("priority", 6).alias("priority"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def entity_review_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.review_batch(_review_items(spark, sf_dir), 200)
+
+
+FOUND = f"""k AS (SELECT p_partkey::VARCHAR AS id, {_q('p_brand')} AS brand, CASE WHEN p_partkey % 3 = 0 THEN 'mpn' || (p_partkey % 700) ELSE '' END AS mpn FROM part),
+fi AS (SELECT 'missing_mpn' AS kind, id AS key, id AS members FROM k WHERE mpn = '' UNION ALL SELECT 'duplicate_brand_mpn', brand || '|' || mpn, string_agg(id, ',' ORDER BY id) FROM k WHERE mpn <> '' GROUP BY brand, mpn HAVING count(*) > 1)"""
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("brand"), F.when(k % 3 == 0, F.concat(F.lit("MPN-"), k % 700)).alias("mpn"), "p_name")
+
+
+@query(f"WITH {FOUND} SELECT kind, key, members, sha256(kind || chr(31) || key || chr(31) || members) AS finding_id FROM fi")
+def entity_identity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.identity_findings(_identified(spark, sf_dir))
+
+
+@query(f"""WITH {FOUND}, a AS (SELECT id::BIGINT AS id, min(id::BIGINT) OVER (PARTITION BY brand, mpn) AS canonical FROM k WHERE mpn <> '') SELECT DISTINCT coalesce(canonical, p_partkey) AS id, first_value(p_name) OVER (PARTITION BY coalesce(canonical, p_partkey) ORDER BY p_partkey) AS p_name FROM part LEFT JOIN a ON a.id = p_partkey""")
+def entity_resolved_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    products = _identified(spark, sf_dir)
+    reviewed = products.where("mpn is not null").select("id", F.min("id").over(Window.partitionBy("brand", "mpn")).alias("canonical_id"), F.col("mpn").alias("canonical_mpn"))
+    return E.resolved_identities(products, reviewed, E.findings_digest(E.identity_findings(products))).select("id", "p_name")
+
+
 @query()
 def entity_trained_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on 60 % of the listings, calibrated on 15 %, and scored on the rest."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tessera.functions.numbers import logit, sigmoid
+    from tessera.operators.sampling import fraction_split
+
     rows = E.pair_features(E.block_pairs(*listings(spark, sf_dir))).withColumn("label", (F.col("l_id") == F.col("p_id") + 1000000).cast("int"))
-    model = E.train_matcher(rows, ["exact_mpn", "brand_match", "token_jaccard", "number_jaccard", "shared_tokens", "price_difference"], "label")
-    return model.transform(rows).select("l_id", "p_id", "label", "prediction")
+    rows = rows.withColumn("split", fraction_split("l_id", "matcher", [("train", 0.60), ("calibration", 0.75), ("test", 1.0)]))
+    model = E.train_matcher(rows.where("split = 'train'"), list(E.FEATURES), "label")
+    scored = model.transform(rows.where("split <> 'train'")).withColumn("score", vector_to_array("probability")[1])
+    slope, intercept = E.platt(scored.where("split = 'calibration'"))
+    return scored.where("split = 'test'").select("l_id", "p_id", "label", sigmoid(slope * logit(F.col("score")) + intercept).alias("probability"))
