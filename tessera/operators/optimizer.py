@@ -8,9 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.filters import reasons
+
 SCORES = ("performance", "value", "reliability", "upgradeability", "efficiency", "preference")
 
 
@@ -74,9 +77,176 @@ def best_builds(candidates: DataFrame, categories: Sequence[str], budget_cents:
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def differs(a: Sequence[Column], b: Sequence[Column], least: int = 2) -> Column:
-    """Whether two builds differ in at least ``least`` categories."""
-    return sum((x != y).cast("int") for x, y in zip(a, b, strict=True)) >= least
+class Limits(NamedTuple):
+    """Hard limits of a build: cents, load without parts, and percent of head room of the supply's category."""
+
+    budget_cents: int
+    base_watts: int = 0
+    headroom_percent: int = 0
+    supply: str | None = None
+
+
+def _load(supply: str | None) -> Column:
+    return F.when(F.col("category") == (supply or ""), 0).otherwise(F.coalesce(F.col("power_watts"), F.lit(0))).cast("long")
+
+
+def choose(candidates: DataFrame, categories: Sequence[str], limits: Limits, profiles: Sequence[str], pairs: DataFrame | None = None, locked: DataFrame | None = None, differ: int = 2) -> DataFrame:
+    """``(request_id, profile, place, objective, price_cents, load_watts, ids)`` of the best builds, one per profile.
+
+    One candidate of each category within budget and supply; ``pairs`` (request_id, left_id, right_id, penalty) forbids
+    two candidates together (null) or charges for them; ``locked`` (request_id, category, product_id) fixes one.  Each
+    build differs from every earlier one in at least ``differ`` categories without a lock; a request ends at the first
+    profile without a build.  Objective, then price, then ids decide.
+
+    A request's pools, which candidate limits bound, are one group; within it the search goes category by category and
+    leaves a branch that can't reach the best build any more, so the result is exact.
+    """
+    rows = candidates.select("request_id", "category", "product_id", "price_cents", _load(limits.supply).alias("load"), F.coalesce(F.col("psu_watts"), F.lit(0)).cast("long").alias("supply") if "psu_watts" in candidates.columns else F.lit(0).cast("long").alias("supply"),
+                             *[coefficient(p).alias(f"coef_{p}") for p in profiles])
+    fixed = locked.select("request_id", "category", F.col("product_id").alias("locked_id")) if locked is not None else None
+    if fixed is not None:
+        rows = rows.join(fixed, ["request_id", "category"], "left").where("locked_id is null or locked_id = product_id").withColumn("is_locked", F.col("locked_id").isNotNull()).drop("locked_id")
+    else:
+        rows = rows.withColumn("is_locked", F.lit(False))
+    if pairs is None:
+        pairs = rows.select("request_id", F.col("product_id").alias("left_id"), F.col("product_id").alias("right_id"), F.lit(0).cast("long").alias("penalty")).limit(0)
+    pairs = pairs.select(F.col("request_id").alias("pair_request"), "left_id", "right_id", F.col("penalty").cast("long").alias("penalty"), F.col("penalty").isNull().alias("forbidden"))
+    types = dict(candidates.dtypes)
+    schema = f"request_id {types['request_id']}, profile string, place int, objective long, price_cents long, load_watts long, ids array<{types['product_id']}>"
+    names, wanted, head = list(categories), list(profiles), limits
+
+    def solve(pool: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        apart, charge = set(), {}
+        for r in links.itertuples(index=False):
+            for pair in ((r.left_id, r.right_id), (r.right_id, r.left_id)):
+                if r.forbidden:
+                    apart.add(pair)
+                else:
+                    charge[pair] = int(r.penalty)
+        order = sorted(range(len(names)), key=lambda i: names[i] != head.supply)
+        free = [i for i, c in enumerate(names) if not pool.loc[pool["category"] == c, "is_locked"].any()]
+        chosen: list[tuple] = []
+        for place, profile in enumerate(wanted, 1):
+            pools = [pool[pool["category"] == names[i]].sort_values([f"coef_{profile}", "price_cents", "product_id"], ascending=[False, True, True]) for i in order]
+            options = [list(zip(p["product_id"], p[f"coef_{profile}"], p["price_cents"], p["load"], p["supply"], strict=True)) for p in pools]
+            if not all(options):
+                break
+            rest = lambda f: [sum(f(o) for o in options[k:]) for k in range(len(options) + 1)]
+            most, least, low = rest(lambda o: max(x[1] for x in o)), rest(lambda o: min(x[2] for x in o)), rest(lambda o: min(x[3] for x in o))
+            best: list = [None]
+
+            def grow(k: int, ids: tuple, worth: int, price: int, load: int, supply: int | None) -> None:
+                if best[0] is not None and (-(worth + most[k]), price + least[k]) > best[0][:2]:
+                    return
+                if price + least[k] > head.budget_cents or (supply is not None and (load + low[k]) * (100 + head.headroom_percent) > supply * 100):
+                    return
+                if k == len(options):
+                    final = tuple(x for _, x in sorted(zip(order, ids, strict=True)))
+                    if all(sum(final[i] != old[i] for i in free) >= differ for old in (c[5] for c in chosen)):
+                        key = (-worth, price, final)
+                        if best[0] is None or key < best[0][:3]:
+                            best[0] = (*key, load)
+                    return
+                for pid, coef, cents, watts, power in options[k]:
+                    if any((pid, x) in apart for x in ids):
+                        continue
+                    cost = sum(charge.get((pid, x), 0) for x in ids)
+                    grow(k + 1, (*ids, pid), worth + int(coef) - cost, price + int(cents), load + int(watts), int(power) if names[order[k]] == head.supply else supply)
+
+            grow(0, (), 0, 0, head.base_watts, None)
+            if best[0] is None:
+                break
+            chosen.append((profile, place, -best[0][0], best[0][1], best[0][3], best[0][2]))
+        return pd.DataFrame([(pool["request_id"].iloc[0], *c[:5], list(c[5])) for c in chosen], columns=[c.split()[0] for c in schema.split(", ")])
+
+    empty = lambda: pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+    return rows.groupBy("request_id").cogroup(pairs.groupBy("pair_request")).applyInPandas(lambda a, b: solve(a, b) if len(a) else empty(), schema)
+
+
+def build_errors(builds: DataFrame, candidates: DataFrame, categories: Sequence[str], limits: Limits, pairs: DataFrame | None = None, locked: DataFrame | None = None) -> DataFrame:
+    """``(request_id, build_id, errors)``: every hard limit judged again from the parts, without the search.
+
+    ``builds`` (request_id, build_id, product_id) has a row for each part.
+    """
+    parts = builds.join(candidates.select("request_id", "product_id", "category", "price_cents", _load(limits.supply).alias("load"), *([F.col("psu_watts")] if "psu_watts" in candidates.columns else [F.lit(None).cast("long").alias("psu_watts")])), ["request_id", "product_id"])
+    key = ["request_id", "build_id"]
+    total = parts.groupBy(*key).agg(
+        *[F.count_if(F.col("category") == c).alias(f"n_{i}") for i, c in enumerate(categories)], F.sum("price_cents").alias("price"), (F.sum("load") + limits.base_watts).alias("load"),
+        F.max(F.when(F.col("category") == (limits.supply or ""), F.col("psu_watts"))).alias("supply"),
+    )
+    bad = {"forbidden": None, "lock": None}
+    if pairs is not None:
+        one = parts.select(*key, F.col("product_id").alias("left_id")).join(pairs.where("penalty is null").select("request_id", "left_id", "right_id"), ["request_id", "left_id"])
+        hit = one.join(parts.select(*key, F.col("product_id").alias("right_id")), [*key, "right_id"])
+        bad["forbidden"] = hit.groupBy(*key).agg(F.count("*").alias("n_forbidden"))
+    if locked is not None:
+        want = builds.select(*key).distinct().join(locked.select("request_id", "product_id"), "request_id")
+        bad["lock"] = want.join(parts.select(*key, "product_id"), [*key, "product_id"], "left_anti").groupBy(*key).agg(F.count("*").alias("n_lock"))
+    for found in bad.values():
+        if found is not None:
+            total = total.join(found, key, "left")
+    rules = [(F.col(f"n_{i}") == 1, f"needs_one_{c}") for i, c in enumerate(categories)]
+    rules += [(F.col("price") <= limits.budget_cents, "over_budget")]
+    if pairs is not None:
+        rules += [(F.coalesce("n_forbidden", F.lit(0)) == 0, "forbidden_pair")]
+    if locked is not None:
+        rules += [(F.coalesce("n_lock", F.lit(0)) == 0, "locked_part_missing")]
+    if limits.supply:
+        rules += [(F.col("load") * (100 + limits.headroom_percent) <= F.col("supply") * 100, "supply_too_small")]
+    return total.select(*key, reasons(rules).alias("errors"))
+
+
+def component_scores(rows: DataFrame) -> DataFrame:
+    """The six scores of candidates (workload_scores and workload_weights maps, component_score, signals map, brand, preferred_brands).
+
+    Shares of 1 or less are percentages already divided; all end within 0..100.
+    """
+    inside = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
+    signal = lambda n: F.coalesce(F.try_element_at("signals", F.lit(n)), F.lit(0.0))
+    percent = lambda n: inside(F.when(signal(n) <= 1, signal(n) * 100).otherwise(signal(n)))
+    known = F.map_filter("workload_weights", lambda k, _: F.map_contains_key("workload_scores", k))
+    weight = F.aggregate(F.map_values(known), F.lit(0.0), lambda t, w: t + w)
+    worth = F.aggregate(F.map_entries(known), F.lit(0.0), lambda t, e: t + e["value"] * F.try_element_at("workload_scores", e["key"]))
+    liked = F.coalesce(F.array_contains(F.transform("preferred_brands", F.lower), F.lower("brand")), F.lit(False))
+    out = {
+        "performance": inside(F.when(weight > 0, worth / weight).otherwise(0.0)), "value": F.col("component_score"), "reliability": percent("reliability_score"), "upgradeability": percent("upgradeability_score"),
+        "efficiency": percent("power_efficiency_score"), "preference": inside(F.when(liked, 100.0).otherwise(100 * signal("preference_match_score"))),
+    }
+    return rows.withColumns(out)
+
+
+def workload_delta(new: Column, old: Column, weights: Column) -> Column:
+    """Weighted mean gain over the workloads that both have; null without any."""
+    both = F.map_filter(weights, lambda k, _: F.map_contains_key(new, k) & F.map_contains_key(old, k))
+    weight = F.aggregate(F.map_values(both), F.lit(0.0), lambda t, w: t + w)
+    gain = F.aggregate(F.map_entries(both), F.lit(0.0), lambda t, e: t + e["value"] * (F.try_element_at(new, e["key"]) - F.try_element_at(old, e["key"])))
+    return F.when(weight > 0, F.round(gain / weight, 6))
+
+
+def replaced(builds: DataFrame, replacement: DataFrame, reoptimize: bool, owned: DataFrame | None = None) -> DataFrame:
+    """Locks for another search: ``(request_id, category, product_id)`` with one part replaced.
+
+    ``builds`` has (request_id, category, product_id), ``replacement`` the same for the parts that come in.  All other
+    parts stay, or with ``reoptimize`` only those in ``owned`` (request_id, product_id).
+    """
+    kept = builds.join(replacement.select("request_id", "category"), ["request_id", "category"], "left_anti")
+    if reoptimize:
+        kept = kept.join(owned.select("request_id", "product_id"), ["request_id", "product_id"], "left_semi") if owned is not None else kept.limit(0)
+    return kept.select("request_id", "category", "product_id").unionByName(replacement.select("request_id", "category", "product_id"))
+
+
+#: What a request could give up: the category that lacks candidates (null: any), the requirement, the advice (fixed texts).
+RELAXATIONS = [
+    ("gpu", "minimum_gpu_vram_gb", "lower the minimum GPU VRAM requirement"), ("memory", "minimum_memory_gb", "lower the minimum system-memory capacity"), ("storage", "storage_gb", "lower the required storage capacity"),
+    ("motherboard", "wifi_required", "allow a separate Wi-Fi adapter"), (None, "excluded_brands", "remove one or more brand exclusions"), (None, "in_stock_only", "include backorder or unknown-stock listings"),
+]
+
+
+def relaxations(empty: Column) -> Column:
+    """Advice for a request whose categories in ``empty`` (an array) have no candidate; the budget always comes last."""
+    asked = lambda c: F.coalesce(F.col(c).cast("string").isin("true") | (F.col(c).try_cast("double") > 0) | (F.col(c).cast("string").rlike("[^0-9. ]") & (F.lower(F.col(c).cast("string")) != "false")), F.lit(False))
+    each = [F.when(asked(c) & (F.array_contains(empty, kind) if kind else F.lit(True)), F.lit(text)) for kind, c, text in RELAXATIONS]
+    return F.filter(F.array(*each, F.lit("increase the acquisition budget")), lambda x: x.isNotNull())
 
 
 def alternatives(candidates: DataFrame, chosen: DataFrame, n: int) -> DataFrame:

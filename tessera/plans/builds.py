@@ -21,8 +21,10 @@ MEASURES = {
     "gpu_length_mm": "CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE 200 + p_size * 4 END",
     "case_gpu_mm": "330",
     "cpu_watts": "65 + p_size",
-    "gpu_watts": "p_size * 8",
+    "gpu_watts": "CASE WHEN p_partkey % 19 = 0 THEN -1 ELSE p_size * 8 END",
+    "gpu_transient_watts": "CASE WHEN p_partkey % 5 = 0 THEN p_size * 7 WHEN p_partkey % 5 = 1 THEN p_size * 12 END",
     "psu_watts": "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 650 END",
+    "psu_transient_watts": "CASE WHEN p_partkey % 8 = 0 THEN 0 WHEN p_partkey % 8 = 1 THEN 800 END",
     "storage_bays": "p_size % 4",
     "case_bays": "2",
     "radiator_bays": "p_partkey % 2",
@@ -30,24 +32,23 @@ MEASURES = {
     "retained": "p_size % 2 = 0",
     "authoritative": "p_partkey % 20 <> 0",
 }
-USED = ["cpu_board.socket", "memory_board.capacity", "memory_board.modules", "gpu_board.slot", "gpu_case.length", "psu.capacity", "psu.transient", "radiator.bays", "lifecycle", "board_case.form_factor"]
+USED = ["cpu_board.socket", "memory_board.capacity", "memory_board.modules", "gpu_board.slot", "gpu_case.length", "psu.capacity", "psu.transient", "radiator.bays", "lifecycle"]
 
 
-def _le(a: str, b: str) -> str:
-    return f"CASE WHEN {a} IS NULL OR {a} < 0 OR {b} IS NULL OR {b} < 0 THEN 'unknown' WHEN {a} <= {b} THEN 'pass' ELSE 'fail' END"
+def _le(a: str, b: str, low: str = "< 0") -> str:
+    return f"CASE WHEN {a} IS NULL OR {a} {low} OR {b} IS NULL OR {b} {low} THEN 'unknown' WHEN {a} <= {b} THEN 'pass' ELSE 'fail' END"
 
 
 STATUS = {
     "cpu_board.socket": "CASE WHEN cpu_socket IS NULL OR board_socket IS NULL THEN 'unknown' WHEN lower(cpu_socket) = lower(board_socket) THEN 'pass' ELSE 'fail' END",
-    "memory_board.capacity": _le("memory_gb", "board_memory_gb"),
-    "memory_board.modules": _le("memory_modules", "board_memory_slots"),
+    "memory_board.capacity": _le("memory_gb", "board_memory_gb", "<= 0"),
+    "memory_board.modules": _le("memory_modules", "board_memory_slots", "<= 0"),
     "gpu_board.slot": "CASE WHEN board_pcie_slots IS NULL THEN 'unknown' WHEN board_pcie_slots >= 1 THEN 'pass' ELSE 'fail' END",
     "gpu_case.length": _le("gpu_length_mm", "case_gpu_mm"),
-    "psu.capacity": "CASE WHEN psu_watts IS NULL THEN 'unknown' WHEN psu_watts >= ceil((cpu_watts + gpu_watts + 100) * 1.25) THEN 'pass' ELSE 'fail' END",
-    "psu.transient": "CASE WHEN psu_watts IS NULL THEN 'unknown' WHEN psu_watts >= ceil(cpu_watts + gpu_watts * 1.25 + 100) THEN 'pass' ELSE 'fail' END",
+    "psu.capacity": "CASE WHEN psu_watts IS NULL OR gpu_watts < 0 THEN 'unknown' WHEN psu_watts >= ceil((cpu_watts + gpu_watts + 100) * 1.25) THEN 'pass' ELSE 'fail' END",
+    "psu.transient": "CASE WHEN psu_watts IS NULL OR gpu_watts < 0 OR psu_transient_watts <= 0 THEN 'unknown' WHEN coalesce(psu_transient_watts, psu_watts) >= ceil(cpu_watts + greatest(gpu_watts, coalesce(gpu_transient_watts, gpu_watts * 1.25)) + 100) THEN 'pass' ELSE 'fail' END",
     "radiator.bays": "CASE WHEN case_bays - radiator_bays >= storage_bays THEN 'pass' ELSE 'fail' END",
     "lifecycle": "CASE WHEN lifecycle = 'active' THEN 'pass' WHEN retained THEN 'warning' ELSE 'fail' END",
-    "board_case.form_factor": "'unknown'",
 }
 RESULTS = "b AS (SELECT p_partkey AS build_id, " + ", ".join(f"{e} AS {c}" for c, e in MEASURES.items()) + " FROM part), res AS (" + " UNION ALL ".join(f"SELECT build_id, '{r}' AS rule, CASE WHEN NOT authoritative THEN 'unknown' ELSE {s} END AS status FROM b" for r, s in STATUS.items()) + ")"
 
@@ -68,6 +69,107 @@ def compat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report(C.check(builds(spark, sf_dir), USED))
 
 
+#: More measures as text that both engines read; lists are comma-joined, maps are key=value lists.
+LISTS = {
+    "cpu_generation": "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Zen 3' WHEN 2 THEN 'Zen-4' WHEN 3 THEN 'Alder' ELSE 'zen4' END",
+    "board_chipset": "CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'B650' ELSE 'X570' END",
+    "board_generations": "CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'zen4,Zen 3' ELSE 'Zen4' END",
+    "cpu_chipsets": "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'B650' ELSE 'b650,x570' END",
+    "board_bios": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'F' || (p_size % 20) || 'a' END",
+    "minimum_bios": "CASE WHEN p_partkey % 3 = 0 THEN 'F10' END",
+    "update_available": "CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'n' ELSE 'y' END",
+    "support": "CASE WHEN p_partkey % 17 = 0 THEN CASE WHEN p_size % 5 = 0 THEN 'n' ELSE 'Beta' END END",
+    "update_required": "CASE WHEN p_size % 13 = 0 THEN 'ZEN 4' END",
+    "memory_type": "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'DDR4' ELSE 'DDR-5' END",
+    "board_memory_type": "CASE WHEN p_size % 2 = 0 THEN 'ddr5' ELSE 'ddr4' END",
+    "board_form": "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'mATX' WHEN 2 THEN 'ATX' WHEN 3 THEN 'Extended ATX' ELSE 'mini-ITX' END",
+    "case_forms": "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'Micro ATX,ATX' WHEN 2 THEN 'E-ATX,ATX,mATX' ELSE 'Mini ITX' END",
+    "gpu_slots": "p_partkey % 5",
+    "case_slots": "p_size % 6",
+    "gpu_interface": "CASE WHEN p_partkey % 23 = 0 THEN 'AGP' END",
+    "slots_free": "p_size % 3",
+    "cooler_kind": "CASE p_partkey % 4 WHEN 0 THEN 'Air' WHEN 1 THEN 'AIO' WHEN 2 THEN 'Tower' ELSE 'ice' END",
+    "cooler_height_mm": "CASE WHEN p_size % 9 = 0 THEN NULL ELSE 140 + p_size END",
+    "radiator_mm": "CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 240 ELSE 360 END",
+    "radiator_position": "CASE WHEN p_size % 3 = 0 THEN 'Top' WHEN p_size % 3 = 1 THEN 'front' END",
+    "radiator_thickness": "CASE WHEN p_partkey % 3 = 0 THEN 52 WHEN p_partkey % 3 = 1 THEN 27 END",
+    "cpu_socket": "CASE WHEN p_partkey % 8 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'AM5' ELSE 'LGA 1700' END",
+    "cooler_sockets": "CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'am5' ELSE 'AM5,LGA1700' END",
+    "gpu_needs": "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '2x 8-pin PCIe' WHEN 3 THEN '8-pin, 6-pin' ELSE '12VHPWR' END",
+    "psu_offers": "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '2 x 6+2-pin' WHEN 2 THEN '6+2-pin' ELSE '16-pin; 8 pin' END",
+    "storage_interface": "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'SATA III' WHEN 2 THEN 'M.2 SATA' WHEN 3 THEN 'USB' ELSE 'NVMe PCIe' END",
+    "storage_form": "CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '2.5 inch' WHEN 2 THEN '3.5-inch' WHEN 3 THEN 'M.2-2280' ELSE 'AIC' END",
+    "board_interfaces": "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'sata' WHEN 2 THEN 'nvme,SATA' ELSE 'm2 sata' END",
+    "board_m2": "CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size % 3 END",
+    "board_sata": "p_partkey % 2",
+    "bays_35": "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_size % 2 END",
+    "psu_form": "CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'SFX-L' ELSE 'ATX' END",
+    "case_psu_forms": "CASE WHEN p_size % 6 = 0 THEN '' WHEN p_size % 2 = 0 THEN 'atx,sfxl' ELSE 'ATX' END",
+    "conflict_rules": "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'm2 sata' ELSE 'm2_nvme+gpu pcie' END",
+    "active": "CASE WHEN p_partkey % 2 = 0 THEN 'M2 NVMe,GPU-PCIe' ELSE 'gpu pcie' END",
+}
+T = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')"
+TS = lambda c: f"list_transform(string_split({c}, ','), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g'))"
+_missing = lambda *cs: "CASE WHEN " + " OR ".join(f"{c} IS NULL" for c in cs) + " THEN 'unknown' "
+_contains = lambda a, b: f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {b} = '' THEN 'unknown' WHEN list_contains({TS(b)}, {T(a)}) THEN 'pass' ELSE 'fail' END"
+BIOS_FAILS = f"coalesce(board_generations IS NOT NULL AND NOT list_contains({TS('board_generations')}, {T('cpu_generation')}), false) OR coalesce(NOT list_contains({TS('cpu_chipsets')}, {T('board_chipset')}), false) OR coalesce(support = 'n', false)"
+FORMS = "list_transform(string_split(case_forms, ','), lambda x: CASE regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') WHEN 'matx' THEN 'microatx' ELSE regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') END)"
+FORM = f"CASE {T('board_form')} WHEN 'matx' THEN 'microatx' WHEN 'extendedatx' THEN 'eatx' ELSE {T('board_form')} END"
+IFACE = "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'sata' WHEN 2 THEN 'm2_sata' WHEN 3 THEN 'usb' ELSE 'm2_nvme' END"
+DRIVE = f"coalesce(CASE p_size % 5 WHEN 1 THEN '2_5_inch' WHEN 2 THEN '3_5_inch' WHEN 3 THEN 'm2' WHEN 4 THEN 'aic' END, CASE WHEN {IFACE} LIKE 'm2%' THEN 'm2' END)"
+NEEDS = "CASE p_partkey % 5 WHEN 2 THEN CASE p_size % 4 WHEN 1 THEN 'pass' ELSE 'fail' END WHEN 3 THEN CASE p_size % 4 WHEN 1 THEN 'pass' ELSE 'fail' END ELSE CASE p_size % 4 WHEN 3 THEN 'pass' ELSE 'fail' END END"
+LISTED = {
+    "cpu_board.chipset_bios": f"CASE WHEN cpu_generation IS NULL OR board_chipset IS NULL OR (board_generations IS NULL AND cpu_chipsets IS NULL AND support IS NULL) THEN 'unknown' WHEN {BIOS_FAILS} THEN 'fail' WHEN minimum_bios IS NOT NULL AND board_bios IS NULL THEN 'unknown' "
+    "WHEN minimum_bios IS NOT NULL AND p_size % 20 < 10 THEN CASE update_available WHEN 'y' THEN 'warning' WHEN 'n' THEN 'fail' ELSE 'unknown' END WHEN coalesce(support = 'Beta', false) OR coalesce(update_required IS NOT NULL AND "
+    + T("cpu_generation") + " = 'zen4', false) THEN 'warning' ELSE 'pass' END",
+    "memory_board.generation": _missing("memory_type", "board_memory_type") + f"WHEN {T('memory_type')} = board_memory_type THEN 'pass' ELSE 'fail' END",
+    "board_case.form_factor": f"CASE WHEN board_form IS NULL OR case_forms = '' THEN 'unknown' WHEN list_contains({FORMS}, {FORM}) THEN 'pass' ELSE 'fail' END",
+    "gpu_case.slots": "CASE WHEN gpu_slots <= 0 OR case_slots <= 0 THEN 'unknown' WHEN gpu_slots <= case_slots THEN 'pass' ELSE 'fail' END",
+    "gpu_board.slot": "CASE WHEN gpu_interface IS NOT NULL THEN 'unknown' WHEN slots_free >= 1 THEN 'pass' ELSE 'fail' END",
+    "cooler_case.clearance": "CASE WHEN cooler_kind IN ('Air', 'Tower') THEN CASE WHEN cooler_height_mm IS NULL THEN 'unknown' WHEN cooler_height_mm <= 165 THEN 'pass' ELSE 'fail' END WHEN cooler_kind = 'AIO' THEN CASE WHEN radiator_mm IS NULL THEN 'unknown' "
+    "WHEN radiator_position IS NOT NULL AND NOT (radiator_position = 'Top' AND radiator_mm = 240 OR radiator_position = 'front') THEN 'fail' WHEN radiator_thickness IS NULL THEN 'unknown' WHEN radiator_thickness > CASE radiator_position WHEN 'Top' THEN 30 WHEN 'front' THEN 60 ELSE 60 END THEN 'fail' ELSE 'pass' END ELSE 'unknown' END",
+    "cooler_cpu.socket": _contains("cpu_socket", "cooler_sockets"),
+    "psu.gpu_connectors": f"CASE WHEN gpu_needs IS NULL THEN 'unknown' WHEN gpu_needs = '' THEN 'pass' WHEN psu_offers IS NULL THEN 'unknown' ELSE {NEEDS} END",
+    "storage_board.interface": f"CASE WHEN {IFACE} IS NULL THEN 'unknown' WHEN list_contains(coalesce(CASE p_size % 4 WHEN 1 THEN ['sata'] WHEN 2 THEN ['m2_nvme', 'sata'] WHEN 3 THEN ['m2_sata'] END, list_filter([CASE WHEN board_m2 > 0 THEN 'm2_nvme' END, CASE WHEN board_sata > 0 THEN 'sata' END], lambda x: x IS NOT NULL)), {IFACE}) THEN 'pass' ELSE 'fail' END",
+    "storage_board.slots": f"CASE WHEN {IFACE} IS NULL OR {IFACE} = 'usb' THEN 'unknown' WHEN CASE WHEN {IFACE} = 'sata' THEN board_sata ELSE coalesce(board_m2, 0) END >= 1 THEN 'pass' ELSE 'fail' END",
+    "storage_case.bays": f"CASE WHEN {DRIVE} IS NULL THEN 'unknown' WHEN {DRIVE} = 'm2' THEN 'pass' WHEN {DRIVE} = 'aic' THEN 'unknown' WHEN bays_35 IS NULL THEN 'unknown' WHEN {DRIVE} = '3_5_inch' AND bays_35 >= 1 THEN 'pass' ELSE 'fail' END",
+    "psu_case.form_factor": _contains("psu_form", "case_psu_forms"),
+    "board.conflicts": "CASE p_size % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'unknown' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'fail' ELSE 'pass' END END",
+}
+
+
+@query("WITH b AS (SELECT p_partkey AS build_id, p_partkey, p_size, " + ", ".join(f"{e} AS {c}" for c, e in LISTS.items()) + " FROM part) " + " UNION ALL ".join(f"SELECT build_id, '{r}' AS rule, {e} AS status FROM b" for r, e in LISTED.items()))
+def compat_published_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules over lists, support matrices, radiators and connectors."""
+    from tessera.functions.parts import connectors
+
+    some = lambda c: F.when(F.col(c) != "", F.split(c, ","))
+    raw = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("build_id"), *[F.expr(e).alias(c) for c, e in LISTS.items()])
+    generation = C.token(F.col("cpu_generation"))
+    entry = F.struct((F.col("support") != "n").alias("supported"), F.lit(None).cast("string").alias("minimum_bios"), F.col("support").alias("support_status"), F.lit(None).cast("boolean").alias("update_available"))
+    needs, offers = connectors(F.col("gpu_needs"))["counts"], connectors(F.col("psu_offers"))["counts"]
+    none = F.create_map().cast("map<string,int>")
+    rows = raw.select(
+        "build_id", "cpu_generation", "board_chipset", "board_bios", "memory_type", "board_memory_type", "board_form", "gpu_interface", "cooler_kind", "radiator_position", "cpu_socket", "storage_interface", "storage_form", "psu_form",
+        *[F.col(c).cast("double").alias(c) for c in ("gpu_slots", "case_slots", "cooler_height_mm", "radiator_mm", "radiator_thickness", "board_m2", "board_sata")], F.col("slots_free").cast("double").alias("board_pcie_slots"),
+        *[some(c).alias(c) for c in ("board_generations", "cpu_chipsets", "case_forms", "cooler_sockets", "case_psu_forms")], some("update_required").alias("board_update_required"), some("board_interfaces").alias("board_storage_interfaces"),
+        some("active").alias("active_features"), F.transform(F.split("conflict_rules", ","), lambda r: F.split(r, "[+]")).alias("board_conflicts"), F.when(F.col("minimum_bios").isNotNull() & generation.isNotNull(), F.create_map(generation, F.col("minimum_bios"))).alias("board_minimum_bios"),
+        (F.col("update_available") == "y").alias("board_update_available"), F.when(F.col("support").isNotNull() & generation.isNotNull(), F.create_map(generation, entry)).alias("board_support"),
+        F.when(F.col("gpu_needs") == "", none).otherwise(needs).alias("gpu_connectors"), offers.alias("psu_connectors"), F.lit(165.0).alias("case_cooler_mm"),
+        F.create_map(F.lit("top"), F.array(F.lit(240.0)), F.lit("Front"), F.array(F.lit(240.0), F.lit(360.0))).alias("case_radiators_at"), F.create_map(F.lit("top"), F.lit(30.0), F.lit("front"), F.lit(60.0)).alias("case_thickness_at"),
+        F.when(F.col("bays_35").isNotNull(), F.create_map(F.lit("3_5_inch"), F.col("bays_35"))).alias("case_bays_by_form"),
+    )
+    return C.check(rows, list(LISTED))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS build_id, l_partkey AS product_id FROM lineitem), k AS (SELECT DISTINCT build_id, product_id + (build_id % 5 = 0)::INT AS product_id FROM p)
+SELECT k.build_id, k.product_id, 'existing.retained' AS rule, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.build_id = k.build_id AND p.product_id = k.product_id) THEN 'pass' ELSE 'fail' END AS status FROM k""")
+def compat_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("build_id"), F.col("l_partkey").alias("product_id"))
+    kept = parts.select("build_id", (F.col("product_id") + (F.col("build_id") % 5 == 0).cast("int")).alias("product_id")).distinct()
+    return C.retained(parts, kept)
+
+
 @query("""WITH p AS (SELECT l_orderkey AS build_id, p_type AS category FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT build_id, category, count(*) AS n FROM p GROUP BY ALL)
 SELECT b.build_id, 'cardinality.' || c.category AS rule, CASE WHEN coalesce(n, 0) = 1 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT DISTINCT build_id FROM p) b CROSS JOIN (SELECT DISTINCT p_type AS category FROM part) c LEFT JOIN n ON n.build_id = b.build_id AND n.category = c.category""")
 def compat_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +196,96 @@ def _types(rows: DataFrame) -> list[str]:
     return [r.category for r in rows.select("category").distinct().orderBy("category").collect()]
 
 
-@query(f"""WITH {POOL}, v AS (SELECT *, {VALUE} AS coef FROM c), a AS (SELECT v.* FROM v, ty WHERE category = t[1]), b AS (SELECT v.* FROM v, ty WHERE category = t[2]), d AS (SELECT v.* FROM v, ty WHERE category = t[3])
-SELECT a.request_id, a.product_id AS p0, b.product_id AS p1, d.product_id AS p2, a.price_cents + b.price_cents + d.price_cents AS price_cents, a.coef + b.coef + d.coef AS objective FROM a JOIN b USING (request_id) JOIN d USING (request_id)
-WHERE a.price_cents + b.price_cents + d.price_cents <= {BUDGET} QUALIFY row_number() OVER (PARTITION BY a.request_id ORDER BY objective DESC, a.price_cents + b.price_cents + d.price_cents, p0, p1, p2) = 1""")
+#: Candidates of a category that a request keeps, parts that don't go together, and the power supply's category.
+LIMIT, SUPPLY = 5, "PROMO"
+WATTS = "CASE WHEN p_partkey % 3 = 0 THEN 450 ELSE 300 END"
+HARD = O.Limits(BUDGET * 2, base_watts=30, headroom_percent=25, supply=SUPPLY)
+OTHER = {p: "(round_even((" + " + ".join(f"{w} * {s}" for w, s in zip(O.PROFILES[p].weights, O.SCORES, strict=True)) + f") * 100, 0)::BIGINT - p_size * {O.PROFILES[p].per_watt})" for p in ("best_overall", "lowest_power")}
+COMBOS = f"""{POOL}, v0 AS (SELECT c.*, {VALUE} AS best_value, {OTHER['best_overall']} AS best_overall, {OTHER['lowest_power']} AS lowest_power, CASE WHEN category = '{SUPPLY}' THEN 0 ELSE p_size END AS load, {WATTS} AS supply, p_partkey % 2 AS socket FROM c JOIN part ON p_partkey = product_id),
+v AS (SELECT * FROM v0 QUALIFY row_number() OVER (PARTITION BY request_id, category ORDER BY best_value DESC, product_id) <= {LIMIT}),
+x AS (SELECT a.request_id, a.product_id AS p0, b.product_id AS p1, d.product_id AS p2, e.product_id AS p3, f.product_id AS p4, g.product_id AS p5, a.price_cents + b.price_cents + d.price_cents + e.price_cents + f.price_cents + g.price_cents AS price_cents, 30 + a.load + b.load + d.load + e.load + f.load + g.load AS load_watts,
+  {', '.join(f'a.{p} + b.{p} + d.{p} + e.{p} + f.{p} + g.{p} - CASE WHEN a.socket = 1 AND b.socket = 1 THEN 500 ELSE 0 END AS {p}' for p in ('best_value', 'best_overall', 'lowest_power'))}
+  FROM v a JOIN v b USING (request_id) JOIN v d USING (request_id) JOIN v e USING (request_id) JOIN v f USING (request_id) JOIN v g USING (request_id), ty
+  WHERE a.category = t[1] AND b.category = t[2] AND d.category = t[3] AND e.category = t[4] AND f.category = t[5] AND g.category = t[6] AND NOT (a.socket = 0 AND d.socket = 1) AND (30 + a.load + b.load + d.load + e.load + f.load + g.load) * 125 <= e.supply * 100
+  AND a.price_cents + b.price_cents + d.price_cents + e.price_cents + f.price_cents + g.price_cents <= {HARD.budget_cents})"""
+PICK = lambda p, source: f"SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY {p} DESC, price_cents, p0, p1, p2, p3, p4, p5) = 1"
+APART = lambda old: f"(x.p0 <> {old}.p0)::INT + (x.p1 <> {old}.p1)::INT + (x.p2 <> {old}.p2)::INT + (x.p3 <> {old}.p3)::INT + (x.p4 <> {old}.p4)::INT + (x.p5 <> {old}.p5)::INT >= 2"
+IDS = "[p0, p1, p2, p3, p4, p5]::VARCHAR"
+
+
+def limited_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Each request's best few of every category, and the pairs that are forbidden or charged for."""
+    from tessera.operators.windows import top_k
+
+    rows = pool(spark, sf_dir)
+    kinds = _types(rows)
+    rows = top_k(rows.withColumn("coef", O.coefficient("best_value")), ["request_id", "category"], "coef", "product_id", LIMIT).drop("coef", "rank")
+    rows = rows.withColumns({"psu_watts": F.when(F.col("product_id") % 3 == 0, 450).otherwise(300), "socket": F.col("product_id") % 2})
+    side = lambda kind, socket, name: rows.where((F.col("category") == kind) & (F.col("socket") == socket)).select("request_id", F.col("product_id").alias(name))
+    pairs = lambda a, b, penalty: side(*a, "left_id").join(side(*b, "right_id"), "request_id").withColumn("penalty", F.lit(penalty).cast("long"))
+    return rows, pairs((kinds[0], 0), (kinds[2], 1), None).union(pairs((kinds[0], 1), (kinds[1], 1), 500)), kinds
+
+
+def _shown(builds: DataFrame) -> DataFrame:
+    return builds.withColumn("ids", F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]")))
+
+
+@query(f"WITH {COMBOS} SELECT request_id, best_value AS objective, price_cents, load_watts::BIGINT AS load_watts, {IDS} AS ids FROM ({PICK('best_value', 'x')})")
 def build_best_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, pairs, kinds = limited_pool(spark, sf_dir)
+    return _shown(O.choose(rows, kinds, HARD, ["best_value"], pairs)).drop("profile", "place")
+
+
+@query(f"""WITH {COMBOS}, a AS ({PICK('best_value', 'x')}), b0 AS (SELECT x.* FROM x JOIN a USING (request_id) WHERE {APART('a')}), b AS ({PICK('best_overall', 'b0')}),
+c0 AS (SELECT x.* FROM x JOIN a USING (request_id) JOIN b USING (request_id) WHERE {APART('a')} AND {APART('b')}), c1 AS ({PICK('lowest_power', 'c0')})
+SELECT request_id, 'best_value' AS profile, 1 AS place, best_value AS objective, {IDS} AS ids FROM a UNION ALL SELECT request_id, 'best_overall', 2, best_overall, {IDS} FROM b UNION ALL SELECT request_id, 'lowest_power', 3, lowest_power, {IDS} FROM c1""")
+def build_diverse_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, pairs, kinds = limited_pool(spark, sf_dir)
+    return _shown(O.choose(rows, kinds, HARD, ["best_value", "best_overall", "lowest_power"], pairs)).drop("price_cents", "load_watts")
+
+
+@query(f"""WITH {COMBOS}, r AS (SELECT request_id, min(product_id) AS swap FROM v, ty WHERE category = t[2] GROUP BY 1), o AS (SELECT request_id, max(product_id) AS owned FROM v, ty WHERE category = t[6] GROUP BY 1),
+y AS (SELECT x.* FROM x JOIN r USING (request_id) JOIN o USING (request_id) WHERE p1 = swap AND p5 = owned) SELECT request_id, best_value AS objective, {IDS} AS ids FROM ({PICK('best_value', 'y')})""")
+def build_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of the second category comes in, an owned one of the last stays, and the rest is chosen again."""
+    rows, pairs, kinds = limited_pool(spark, sf_dir)
+    pick = lambda kind, f: rows.where(F.col("category") == kind).groupBy("request_id", "category").agg(f("product_id").alias("product_id"))
+    swap, owned = pick(kinds[1], F.min), pick(kinds[5], F.max)
+    locks = O.replaced(owned, swap, reoptimize=True, owned=owned)
+    return _shown(O.choose(rows, kinds, HARD, ["best_value"], pairs, locks)).select("request_id", "objective", "ids")
+
+
+@query(f"""WITH {POOL}, v AS (SELECT c.*, CASE WHEN category = '{SUPPLY}' THEN 0 ELSE p_size END AS load, {WATTS} AS supply, p_partkey % 2 AS socket FROM c JOIN part ON p_partkey = product_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY request_id, category ORDER BY price_cents, product_id)::INTEGER AS build_id FROM v),
+b AS (SELECT request_id, build_id, {', '.join(f"count_if(category = t[{i + 1}]) AS n{i}" for i in range(6))}, sum(price_cents) AS price, 30 + sum(load) AS load, max(supply) FILTER (category = '{SUPPLY}') AS supply,
+  coalesce(max(socket) FILTER (category = t[1]) = 0 AND max(socket) FILTER (category = t[3]) = 1, false) AS forbidden, any_value(t) AS t FROM k, ty GROUP BY ALL)
+SELECT request_id, build_id, concat_ws(',', {', '.join(f"CASE WHEN n{i} <> 1 THEN 'needs_one_' || t[{i + 1}] END" for i in range(6))}, CASE WHEN price > 750000 THEN 'over_budget' END, CASE WHEN forbidden THEN 'forbidden_pair' END,
+  CASE WHEN NOT coalesce(load * 125 <= supply * 100, false) THEN 'supply_too_small' END) AS errors FROM b""")
+def build_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-th cheapest parts of all categories as builds, judged again."""
+    from pyspark.sql import Window
+
     rows = pool(spark, sf_dir)
-    return O.best_builds(rows, _types(rows)[:3], BUDGET, "best_value")
+    kinds = _types(rows)
+    rows = rows.withColumn("psu_watts", F.when(F.col("product_id") % 3 == 0, 450).otherwise(300).cast("long"))
+    builds = rows.select("request_id", "product_id", F.row_number().over(Window.partitionBy("request_id", "category").orderBy("price_cents", "product_id")).alias("build_id"))
+    side = lambda kind, socket, name: rows.where((F.col("category") == kind) & (F.col("product_id") % 2 == socket)).select("request_id", F.col("product_id").alias(name))
+    pairs = side(kinds[0], 0, "left_id").join(side(kinds[2], 1, "right_id"), "request_id").withColumn("penalty", F.lit(None).cast("long"))
+    found = O.build_errors(builds, rows, kinds, HARD._replace(budget_cents=750_000), pairs)
+    return found.withColumn("errors", F.array_join("errors", ","))
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 4 AS m FROM part) SELECT p_partkey, round(CASE m WHEN 0 THEN 0 WHEN 1 THEN p_size WHEN 2 THEN (0.7 * p_size + 0.3 * 2 * p_size) ELSE 2 * p_size END, 6) AS performance, p_size::DOUBLE AS value,
+round(greatest(0, least(100, CASE WHEN p_size / 40 <= 1 THEN p_size / 40 * 100 ELSE p_size / 40 END)), 6) AS reliability, 0.0::DOUBLE AS upgradeability, greatest(0, least(100, p_size * 3))::DOUBLE AS efficiency, CASE WHEN p_brand = 'Brand#3' THEN 100.0 ELSE 25.0 END::DOUBLE AS preference,
+CASE m WHEN 0 THEN NULL WHEN 1 THEN round(p_size - 5, 6) WHEN 2 THEN round(0.7 * (p_size - 5) + 0.3 * (2 * p_size - 9), 6) ELSE round(2 * p_size - 9, 6) END::DOUBLE AS delta FROM p""")
+def build_component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, m = F.col("p_size").cast("double"), F.col("p_partkey") % 4
+    scores = F.when(m == 0, F.create_map().cast("map<string,double>")).when(m == 1, F.create_map(F.lit("gaming"), size)).when(m == 2, F.create_map(F.lit("gaming"), size, F.lit("office"), 2 * size)).otherwise(F.create_map(F.lit("office"), 2 * size))
+    weights, old = F.create_map(F.lit("gaming"), F.lit(0.7), F.lit("office"), F.lit(0.3)), F.create_map(F.lit("gaming"), F.lit(5.0), F.lit("office"), F.lit(9.0), F.lit("video"), F.lit(1.0))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.array(F.lit("BRAND#3")).alias("preferred_brands"), size.alias("component_score"), scores.alias("workload_scores"), weights.alias("workload_weights"),
+                                               F.create_map(F.lit("reliability_score"), size / 40, F.lit("power_efficiency_score"), F.when(size * 3 <= 1, 0.0).otherwise(size * 3), F.lit("preference_match_score"), F.lit(0.25)).alias("signals"))
+    out = O.component_scores(rows).withColumn("delta", O.workload_delta(F.col("workload_scores"), old, weights))
+    return out.select("p_partkey", F.round("performance", 6).alias("performance"), "value", F.round("reliability", 6).alias("reliability"), "upgradeability", "efficiency", "preference", "delta")
 
 
 @query(f"WITH {POOL} SELECT request_id, product_id, {VALUE} AS best_value, round_even((10 * performance + 10 * value + 10 * reliability + 5 * upgradeability + 60 * efficiency + 5 * preference) * 100, 0)::BIGINT - p_size * 1000 AS lowest_power FROM c JOIN part ON p_partkey = product_id")
@@ -119,7 +305,9 @@ def build_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {POOL}, l AS (SELECT request_id, category, min(price_cents) AS low FROM c GROUP BY ALL), g AS (SELECT request_id, list(category) AS have, sum(low)::BIGINT AS least_cents FROM l GROUP BY 1)
-SELECT request_id, array_to_string(list_sort(list_filter(t, lambda x: NOT list_contains(have, x))), ',') AS missing, least_cents, least_cents > 600000 AS over_budget FROM g, ty""")
+SELECT request_id, array_to_string(list_sort(list_filter(t, lambda x: NOT list_contains(have, x))), ',') AS missing, least_cents, least_cents > 600000 AS over_budget, concat_ws(';', CASE WHEN request_id < 'Brand#2' THEN 'remove one or more brand exclusions' END, 'increase the acquisition budget') AS advice FROM g, ty""")
 def build_infeasible(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pool(spark, sf_dir)
-    return O.infeasible(rows, _types(rows), 600_000)
+    found = O.infeasible(rows, _types(rows), 600_000)
+    asked = found.withColumns({"minimum_gpu_vram_gb": F.lit(16), "minimum_memory_gb": F.lit(0), "storage_gb": F.lit(None).cast("int"), "wifi_required": F.lit(True), "excluded_brands": F.when(F.col("request_id") < "Brand#2", "x"), "in_stock_only": F.lit(False)})
+    return asked.select("request_id", "missing", "least_cents", "over_budget", F.array_join(O.relaxations(F.split("missing", ",")), ";").alias("advice"))
