@@ -38,8 +38,8 @@ def mid_rank_percentile(value: Column, at: Column) -> Column:
 
 
 def robust_cv(value: str) -> Column:
-    """Population deviation in percent of the median."""
-    return 100 * F.stddev_pop(value) / F.median(value)
+    """Population deviation in percent of the median, to two places; null below two values or for a median of 0."""
+    return F.when(F.count(value) > 1, F.bround(F.try_divide(100 * F.stddev_pop(value), F.median(value)), 2))
 
 
 def conditional_counts(rows: DataFrame, key: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
@@ -73,6 +73,18 @@ def coverage_histogram(rows: DataFrame, item: str) -> DataFrame:
     return rows.groupBy(item).count().groupBy(F.col("count").alias("judgments")).agg(F.count("*").alias("items"))
 
 
+def adjudicated(rows: DataFrame, decisions: DataFrame, item: str, grade: str, judge: str) -> DataFrame:
+    """Per item the final grade: the judges' if they agree, else the decision of someone who wasn't one of them.
+
+    ``decisions`` has (item, adjudicator, decided).  ``source`` says unanimous, adjudicated, invalid_adjudicator or open.
+    """
+    agg = rows.groupBy(item).agg(F.count("*").alias("judgments"), F.min(grade).alias("lo"), F.max(grade).alias("hi"), F.collect_set(judge).alias("judges"))
+    both = agg.join(decisions.select(item, "adjudicator", "decided"), item, "left")
+    agree, own = F.col("lo") == F.col("hi"), F.array_contains("judges", F.col("adjudicator"))
+    source = F.when(agree, "unanimous").when(F.col("adjudicator").isNull(), "open").when(own, "invalid_adjudicator").otherwise("adjudicated")
+    return both.select(item, "judgments", F.when(agree, F.col("lo")).when(source == "adjudicated", F.col("decided")).alias("grade"), source.alias("source"))
+
+
 def agreement(rows: DataFrame, item: str, grade: str) -> DataFrame:
     """Per item: judgments, unanimous, and the agreed grade (null where judges differ)."""
     agg = rows.groupBy(item).agg(F.count("*").alias("judgments"), F.min(grade).alias("lo"), F.max(grade).alias("hi"))

@@ -20,6 +20,11 @@ def normalised(c: Column) -> Column:
     return F.translate(F.lower(F.trim(c)), "- ", "__")
 
 
+def any_equal(values: Column, required: str) -> Column:
+    """Whether one of the values equals the required one, both normalised."""
+    return holds(F.exists(values, lambda v: normalised(v) == normalised(F.lit(required))))
+
+
 def first_of(*aliases: Column) -> Column:
     return F.coalesce(*aliases)
 

@@ -10,9 +10,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import robust_cv
+
 MAD_SCALE = 0.6745
 
 
+def delivered(base: Column, shipping: Column) -> Column:
+    """What a buyer pays: the price and the shipping, free if unknown."""
+    return base + F.coalesce(shipping, F.lit(0))
+
+
+def single_currency(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations of products with one currency, ``(product, currencies)`` of those with several): those can't be averaged."""
+    seen = obs.groupBy("product").agg(F.array_sort(F.collect_set("currency")).alias("currencies"))
+    mixed = seen.where(F.size("currencies") > 1)
+    return obs.join(mixed.select("product"), "product", "left_anti"), mixed
+
+
 def latest_per_listing(obs: DataFrame, by: list[str]) -> DataFrame:
     """The newest observation of each ``by`` group, the first of equal times."""
     w = Window.partitionBy(*by).orderBy(F.col("ts").desc(), "tie")
@@ -100,8 +114,11 @@ def price_labels(current: Column, median_30: Column, low: Column, percentile: Co
 def price_intelligence(obs: DataFrame, min_days: int = 7) -> DataFrame:
     """One row per product: current offer, 30- and 90-day history, trends, labels and anomalies.
 
-    The time of analysis is the product's newest observation.
+    The time of analysis is the product's newest observation.  Where observations have a currency, products with
+    several are left out (``single_currency`` names them).
     """
+    if "currency" in obs.columns:
+        obs = single_currency(obs)[0]
     as_of = obs.groupBy("product").agg(F.max("ts").alias("as_of"))
     offers = current_offers(obs, as_of)
     current = offers.groupBy("product").agg(F.min("price").alias("current_price"), F.count_distinct("seller").alias("seller_count"))
@@ -115,7 +132,7 @@ def price_intelligence(obs: DataFrame, min_days: int = 7) -> DataFrame:
         F.median("price").alias("median_90d"),
         F.min("price").alias("recent_low_90d"),
         (F.sum(F.when(F.col("price") < F.col("current_price"), 1.0).when(F.col("price") == F.col("current_price"), 0.5).otherwise(0.0)) * 100 / F.count("*")).alias("pct"),
-        (F.stddev_pop("price") * 100 / F.median("price")).alias("vol"),
+        robust_cv("price").alias("vol"),
     )
     odd = mad_anomalies(days_90).groupBy("product").agg(F.count("*").alias("anomaly_count"))
     rows = as_of.join(current, "product", "left").join(history, "product", "left").join(market_trends(obs, as_of), "product", "left").join(odd, "product", "left")

@@ -75,15 +75,18 @@ def connected(edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
-def reference_faults(events: DataFrame, parents: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """Events with ``faults``: the names of the references that point nowhere."""
+def reference_faults(events: DataFrame, parents: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Events with ``faults``: the names of the references that point nowhere.
+
+    Each parent is (name, table, its key, the event's column that refers to it).
+    """
     out, flags = events, []
-    for name, parent, key in parents:
+    for name, parent, key, ref in parents:
         known = parent.select(F.col(key).alias(f"__{name}")).distinct()
-        out = out.join(known, out[key] == known[f"__{name}"], "left")
+        out = out.join(known, F.col(ref) == F.col(f"__{name}"), "left")
         flags.append(F.when(F.col(f"__{name}").isNull(), F.lit(f"unknown_{name}")))
     faults = F.filter(F.array(*flags), lambda f: f.isNotNull())
-    return out.withColumn("faults", faults).drop(*[f"__{name}" for name, _, _ in parents])
+    return out.withColumn("faults", faults).drop(*[f"__{name}" for name, *_ in parents])
 
 
 def same_universe(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -113,11 +113,13 @@ def join_distinct_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(lines, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "p_brand").distinct()
 
 
-@query("""SELECT vec_id, label, doc_id FROM embeddings JOIN documents ON vec_id = doc_id AND sha256(doc_id::VARCHAR) = sha256(vec_id::VARCHAR) WHERE lang = 'en'""")
+@query("""SELECT vec_id, label, doc_id FROM embeddings JOIN documents ON vec_id = doc_id AND sha256(text) = sha256(CASE WHEN vec_id % 3 = 0 THEN text || ' old' ELSE text END) WHERE lang = 'en'""")
 def join_vectors_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.sha2(F.col("vec_id").cast("string"), 256).alias("g"))
-    return vecs.join(docs, (F.col("vec_id") == F.col("doc_id")) & (F.col("h") == F.col("g"))).select("vec_id", "label", "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("content"), "text")
+    stored = F.sha2(F.when(F.col("vec_id") % 3 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")), 256)
+    indexed = table(spark, sf_dir, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select("vec_id", "label", stored.alias("indexed"))
+    live = docs.where("lang = 'en'").select("doc_id", "content")
+    return indexed.join(live, (F.col("vec_id") == F.col("doc_id")) & (F.col("indexed") == F.col("content"))).select("vec_id", "label", "doc_id")
 
 
 @query("""SELECT doc_id, 'novel' AS change FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'removed' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
@@ -140,12 +142,8 @@ def join_reviewed_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, concat_ws(',', CASE WHEN c_custkey IS NULL THEN 'unknown_customer' END, CASE WHEN p_partkey IS NULL THEN 'unknown_part' END) AS faults FROM events
 LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) ON user_id = c_custkey LEFT JOIN (SELECT DISTINCT p_partkey FROM part) ON event_id = p_partkey""")
 def join_reference_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("customer_id", F.col("user_id")).withColumn("part_id", F.col("event_id"))
-    known, flags = [("customer", table(spark, sf_dir, "customer"), "c_custkey", "customer_id"), ("part", table(spark, sf_dir, "part"), "p_partkey", "part_id")], []
-    for name, parent, key, ref in known:
-        events = events.join(parent.select(F.col(key).alias(name)).distinct(), F.col(ref) == F.col(name), "left")
-        flags.append((F.col(name).isNotNull(), f"unknown_{name}"))
-    return events.select("event_id", F.array_join(P.reasons(flags), ",").alias("faults"))
+    parents = [("customer", table(spark, sf_dir, "customer"), "c_custkey", "user_id"), ("part", table(spark, sf_dir, "part"), "p_partkey", "event_id")]
+    return J.reference_faults(table(spark, sf_dir, "events"), parents).select("event_id", F.array_join("faults", ",").alias("faults"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT doc_id AS a, 1000000000 + n_chars AS b FROM documents), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -243,9 +241,9 @@ def agg_latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.latency_histogram(table(spark, sf_dir, "events").withColumn("s", F.col("value") / 10), "event_type", "s")
 
 
-@query("SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, round(100 * stddev_pop(l_quantity) / median(l_quantity), 6) AS cv FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, round_even(100 * stddev_pop(l_quantity) / median(l_quantity), 2) AS cv, CASE WHEN count(l_tax) FILTER (l_tax > 0.07) > 1 THEN round_even(100 * stddev_pop(CASE WHEN l_tax > 0.07 THEN 0 END) / nullif(median(CASE WHEN l_tax > 0.07 THEN 0 END), 0), 2) END AS cv_of_zeros FROM lineitem GROUP BY 1")
 def agg_distinct_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(A.distinct_list("l_returnflag").alias("flags"), F.round(A.robust_cv("l_quantity"), 6).alias("cv"))
+    return table(spark, sf_dir, "lineitem").withColumn("zero", F.when(F.col("l_tax") > 0.07, 0)).groupBy("l_suppkey").agg(A.distinct_list("l_returnflag").alias("flags"), A.robust_cv("l_quantity").alias("cv"), A.robust_cv("zero").alias("cv_of_zeros"))
 
 
 @query("SELECT c_mktsegment, round(100.0 * sum(CASE WHEN c_acctbal < 1000 THEN 1.0 WHEN c_acctbal = 1000 THEN 0.5 ELSE 0 END) / count(*), 2) AS pct FROM customer GROUP BY 1")
@@ -306,12 +304,67 @@ def page_of_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), s AS (SELECT doc_id, list(w) AS ws FROM t GROUP BY 1), b AS (SELECT list(DISTINCT w) AS bs FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark))
 SELECT doc_id, round(len(list_intersect(ws, bs)) / (len(ws) + len(bs) - len(list_intersect(ws, bs))), 6) AS jaccard FROM s, b""")
 def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_distinct(F.split(F.lower("text"), " "))
-    b = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("w")).agg(F.collect_set("w").alias("bs"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).join(b)
-    return rows.select("doc_id", F.round(F.size(F.array_intersect("ws", "bs")) / F.size(F.array_union("ws", "bs")), 6).alias("jaccard"))
+    words = lambda d, *c: d.select(*c, F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    known = words(table(spark, sf_dir, "benchmark")).distinct().withColumn("known", F.lit(1))
+    size = known.agg(F.count("*").alias("size"))
+    shared = words(table(spark, sf_dir, "documents"), "doc_id").join(known, "w", "left").groupBy("doc_id").agg(F.count("*").alias("own"), F.count("known").alias("both"))
+    return shared.join(size).select("doc_id", F.round(F.col("both") / (F.col("own") + F.col("size") - F.col("both")), 6).alias("jaccard"))
 
 
 @query("""SELECT doc_id, 'left' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def set_universe_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.same_universe(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""WITH j AS (SELECT user_id AS item, event_type AS grade, event_id % 7 AS judge FROM events WHERE event_type IN ('click', 'view')), d AS (SELECT c_custkey AS item, c_custkey % 40 AS adjudicator, 'view' AS decided FROM customer WHERE c_custkey % 3 <> 0),
+a AS (SELECT item, count(*) AS judgments, min(grade) AS lo, max(grade) AS hi, list(DISTINCT judge) AS judges FROM j GROUP BY 1), s AS (SELECT a.*, decided, CASE WHEN lo = hi THEN 'unanimous' WHEN adjudicator IS NULL THEN 'open' WHEN list_contains(judges, adjudicator) THEN 'invalid_adjudicator' ELSE 'adjudicated' END AS source FROM a LEFT JOIN d USING (item))
+SELECT item, judgments, CASE WHEN lo = hi THEN lo WHEN source = 'adjudicated' THEN decided END AS grade, source FROM s""")
+def agg_adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("event_type in ('click', 'view')").select(F.col("user_id").alias("item"), F.col("event_type").alias("grade"), (F.col("event_id") % 7).alias("judge"))
+    made = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("item"), (F.col("c_custkey") % 40).alias("adjudicator"), F.lit("view").alias("decided"))
+    return A.adjudicated(rows, made, "item", "grade", "judge")
+
+
+@query("""WITH RECURSIVE p0 AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 9 AS t FROM part WHERE p_type = 'SMALL' AND p_size > 30), q0 AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 9 AS t FROM part WHERE p_type = 'LARGE' AND p_size > 12), r0 AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 9 AS t FROM part WHERE p_type = 'PROMO' AND p_size < 25),
+""" + ", ".join(f"p{i + 1} AS (SELECT * FROM p{i} a WHERE EXISTS (SELECT 1 FROM q{i} b WHERE b.s = a.s)), q{i}h AS (SELECT * FROM q{i} b WHERE EXISTS (SELECT 1 FROM p{i + 1} a WHERE b.s = a.s)), "
+    f"q{i + 1} AS (SELECT * FROM q{i}h b WHERE EXISTS (SELECT 1 FROM r{i} c WHERE c.t = b.t AND c.s < b.s)), r{i + 1} AS (SELECT * FROM r{i} c WHERE EXISTS (SELECT 1 FROM q{i + 1} b WHERE c.t = b.t AND c.s < b.s))" for i in range(6))
+    + " SELECT 'p' AS side, id FROM p6 UNION ALL SELECT 'q', id FROM q6 UNION ALL SELECT 'r', id FROM r6")
+def join_arc_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("s"), (F.col("p_partkey") % 9).alias("t"), "p_type")
+    sides = {"p": part.where("p_type = 'SMALL' and s > 30"), "q": part.where("p_type = 'LARGE' and s > 12"), "r": part.where("p_type = 'PROMO' and s < 25")}
+    out = J.arc_consistent(sides, [("p", "q", F.col("p_s") == F.col("q_s")), ("q", "r", (F.col("q_t") == F.col("r_t")) & (F.col("r_s") < F.col("q_s")))])
+    return out["p"].select(F.lit("p").alias("side"), F.col("p_id").alias("id")).union(out["q"].select(F.lit("q"), "q_id")).union(out["r"].select(F.lit("r"), "r_id"))
+
+
+@query("""SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, CASE WHEN a.p_size = 50 OR b.p_size = 50 THEN 'unknown' WHEN abs(a.p_size - b.p_size) > 20 THEN 'fail' ELSE 'warning' END AS status
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = 'SMALL' AND b.p_type = 'LARGE' WHERE a.p_size = 50 OR b.p_size = 50 OR abs(a.p_size - b.p_size) > 10""")
+def join_pair_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    side = lambda kind, p: part.where(F.col("p_type") == kind).select(F.col("p_partkey").alias(f"{p}_id"), F.col("p_size").alias(f"{p}_size"), F.col("p_brand").alias(f"{p}_brand"))
+    apart = F.abs(F.col("left_size") - F.col("right_size"))
+    status = F.when((F.col("left_size") == 50) | (F.col("right_size") == 50), "unknown").when(apart > 20, "fail").when(apart > 10, "warning").otherwise("pass")
+    return J.pair_constraints(side("SMALL", "left"), side("LARGE", "right"), F.col("left_brand") == F.col("right_brand"), status).select("left_id", "right_id", "status")
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderpriority = '1-URGENT' THEN 'rush' END, CASE WHEN o_orderstatus = 'F' THEN 'done' END, 'none') AS alias, o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus <> 'P' AND o_totalprice > 1000 AS rights_valid,
+o_orderkey % 5 IN (0, 3) AS leaks, round(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 3 ELSE 0 END + greatest(0, o_custkey % 4 - 1) + CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE 0 END, 6)::DOUBLE AS known FROM orders""")
+def filter_rights_and_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First known alias, rights on a date, payloads that would tell a reviewer the answer, and sums of known entries."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    payload = F.concat(F.lit('{"a": {"'), F.when(k % 5 == 0, "bm25_Score").when(k % 5 == 3, "rank").otherwise("title"), F.lit('": 1, "text": "a score of 3"}}'))
+    entries = F.create_map(F.lit("a"), F.when(c % 3 > 0, (c % 3).cast("double")), F.lit("b"), (c % 4 - 1).cast("double"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", P.first_of(F.when(F.col("o_orderpriority") == "1-URGENT", "rush"), F.when(F.col("o_orderstatus") == "F", "done"), F.lit("none")).alias("alias"),
+        P.rights_valid(F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp"), [F.col("o_orderstatus") != "P", F.col("o_totalprice") > 1000]).alias("rights_valid"), P.leaks_hint(payload).alias("leaks"), A.known_sum(entries).alias("known"),
+    )
+
+
+@query("""SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 2 = 1 THEN 'equals' END, CASE WHEN p_size >= 25 THEN 'at_least' END, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda x: x = 'widget')) > 0 THEN 'contains' END, CASE WHEN p_partkey % 3 = 1 THEN 'truthy' END) AS met,
+len(list_filter(string_split(p_name, ' '), lambda x: replace(lower(x), '-', '_') = 'red')) > 0 AS any_red FROM part""")
+def filter_feature_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, k = F.split("p_name", " "), F.col("p_partkey")
+    kinds = [("equals", F.when(F.col("p_size") % 2 == 1, "on").otherwise("off"), "on"), ("at_least", F.col("p_size"), 25), ("contains", words, "widget"), ("truthy", F.when(k % 3 == 1, True).when(k % 3 == 2, False), None)]
+    met = F.filter(F.array(*[F.when(P.feature_matches(c, op, want), F.lit(op)) for op, c, want in kinds]), lambda x: x.isNotNull())
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(met, ",").alias("met"), P.any_equal(words, "RED ").alias("any_red"))

@@ -49,7 +49,7 @@ def _day(c: str):
 cur AS (SELECT product, min(price) AS current_price, count(DISTINCT seller) AS seller_count FROM offers GROUP BY product),
 h AS (SELECT product, count(*) FILTER (ts >= as_of - INTERVAL 30 DAY) AS history_days_30d, count(*) AS history_days_90d,
   median(price) FILTER (ts >= as_of - INTERVAL 30 DAY) AS median_30d, median(price) AS median_90d, min(price) AS recent_low_90d,
-  100.0::DOUBLE * sum(CASE WHEN price < current_price THEN 1.0::DOUBLE WHEN price = current_price THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*) AS pct, 100 * stddev_pop(price) / median(price) AS vol
+  100.0::DOUBLE * sum(CASE WHEN price < current_price THEN 1.0::DOUBLE WHEN price = current_price THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*) AS pct, CASE WHEN count(price) > 1 THEN round_even(100 * stddev_pop(price) / nullif(median(price), 0), 2) END AS vol
   FROM d90 LEFT JOIN cur USING (product) GROUP BY product),
 n AS (SELECT product, count(*) AS anomaly_count FROM anomalies GROUP BY product),
 r AS (SELECT *, coalesce(history_days_90d >= 7, false) AS history_sufficient FROM asof_t LEFT JOIN cur USING (product) LEFT JOIN h USING (product) LEFT JOIN trends USING (product) LEFT JOIN n USING (product)),
@@ -107,3 +107,30 @@ def price_history_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT product, strftime(day, '%Y-%m-%d') AS day, count(DISTINCT CASE WHEN in_stock THEN seller END) AS sellers, round(avg(in_stock::INT), 6) AS stock_ratio FROM g GROUP BY product, day""")
 def price_daily_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.daily_market_state(observations(spark, sf_dir)).select("product", _day("day"), "sellers", F.round("stock_ratio", 6).alias("stock_ratio"))
+
+
+@query("""WITH o AS (SELECT p_brand AS product, l_extendedprice / l_quantity + CASE WHEN l_tax > 0.02 THEN l_tax * 100 ELSE 0 END AS price, CASE WHEN p_brand IN ('Brand#7', 'Brand#11') AND l_suppkey % 2 = 0 THEN 'USD' ELSE 'SGD' END AS currency FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT product, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies, count(DISTINCT currency) > 1 AS refused FROM o GROUP BY 1)
+SELECT product, currencies, refused, CASE WHEN NOT refused THEN round(min(price), 6) END AS least, CASE WHEN NOT refused THEN round(median(price), 6) END AS middle FROM o JOIN c USING (product) GROUP BY product, currencies, refused""")
+def price_single_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    currency = F.when(F.col("p_brand").isin("Brand#7", "Brand#11") & (F.col("l_suppkey") % 2 == 0), "USD").otherwise("SGD")
+    price = P.delivered(F.col("l_extendedprice") / F.col("l_quantity"), F.when(F.col("l_tax") > 0.02, F.col("l_tax") * 100))
+    obs = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("product"), price.alias("price"), currency.alias("currency"))
+    usable, mixed = P.single_currency(obs)
+    good = usable.groupBy("product").agg(F.min("currency").alias("currencies"), F.round(F.min("price"), 6).alias("least"), F.round(F.median("price"), 6).alias("middle"))
+    bad = mixed.select("product", F.array_join("currencies", ",").alias("currencies"), F.lit(True).alias("refused"))
+    return good.withColumn("refused", F.lit(False)).unionByName(bad, allowMissingColumns=True)
+
+
+@query(f"""WITH {OBS}, w AS (SELECT product, max(ts) AS newest, count(*) AS n FROM obs GROUP BY 1), e AS (SELECT product FROM obs GROUP BY 1 HAVING count(DISTINCT listing) >= 5),
+r AS (SELECT o.*, row_number() OVER (PARTITION BY o.product ORDER BY ts DESC, listing, tie) AS rn FROM obs o JOIN e USING (product))
+SELECT product, rn::INTEGER AS rn, listing, strftime(ts, '%Y-%m-%d') AS ts, round(price, 6) AS price, ts >= newest - INTERVAL 48 HOUR AS current, ts >= newest - INTERVAL 90 DAY AS in_history FROM r JOIN w USING (product) WHERE rn <= 10""")
+def price_history_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest prices of products with five listings or more, and what each may be used for."""
+    obs = observations(spark, sf_dir)
+    eligible = obs.groupBy("product").agg(F.count_distinct("listing").alias("n")).where("n >= 5")
+    rows = P.price_history(obs.join(eligible, "product", "left_semi"), 10)
+    rows = rows.join(obs.groupBy("product").agg(F.max("ts").alias("newest")), "product")
+    within = lambda span: F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL {span}")
+    return rows.select("product", "rn", "listing", _day("ts"), F.round("price", 6).alias("price"), within("48 HOURS").alias("current"), within("90 DAYS").alias("in_history"))
