@@ -75,7 +75,7 @@ def facts(text: Column) -> Column:
 
 
 def written_facts(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda f: F.concat(f["kind"], F.lit("="), F.format_string("%.4f", f["value"]))), ",")
+    return F.array_join(F.transform(found, lambda f: F.concat(f["kind"], F.lit("="), F.format_string("%.10f", f["value"]))), ",")
 
 
 def _most(found: Column, kind: str) -> Column:

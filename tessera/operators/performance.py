@@ -28,6 +28,139 @@ def frame_faults(rows: DataFrame, key: str, family: str, generation: str, featur
     return a.union(split).union(stats.select(F.inline(F.array(*each)))).where("n > 0")
 
 
+def frame_checks(rows: DataFrame, key: str, family: str, generation: str, target: str, features: Sequence[str], expected: dict[str, str], missing_max: float, least_values: int) -> DataFrame:
+    """``(fault, detail, n)`` of everything that keeps a frame from training; empty for a sound one.
+
+    Ids, families and generations that are missing or repeat, families of several generations, other categories or
+    workloads than expected, targets that are missing, infinite or not positive, and features that are infinite, empty,
+    too often missing or too uniform.
+    """
+    inf = lambda c: F.abs(F.col(c).cast("double")) == float("inf")
+    counts: list[tuple[str, str, Column]] = [
+        ("empty_frame", key, (F.count("*") == 0).cast("long")), ("null_id", key, F.count_if(F.col(key).isNull())), ("duplicate_id", key, F.count(key) - F.count_distinct(key)),
+        *[("null_or_empty", c, F.count_if(F.col(c).isNull() | (F.col(c).cast("string") == ""))) for c in (family, generation)],
+        *[("unexpected_value", c, F.count_if(~F.coalesce(F.col(c).cast("string") == v, F.lit(False)))) for c, v in expected.items()],
+        ("null_target", target, F.count_if(F.col(target).isNull())), ("infinite_target", target, F.count_if(inf(target))), ("target_not_positive", target, F.count_if(F.col(target) <= 0)),
+    ]
+    for c in features:
+        missing = F.avg(F.col(c).isNull().cast("int"))
+        counts += [("infinite_feature", c, F.count_if(inf(c))), ("empty_feature", c, (F.count(c) == 0).cast("long")), ("too_often_missing", c, (missing > missing_max).cast("long")), ("too_uniform", c, (F.count_distinct(c) < least_values).cast("long"))]
+    one = rows.agg(*[F.coalesce(e.cast("long"), F.lit(0).cast("long")).alias(f"c{i}") for i, (_, _, e) in enumerate(counts)])
+    listed = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("fault"), F.lit(d).alias("detail"), F.col(f"c{i}").alias("n")) for i, (f, d, _) in enumerate(counts)])))
+    spread = rows.groupBy(family).agg(F.count_distinct(generation).alias("g")).where("g > 1").agg(F.lit("several_generations").alias("fault"), F.lit(family).alias("detail"), F.count("*").alias("n"))
+    return listed.union(spread).where("n > 0")
+
+
+def feature_profiles(rows: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Least and greatest value of each feature in training."""
+    row = rows.agg(*[e for c in features for e in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]).first()
+    return {c: (row[f"{c}_lo"], row[f"{c}_hi"]) for c in features}
+
+
+def confidence_issues(profiles: dict[str, tuple[float, float]], missing_allowed: float) -> Column:
+    """What speaks against a precise estimate: too much missing, or a value outside the training range."""
+    missing = sum((F.col(c).isNull().cast("int") for c in profiles), F.lit(0)) / len(profiles)
+    out = [F.when(missing > missing_allowed, "missing_fraction")] + [F.when((F.col(c) < lo) | (F.col(c) > hi), f"outside_{c}") for c, (lo, hi) in profiles.items()]
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def estimates(rows: DataFrame, issues: Column, radius: float, precise: bool, promotable: bool) -> DataFrame:
+    """Rows (observed, predicted) with ``basis``, ``decision``, ``score``, ``relative_score`` and the interval.
+
+    A measured value wins.  A model whose precise predictions are off, or whose input is outside its contract, gives a
+    relative score only.
+    """
+    odd, seen = F.size(issues) > 0, F.col("observed").isNotNull()
+    value = F.greatest(F.lit(0.0), F.col("predicted"))
+    off = "precise_predictions_disabled" if promotable else "model_not_promotion_eligible"
+    outside = "input_outside_training_contract" if precise else f"{off}_and_input_outside_training_contract"
+    sure = ~odd & F.lit(precise)
+    return rows.withColumns({
+        "basis": F.when(seen, "observed").when(sure, "predicted").otherwise("relative_only"), "decision": F.when(seen, "observed_benchmark").when(odd, outside).when(sure, "precise_model_prediction").otherwise(off),
+        "score": F.when(seen, F.col("observed")).when(sure, value), "relative_score": F.when(seen, F.col("observed")).otherwise(value),
+        "lower": F.when(~seen & sure, F.greatest(F.lit(0.0), value - radius)), "upper": F.when(~seen & sure, value + radius),
+    })
+
+
+#: Engineered features of a processor (fixed formulas).
+ENGINEERED = {
+    "core_base_clock_capacity": lambda: F.col("core_count") * F.col("base_clock_ghz"), "core_boost_clock_capacity": lambda: F.col("core_count") * F.col("boost_clock_ghz"), "thread_core_ratio": lambda: F.col("thread_count") / F.col("core_count"),
+    "tdp_watts_per_core": lambda: F.col("tdp_watts") / F.col("core_count"), "boost_capacity_per_watt": lambda: F.col("core_count") * F.col("boost_clock_ghz") / F.col("tdp_watts"),
+}
+
+
+def engineered(rows: DataFrame, generation: str, levels: Sequence[str]) -> DataFrame:
+    """Adds the engineered features and a 0/1 column for each generation level, and for an unknown one."""
+    known = {f"generation_{i}": (F.col(generation) == v).cast("double") for i, v in enumerate(sorted(levels))}
+    unknown = {"generation_unknown": (~F.coalesce(F.col(generation).isin(list(levels)), F.lit(False))).cast("double")}
+    return rows.withColumns({**{n: f() for n, f in ENGINEERED.items()}, **{n: F.coalesce(c, F.lit(0.0)) for n, c in known.items()}, **unknown})
+
+
+def cross_validated(rows: DataFrame, features: Sequence[str], label: str, fold: str, penalties: Sequence[float]) -> DataFrame:
+    """``(penalty, mae)``: mean error over the folds of a ridge fit for each penalty of the grid; folds are 0 .. k - 1."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    model = LinearRegression(labelCol=label, featuresCol="features_v", elasticNetParam=0.0)
+    grid = ParamGridBuilder().addGrid(model.regParam, list(penalties)).build()
+    data = VectorAssembler(inputCols=list(features), outputCol="features_v").transform(rows)
+    n = rows.agg(F.max(fold)).first()[0] + 1
+    found = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="mae"), numFolds=n, foldCol=fold).fit(data)
+    return rows.sparkSession.createDataFrame([(float(p), float(m)) for p, m in zip(penalties, found.avgMetrics, strict=True)], "penalty double, mae double")
+
+
+def resolved_models(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """Requests (category, workload) with the one model registered for exactly them; several are an error, not a choice."""
+    per = registry.groupBy("category", "workload").agg(F.min("model").alias("model"), F.count("*").alias("n"))
+    rows = requests.join(per, ["category", "workload"], "left")
+    state = F.when(F.col("n").isNull(), "no_model").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return rows.select(*requests.columns, F.when(F.col("n") == 1, F.col("model")).alias("model"), state.alias("state"))
+
+
+def generations(rows: DataFrame, family: str, architecture: str) -> DataFrame:
+    """``(family, generation)``: the most frequent architecture, else the series that the family's number gives."""
+    from tessera.functions.parts import series
+
+    known = modal(rows.where(F.col(architecture).isNotNull()), [family], architecture).select(family, F.col(architecture).alias("known"))
+    return rows.select(family).distinct().join(known, family, "left").select(family, F.coalesce("known", series(F.col(family))).alias("generation"))
+
+
+#: Scores that can be compared: unit, better when higher, field of the source (fixed values).
+CONTRACTS = [("samples/minute", True, "samples_per_minute"), ("seconds", False, "total_render_time"), ("seconds", False, "render_time_no_sync")]
+
+
+def contracted(rows: DataFrame, unit: str, higher: str, field: str) -> Column:
+    """Whether a score's unit, direction and field belong together."""
+    out = F.lit(False)
+    for u, h, f in CONTRACTS:
+        out = out | ((F.trim(unit) == u) & (F.col(higher) == h) & (F.trim(field) == f))
+    return F.coalesce(out, F.lit(False))
+
+
+def workload_slug(*parts: Column) -> Column:
+    text = F.regexp_replace(F.lower(F.concat_ws("_", *parts)), "[^a-z0-9]+", "_")
+    return F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_|_$", "")
+
+
+def gate(rows: DataFrame, rules: Sequence[tuple[str, str, float]]) -> DataFrame:
+    """Metric rows with ``blockers``: names of the metrics that are unknown or on the wrong side of their limit.
+
+    Each rule is (column, 'least' or 'most', limit).
+    """
+    ok = lambda c, how, v: F.col(c) >= v if how == "least" else F.col(c) <= v
+    why = [F.when(~F.coalesce(ok(c, how, v), F.lit(False)), F.lit(c)) for c, how, v in rules]
+    return rows.withColumn("blockers", F.filter(F.array(*why), lambda b: b.isNotNull()))
+
+
+def promotion(rows: DataFrame, rules: Sequence[tuple[str, str, float]], r2: str, mape: str, n: str, least_rows: int, least_r2: float, most_mape: float) -> DataFrame:
+    """``gate`` with ``confidence``: high without a blocker, medium for a reportable model that nearly fits, else low."""
+    out = gate(rows, rules)
+    near = F.coalesce((F.col(n) >= least_rows) & ((F.col(r2) >= min(0.70, least_r2)) | (F.col(mape) <= max(20.0, most_mape))), F.lit(False))
+    return out.withColumn("confidence", F.when(F.size("blockers") == 0, "high").when(near & F.coalesce("reportable", F.lit(False)), "medium").otherwise("low"))
+
+
 def observed_first(requests: DataFrame, observed: DataFrame, model: DataFrame, key: Sequence[str]) -> DataFrame:
     """The measured value where there is one, else the estimate; ``basis`` says which, or unavailable."""
     o, m = observed.select(*key, F.col("value").alias("measured")), model.select(*key, F.col("value").alias("estimate"))

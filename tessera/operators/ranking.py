@@ -152,8 +152,3 @@ def train_pointwise(rows: DataFrame, label: str, seed: int = 17):
 
     names = [*WEIGHTS, *MORE]
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), GBTRegressor(labelCol=label, maxIter=10, maxDepth=3, seed=seed)]).fit(rows)
-
-
-def promotion_blockers(metrics: Mapping[str, float], limits: Mapping[str, float]) -> list[str]:
-    """Names of the metrics that are absent or below their limit."""
-    return [k for k, least in limits.items() if metrics.get(k) is None or metrics[k] < least]

@@ -10,7 +10,7 @@ from tessera.operators import filters as P
 from tessera.operators import relations as J
 from tessera.operators import sampling as S
 from tessera.operators import windows as W
-from tessera.plans.registry import query, table
+from tessera.plans.registry import checkpoints, query, table
 
 STOCK = "CASE WHEN p_size % 5 = 0 THEN 'out_of_stock' WHEN p_size % 5 = 1 THEN 'limited_stock' WHEN p_size % 7 = 0 THEN NULL ELSE 'in_stock' END"
 VRAM = "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size END"
@@ -149,8 +149,7 @@ def join_reference_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT doc_id AS a, 1000000000 + n_chars AS b FROM documents), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS x, a AS y FROM w UNION SELECT r.x, w.b FROM r JOIN w ON r.y = w.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def join_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    checkpoints(spark)
     return J.connected(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), (F.lit(1000000000) + F.col("n_chars")).alias("b")))
 
 
@@ -330,8 +329,7 @@ def agg_adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"q{i + 1} AS (SELECT * FROM q{i}h b WHERE EXISTS (SELECT 1 FROM r{i} c WHERE c.t = b.t AND c.s < b.s)), r{i + 1} AS (SELECT * FROM r{i} c WHERE EXISTS (SELECT 1 FROM q{i + 1} b WHERE c.t = b.t AND c.s < b.s))" for i in range(6))
     + " SELECT 'p' AS side, id FROM p6 UNION ALL SELECT 'q', id FROM q6 UNION ALL SELECT 'r', id FROM r6")
 def join_arc_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    checkpoints(spark)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("s"), (F.col("p_partkey") % 9).alias("t"), "p_type")
     sides = {"p": part.where("p_type = 'SMALL' and s > 30"), "q": part.where("p_type = 'LARGE' and s > 12"), "r": part.where("p_type = 'PROMO' and s < 25")}
     out = J.arc_consistent(sides, [("p", "q", F.col("p_s") == F.col("q_s")), ("q", "r", (F.col("q_t") == F.col("r_t")) & (F.col("r_s") < F.col("q_s")))])

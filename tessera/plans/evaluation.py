@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import wilson
 from tessera.operators import metrics as M
 from tessera.operators import sampling as S
-from tessera.plans.registry import query, table
+from tessera.plans.registry import checkpoints, query, table
 
 ROWS = "x AS (SELECT d.doc_id, lang, max(quality) AS label, (any_value(n_chars) % 101) / 100 AS score, max(quality) * 2 + max(toxic) AS grade FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL)"
 
@@ -36,6 +36,7 @@ def metric_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ROWS}, g AS (SELECT score, sum(label) AS p, count(*) AS n FROM x GROUP BY 1), c AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS m, (SELECT sum(label) FROM x) AS pos FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
 SELECT score AS threshold, round(tp / m, 6) AS precision, round(tp / pos, 6) AS recall, m::BIGINT AS selected FROM c WHERE tp / m >= 0.5 AND m >= 25 ORDER BY tp / pos DESC, tp / m DESC, score DESC LIMIT 1""")
 def metric_precision_first_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoints(spark)
     return _six(M.precision_first_threshold(rows(spark, sf_dir), 0.5, 25), "precision", "recall").drop("lower")
 
 
