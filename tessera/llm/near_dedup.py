@@ -19,7 +19,7 @@ BINS, ROWS = 150, 5
 #: deviation at 0.85 is 0.035 for sets of 14 or 20 shingles and 0.028 for 200 or more, so this is seven of them: fewer
 #: are lost than by the bands.
 SLACK = 0.25
-#: Members of one block, when the members of a bucket are compared.
+#: Members of one block, when the members of a bucket are compared on their full sets.
 BLOCK = 128
 #: Bits of the map that spares texts without a candidate from being read a second time; bounded, so false hits may pass.
 MAP_BITS = 1 << 23
@@ -186,46 +186,46 @@ def _column(column: pa.Array, i: int, field: str) -> pa.Array:
     return column[i].values.field(field)
 
 
-def _near(x: pa.Array, y: pa.Array, i: int, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of block ``x[i]`` the rows of ``y[i]`` in another component that may reach the threshold."""
-    (ca, na), (cb, nb) = ([_column(c, i, f).to_numpy() for f in ("component", "n_shingles")] for c in (x, y))
-    sa, sb = (np.frombuffer(b"".join(_column(c, i, "sig").to_pylist()), np.uint8).reshape(-1, BINS) for c in (x, y))
-    for at in range(len(ca)):
-        j = np.flatnonzero((cb != ca[at]) & (100 * np.minimum(nb, na[at]) >= threshold * np.maximum(nb, na[at])))
-        if len(j):
-            j = j[(sb[j] == sa[at]).mean(1) >= threshold / 100 - SLACK]
-        if len(j):
-            yield at, j
-
-
-def _across_small(rows: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs across the components of buckets of one block."""
+#: Shared shingles that one matrix product of two blocks takes.
+SHARED = 8192
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of each intersection of a left with a right set, by products of 0/1 matrices over the shared shingles."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out
+    placed = []
+    for values, row in sides:
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        known = common[at] == values
+        order = np.argsort(at[known], kind="stable")
+        placed.append((at[known][order], row[known][order]))
+    for lo in range(0, len(common), SHARED):
+        width, both = min(SHARED, len(common) - lo), []
+        for (at, row), n in zip(placed, out.shape, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[i:j], at[i:j] - lo] = 1
+            both.append(m)
+        out += both[0] @ both[1].T
+    return out
+
+
+def _links_of_blocks(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links across the components of buckets.
+
+    The full sets come along, and all pairs of two blocks are judged exactly where the blocks meet; of the links
+    found there only those leave that join components which no other link of the two blocks joins, so that at most
+    as many links leave as classes came.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, (x, y) = [], batch.columns
             for i in range(batch.num_rows):
-                ra, rb = (_column(c, i, "rep").to_numpy() for c in (x, y))
-                found += [np.stack([np.minimum(rb[j], ra[at]), np.maximum(rb[j], ra[at])]) for at, j in _near(x, y, i, threshold)]
-            a, b = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    met = _blocks(rows, ["rep", "component", "n_shingles", "sig"])
-    return met.select("x", "y").mapInArrow(run, "a long, b long").distinct()
-
-
-def _across_large(rows: DataFrame, threshold: int) -> DataFrame:
-    """Links across the components of larger buckets.
-
-    The full sets come along and pairs are confirmed where the blocks meet, in the first band that two classes
-    share; a pair whose classes this task has linked already isn't tried, so that at most as many links leave it
-    as classes came.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, (keys, x, y) = [], batch.columns
-            for i, key in enumerate(keys.to_numpy()):
                 up: dict[int, int] = {}
 
                 def root(v: int, up: dict[int, int] = up) -> int:
@@ -233,40 +233,34 @@ def _across_large(rows: DataFrame, threshold: int) -> DataFrame:
                         up[v] = v = up[w]
                     return v
 
-                (ra, ca), (rb, cb) = ([_column(c, i, f).to_numpy() for f in ("rep", "component")] for c in (x, y))
-                ba, bb = (np.stack([b.values.to_numpy() for b in _column(c, i, "bands")]) for c in (x, y))
+                (ra, ca, na), (rb, cb, nb) = ([_column(c, i, f).to_numpy() for f in ("rep", "component", "n_shingles")] for c in (x, y))
                 sa, sb = ([np.frombuffer(s.as_buffer(), np.uint64) for s in _column(c, i, "shingles")] for c in (x, y))
-                for at, near in _near(x, y, i, threshold):
-                    shared = bb[near] == ba[at]
-                    for j in near[ba[at][shared.argmax(1)] == key]:
-                        a, b = root(int(ca[at])), root(int(cb[j]))
-                        if a == b:
-                            continue
-                        both = len(np.intersect1d(sa[at], sb[j], assume_unique=True))
-                        if 100 * both >= threshold * (len(sa[at]) + len(sb[j]) - both):
-                            up[a] = b
-                            found.append((int(ra[at]), int(rb[j])))
+                both = _intersections(sa, sb)
+                good = (100 * both >= threshold * (na[:, None] + nb - both)) & (ca[:, None] != cb)
+                for at, j in zip(*np.nonzero(good), strict=True):
+                    a, b = root(int(ca[at])), root(int(cb[j]))
+                    if a != b:
+                        up[a] = b
+                        found.append((int(ra[at]), int(rb[j])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    met = _blocks(rows, ["rep", "component", "n_shingles", "sig", "bands", "shingles"])
-    return map_batches(met, run, "a long, b long").distinct()
+    met = _blocks(rows, ["rep", "component", "n_shingles", "shingles"])
+    return map_batches(met.select("x", "y"), run, "a long, b long").distinct()
+
 
+def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
+    """The links inside buckets that still hold several components, except those within one component.
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, star: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
-    """The links inside buckets that still hold several components, except those within one component."""
+    Of buckets with the same members (two hashes of them tell) one is looked at.
+    """
     node = labels.select(F.col("node").alias("rep"), "component")
     m = cut(members.join(node, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
-    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = cut(mixed.where("lo <> hi").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
-    rows = cut(m.join(mixed, "key"))
-    small = rows.where("nb = 1").join(classes.select("rep", "n_shingles", "sig"), "rep")
-    links = confirmed(cut(_across_small(small, threshold).join(star, ["a", "b"], "left_anti")), docs, threshold, k)
-    large = rows.where("nb > 1")
-    if large.isEmpty():
-        return links
-    sets = cut(shingle_table(docs, large.select(F.col("rep").alias("id")), k)).withColumnRenamed("id", "rep")
-    large = large.join(classes.select("rep", "n_shingles", "sig", "bands"), "rep").join(sets, "rep")
-    return links.union(_across_large(large, threshold))
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"h{seed}") for seed in (1, 2)]
+    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), *same).where("lo <> hi")
+    mixed = mixed.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "main")).alias("one")).select("one.key", "one.main", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    rows = cut(m.join(cut(mixed), "key"))
+    sets = cut(shingle_table(docs, rows.select(F.col("rep").alias("id")), k)).withColumnRenamed("id", "rep")
+    return _links_of_blocks(rows.join(classes.select("rep", "n_shingles"), "rep").join(sets, "rep"), threshold)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, k: int = 5) -> DataFrame:
@@ -295,7 +289,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, k: int = 5) -> DataFra
     members = cut(rows.join(shared, "key"))
     star = cut(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(confirmed(cut(_likely(star, classes, threshold)), docs, threshold, k))
-    links = links.union(cut(_across(members.select("key", "rep"), classes, components(links), star, docs, threshold, k)))
+    links = links.union(cut(_across(members.select("key", "rep"), classes, components(links), docs, threshold, k)))
     labels = components(links)
     node = classes.select(*own, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     node = cut(node.select(*own, F.coalesce("component", "rep").alias("component")))

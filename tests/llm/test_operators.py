@@ -497,3 +497,14 @@ def test_pipeline_with_clashing_columns(spark, tmp_path):
     assert out.columns == [c for c in df.columns if c not in ("text", "ids")] + ["n_tokens", "ids", "round_trip"]
     rows = out.collect()
     assert len(rows) == docs.count() and all(r.round_trip and r.candidates == "c" for r in rows)
+
+
+def test_intersections_of_blocks(monkeypatch):
+    from tessera.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "SHARED", 7)
+    rng = random.Random(4)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 40))), np.uint64) for _ in range(23)]
+    got = module._intersections(sets[:9], sets[9:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[9:]] for a in sets[:9]]
+    assert module._intersections([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0.0]]
