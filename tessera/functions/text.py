@@ -102,12 +102,6 @@ def numeric_facts(text: Column) -> Column:
     return F.array_join(F.transform(names, lambda n: F.concat(n, F.lit("="), F.format_string("%.2f", first(n)))), ",")
 
 
-def only_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """The captured value if all matches agree, else null."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group)))
-    return F.when(F.size(found) == 1, found[0])
-
-
 def version_key(text: Column) -> Column:
     """An array that orders versions: numbers by value and before letters."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"\d+|[a-z]+"), F.lit(0))

@@ -176,9 +176,17 @@ def modal(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return n.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*by, value, "n")
 
 
-def group_diagnostics(rows: DataFrame, group: str) -> DataFrame:
-    """Error share of each group and the rows outside the training range."""
-    return rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.try_divide(F.abs(F.col("predicted") - F.col("actual")), F.abs("actual"))).alias("mape"), F.count_if((F.col("actual") < F.col("low")) | (F.col("actual") > F.col("high"))).alias("outside"))
+def group_diagnostics(test: DataFrame, group: str, development: DataFrame, profiles: dict[str, tuple[float, float]]) -> DataFrame:
+    """One row on test rows (actual, predicted): groups, those that development has too, the worst group's MAPE among
+    groups of two rows or more with positive values, and rows outside the training range."""
+    outside = [F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)) for c, (lo, hi) in profiles.items()]
+    out = outside[0]
+    for c in outside[1:]:
+        out = out | c
+    per = test.groupBy(group).agg(F.count("*").alias("n"), F.min("actual").alias("low"), F.avg(F.try_divide(F.abs(F.col("predicted") - F.col("actual")), F.col("actual"))).alias("mape"), F.count_if(out).alias("outside"))
+    seen = per.join(development.select(group).distinct().withColumn("seen", F.lit(1)), group, "left")
+    usable = (F.col("n") >= 2) & (F.col("low") > 0)
+    return seen.agg(F.count("*").alias("groups"), F.count("seen").alias("overlap"), F.count_if(usable).alias("evaluable"), (100 * F.max(F.when(usable, F.col("mape")))).alias("worst_mape"), F.sum("n").alias("rows"), F.sum("outside").alias("outside_rows"))
 
 
 def train_regressor(rows: DataFrame, features: Sequence[str], label: str, kind: str = "ridge", seed: int = 17):

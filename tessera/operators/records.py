@@ -21,11 +21,6 @@ def with_reasons(rows: DataFrame, rules: Sequence[tuple[Column, str]]) -> tuple[
     return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
 
 
-def score_of(samples_per_minute: Column, total: Column, without_sync: Column) -> Column:
-    """The first positive of the scores, in that order."""
-    return F.coalesce(*[F.when(c > 0, c) for c in (samples_per_minute, total, without_sync)])
-
-
 def reconciled(*signals: Column) -> Column:
     """The one known signal; conflict if known signals differ, unknown without any."""
     known = F.array_distinct(F.filter(F.array(*signals), lambda s: s.isNotNull() & (s != "unknown")))
@@ -51,12 +46,6 @@ def keyed_single(rows: DataFrame, text: str, rules: Mapping[str, str], limit: in
     })
 
 
-def single_offer(offers: DataFrame, by: str, identity: str) -> DataFrame:
-    """Offers of an item with several identities are ambiguous."""
-    w = Window.partitionBy(by)
-    return offers.withColumn("status", F.when(F.size(F.collect_set(identity).over(w)) > 1, "ambiguous").otherwise("accepted"))
-
-
 def assembled(products: DataFrame, offers: DataFrame, scores: DataFrame, key: str) -> DataFrame:
     """Products with their cheapest offer, their number of offers and their score, by left joins."""
     best = offers.groupBy(key).agg(F.min(F.struct("price", "listing")).alias("b"), F.count("*").alias("offers"))

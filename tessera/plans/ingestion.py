@@ -109,7 +109,7 @@ def source_feed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "condition": F.when(F.col("l_returnflag") == "R", "Used").otherwise("New"), "stock_status": F.when(s % 5 == 0, "Sold Out").when(s % 5 == 1, "In-Stock").otherwise("unknown"), "in_stock": F.when(p % 6 == 0, "no").when(p % 6 == 1, "1"), "for_sale": F.lit("yes"), "pre_order": F.when(p % 25 == 0, "true").otherwise("false"),
     }
     table(spark, sf_dir, "lineitem").select(*[e.alias(c) for c, e in columns.items()]).write.csv(path, header=True, compression="gzip", escape='"')
-    rows = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in columns), escape='"').withColumn("line", F.col("seq").cast("long"))
+    rows = files.read_feed_csv(spark, path, list(columns)).withColumn("line", F.col("seq").cast("long"))
     return N.feed_listings(rows, "1", ["shop.example"], most=1e9).select("line", "stock", "reason")
 
 
@@ -222,3 +222,24 @@ def text_part_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(F.array_join(F.transform(F.array_sort(F.map_entries(found["counts"])), lambda e: F.concat_ws("=", e["key"], e["value"])), ","), F.lit("|"), F.array_join(found["unknown"], ","))
     branded = P.begins_with_brand(F.when(k % 3 == 0, F.concat(F.upper("p_brand"), F.lit(" - "), "p_name")).otherwise(F.concat("p_name", F.lit(" "), "p_brand")), F.col("p_brand"))
     return table(spark, sf_dir, "part").select("p_partkey", P.category(name).alias("category"), P.colour_conflict(title, F.lit("Red/silver")).alias("colour_conflict"), branded.alias("branded"), shown.alias("connectors"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS released, CASE WHEN o_orderkey % 2 = 0 THEN '+S$' ELSE '-S$' END || format('{:,.2f}', round(o_totalprice, 2)) AS change FROM orders""")
+def records_dates_and_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as precise as they are known, and signed amounts."""
+    from tessera.functions.text import signed_money
+
+    k, price = F.col("o_orderkey"), F.round("o_totalprice", 2)
+    precision = F.when(k % 4 == 0, 9).when(k % 4 == 1, 10).when(k % 4 == 2, 11).otherwise(7)
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.release_precision(precision, F.col("o_orderdate")).alias("released"), signed_money(F.when(k % 2 == 0, price).otherwise(-price)).alias("change"))
+
+
+@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey AS named FROM lineitem WHERE l_partkey % 8 IN (1, 2, 3, 6)), p AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN 'i' || (10000 + p_partkey % 5000) WHEN 2 THEN 'g' || (2000 + p_partkey % 3000) WHEN 3 THEN 'r' || (5000 + p_partkey % 3000) WHEN 6 THEN 'e' || (100 + p_partkey % 900) END AS family FROM part)
+SELECT l_orderkey, l_linenumber, count(DISTINCT q.p_partkey) AS products FROM b JOIN p ON p.p_partkey = named JOIN p q ON q.family = p.family GROUP BY ALL""")
+def join_hardware_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark rows meet catalogue products of exactly the same silicon family."""
+    family = lambda name: F.coalesce(P.hardware_family(name, "cpu"), P.hardware_family(name, "gpu"))
+    part = table(spark, sf_dir, "part").withColumn("name", F.expr(NAMED)).where("p_partkey % 8 in (1, 2, 3, 6)")
+    measured = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.upper("name").alias("device")), "l_partkey").select("l_orderkey", "l_linenumber", family(F.col("device")).alias("family"))
+    catalogue = part.select("p_partkey", family(F.col("name")).alias("family"))
+    return measured.join(catalogue, "family").groupBy("l_orderkey", "l_linenumber").agg(F.count_distinct("p_partkey").alias("products"))

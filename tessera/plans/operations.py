@@ -174,3 +174,79 @@ def stream_daily_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest.staged(spark, f"{base}/in", events.schema, f"{base}/state", lambda batch, i: agg(batch).write.mode("overwrite").parquet(f"{published}/batch={i}"))
     parts = spark.read.parquet(published)
     return parts.groupBy("day", "event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+KINDS = "CASE o_orderstatus WHEN 'F' THEN 'canonical_product' WHEN 'O' THEN 'benchmark_observation' ELSE 'retailer_listing' END"
+RECORDS = {
+    "source_name": "CASE WHEN o_orderkey % 40 = 0 THEN 'bizgram_controlled_pdf' ELSE 'open' END", "source_record_id": "CASE WHEN o_orderkey % 50 = 1 THEN '' ELSE CAST(o_orderkey % 9000 AS STRING) END", "schema_version": "CASE WHEN o_orderkey % 60 > 0 THEN 'v1' END", "record_type": KINDS,
+    "has_data": "o_orderkey % 70 > 0", "training_eligible": "o_orderkey % 80 = 0", "published_claims_eligible": "false", "product_id": "CASE WHEN o_orderkey % 11 > 0 THEN 'p' END", "category": "o_orderpriority", "brand": "CASE WHEN o_orderkey % 13 > 0 THEN 'b' ELSE '' END", "model": "'m'", "canonical_name": "'n'",
+    "benchmark_id": "'x'", "unit": "CASE WHEN o_orderkey % 17 > 0 THEN 's' END", "score": "o_totalprice - 20000", "source_listing_id": "'l'", "base_price": "o_totalprice - 10000", "currency": "CASE WHEN o_orderkey % 19 > 0 THEN 'SGD' ELSE 'sgd' END",
+}
+
+
+@query("WITH r AS (SELECT " + ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in RECORDS.items()) + """ FROM orders WHERE o_orderkey % 100 < 75), x AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 100 >= 75),
+a AS (SELECT (count(*) = 0)::BIGINT AS a1, count_if(source_record_id = '') AS a2, count(*) - count(DISTINCT source_record_id) AS a3, count_if(schema_version IS NULL OR NOT has_data) AS a4, ((SELECT n FROM x) > 0.2 * (count(*) + (SELECT n FROM x)))::BIGINT AS a5,
+count_if(record_type = 'canonical_product' AND (product_id IS NULL OR brand = '')) AS a6, count_if(record_type = 'benchmark_observation' AND (product_id IS NULL OR unit IS NULL OR score <= 0)) AS a7, count_if(record_type = 'retailer_listing' AND (base_price <= 0 OR currency = 'sgd')) AS a8, count_if(source_name <> 'open' AND training_eligible) AS a9 FROM r),
+u AS (SELECT unnest(['accepted_records_present', 'source_record_ids_present', 'source_record_ids_unique', 'normalised_envelope_complete', 'rejection_rate_within_threshold', 'canonical_products_valid', 'benchmark_values_valid', 'retailer_prices_valid', 'controlled_import_use_restricted']) AS name, unnest([a1, a2, a3, a4, a5, a6, a7, a8, a9]) AS count FROM a),
+s AS (SELECT name, count, CASE WHEN count > 0 THEN 'fail' ELSE 'pass' END AS status FROM u) SELECT * FROM s UNION ALL SELECT 'overall', NULL::BIGINT + 0, CASE WHEN count_if(status = 'fail') > 0 THEN 'fail' ELSE 'pass' END FROM s""".replace("NULL::BIGINT + 0", "0::BIGINT"))
+def quality_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    records = orders.where("o_orderkey % 100 < 75").select(*[F.expr(e).alias(c) for c, e in RECORDS.items()])
+    out = Q.batch_report(records, orders.where("o_orderkey % 100 >= 75").count())
+    return out.union(Q.overall(out).select(F.lit("overall").alias("name"), F.lit(0).cast("long").alias("count"), "status"))
+
+
+def _counts_sql(name: str, where: str) -> str:
+    return f"""{name}s AS (SELECT {KINDS} AS record_type, o_orderpriority AS category, o_orderkey % 5 = 0 AS rejected FROM orders WHERE {where}),
+{name} AS (SELECT 'accepted' AS kind, '' AS key, count_if(NOT rejected) AS n FROM {name}s UNION ALL SELECT 'rejected', '', count_if(rejected) FROM {name}s UNION ALL SELECT 'record_type', record_type, count(*) FROM {name}s GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM {name}s GROUP BY 2)"""
+
+
+@query(f"""WITH {_counts_sql('w', 'o_orderkey % 2 = 0')}, {_counts_sql('n', "o_orderkey % 2 = 1 AND o_orderstatus <> 'O' AND (o_orderpriority <> '5-LOW' OR o_custkey % 2 = 0) AND (o_orderkey % 5 = 0 OR o_custkey % 4 > 0)")},
+b AS (SELECT coalesce(w.kind, n.kind) AS kind, coalesce(w.key, n.key) AS key, coalesce(w.n, 0) AS was, coalesce(n.n, 0) AS now FROM w FULL JOIN n ON w.kind = n.kind AND w.key = n.key),
+a AS (SELECT sum(CASE WHEN kind = 'accepted' THEN greatest(0, ceil(was * 0.7) - now) ELSE 0 END)::BIGINT AS a1, sum(CASE WHEN kind = 'record_type' AND key = 'retailer_listing' AND was >= 10 THEN greatest(0, ceil(was * 0.7) - now) ELSE 0 END)::BIGINT AS a2, count_if(kind = 'record_type' AND was >= 10 AND now = 0) AS a3,
+sum(CASE WHEN kind = 'category' AND was >= 10 THEN greatest(0, ceil(was * 0.6) - now) ELSE 0 END)::BIGINT AS a4, (sum(now) FILTER (kind = 'rejected') / sum(now) FILTER (kind IN ('accepted', 'rejected')) - sum(was) FILTER (kind = 'rejected') / sum(was) FILTER (kind IN ('accepted', 'rejected')) > 0.15)::BIGINT AS a5 FROM b),
+u AS (SELECT unnest(['accepted_count_regression', 'retailer_listing_count_regression', 'record_type_regression', 'category_count_regression', 'rejection_rate_regression']) AS name, unnest([a1, a2, a3, a4, a5]) AS count FROM a) SELECT name, count, CASE WHEN count > 0 THEN 'fail' ELSE 'pass' END AS status FROM u""")
+def quality_regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def counts(where: str) -> DataFrame:
+        rows = table(spark, sf_dir, "orders").where(where).select(F.expr(KINDS).alias("record_type"), F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 5 == 0).alias("rejected"))
+        per = lambda kind: rows.groupBy(F.col(kind).alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+        both = rows.agg(F.count_if(~F.col("rejected")).alias("a"), F.count_if("rejected").alias("r")).select(F.inline(F.array(F.struct(F.lit("accepted").alias("kind"), F.lit("").alias("key"), F.col("a").alias("n")), F.struct(F.lit("rejected").alias("kind"), F.lit("").alias("key"), F.col("r").alias("n")))))
+        return both.union(per("record_type")).union(per("category"))
+
+    now = "o_orderkey % 2 = 1 AND o_orderstatus <> 'O' AND (o_orderpriority <> '5-LOW' OR o_custkey % 2 = 0) AND (o_orderkey % 5 = 0 OR o_custkey % 4 > 0)"
+    return Q.regression_report(counts(now), counts("o_orderkey % 2 = 0"))
+
+
+@query("""WITH o AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'matched' WHEN 1 THEN 'unmatched' WHEN 2 THEN 'manual_review' ELSE 'rejected_conflict' END AS outcome FROM lineitem), n AS (SELECT l_suppkey, l_partkey, max(l_shipdate) AS ts FROM lineitem GROUP BY ALL)
+SELECT count(*) AS offers, count_if(outcome = 'matched') AS matched, count_if(outcome = 'unmatched') AS unmatched, count_if(outcome = 'manual_review') AS manual_review, count_if(outcome = 'rejected_conflict') AS rejected_conflict, (SELECT count(*) FROM n) AS listings, (SELECT count_if(ts < TIMESTAMP '2000-01-01' - INTERVAL 48 HOUR) FROM n) AS stale FROM o""")
+def quality_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber") % 4
+    lines = table(spark, sf_dir, "lineitem")
+    offers = lines.select(F.when(n == 0, "matched").when(n == 1, "unmatched").when(n == 2, "manual_review").otherwise("rejected_conflict").alias("outcome"))
+    return Q.operations(offers, lines.select(F.struct("l_suppkey", "l_partkey").alias("listing"), F.col("l_shipdate").alias("ts")), F.lit("2000-01-01").cast("timestamp_ntz"), 48)
+
+
+@query("""WITH t AS (SELECT l_suppkey, l_extendedprice AS actual, l_quantity * 1000 AS predicted, l_tax, l_returnflag FROM lineitem), g AS (SELECT l_suppkey, count(*) AS n, min(actual) AS low, avg(abs(predicted - actual) / actual) AS mape, count_if(l_tax > 0.07 OR predicted < 2000) AS outside FROM t WHERE l_returnflag = 'N' GROUP BY 1)
+SELECT count(*) AS groups, count_if(l_suppkey % 3 = 0) AS overlap, count_if(n >= 2 AND low > 0) AS evaluable, round(100 * max(mape) FILTER (n >= 2 AND low > 0), 6) AS worst_mape, sum(n)::BIGINT AS rows, sum(outside)::BIGINT AS outside_rows FROM g""")
+def performance_group_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("actual"), (F.col("l_quantity") * 1000).alias("predicted"), "l_tax", "l_returnflag")
+    out = G.group_diagnostics(lines.where("l_returnflag = 'N'"), "l_suppkey", lines.where("l_suppkey % 3 = 0"), {"l_tax": (0.0, 0.07), "predicted": (2000.0, 1e12)})
+    return out.withColumn("worst_mape", F.round("worst_mape", 6))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, events = _folder(spark), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(3).write.parquet(f"{base}/in")
+    ingest.staged(spark, f"{base}/in", events.schema, f"{base}/state", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out"), lambda s: ingest.running_totals(s, ["event_type"], "value"), "complete")
+    return spark.read.parquet(f"{base}/out").withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+def stream_final_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the watermark has passed: later events can't change them any more."""
+    base, events = _folder(spark), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{base}/in")
+    ingest.available_now(spark, f"{base}/in", events.schema, lambda s: ingest.daily_buckets(s, "ts", ["event_type"], "value"), f"{base}/out", f"{base}/state")
+    schema = "day timestamp, event_type string, n long, total double"
+    return spark.read.schema(schema).parquet(f"{base}/out").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -83,6 +83,12 @@ def test_allocation_and_split(spark):
     assert sorted(a) == sorted(b) and sorted(x.split for x in a).count("train") == 18
 
 
+def test_cursor_scope():
+    scope = sampling.scope_digest({"category": "gpu", "size": 20})
+    c = sampling.encode_cursor({"page": 2, "scope": scope}, b"secret")
+    assert sampling.decode_cursor(c, b"secret")["scope"] == sampling.scope_digest({"size": 20, "category": "gpu"}) != sampling.scope_digest({"category": "cpu", "size": 20})
+
+
 def test_cursor_round_trip():
     c = sampling.encode_cursor({"page": 3}, b"secret")
     assert sampling.decode_cursor(c, b"secret") == {"page": 3}
