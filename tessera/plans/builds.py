@@ -201,12 +201,12 @@ LIMIT, SUPPLY = 5, "PROMO"
 WATTS = "CASE WHEN p_partkey % 3 = 0 THEN 450 ELSE 300 END"
 HARD = O.Limits(BUDGET * 2, base_watts=30, headroom_percent=25, supply=SUPPLY)
 OTHER = {p: "(round_even((" + " + ".join(f"{w} * {s}" for w, s in zip(O.PROFILES[p].weights, O.SCORES, strict=True)) + f") * 100, 0)::BIGINT - p_size * {O.PROFILES[p].per_watt})" for p in ("best_overall", "lowest_power")}
-COMBOS = f"""{POOL}, v0 AS (SELECT c.*, {VALUE} AS best_value, {OTHER['best_overall']} AS best_overall, {OTHER['lowest_power']} AS lowest_power, CASE WHEN category = '{SUPPLY}' THEN 0 ELSE p_size END AS load, {WATTS} AS supply, p_partkey % 2 AS socket FROM c JOIN part ON p_partkey = product_id),
+COMBOS = f"""{POOL}, v0 AS (SELECT c.*, {VALUE} AS best_value, {OTHER['best_overall']} AS best_overall, {OTHER['lowest_power']} AS lowest_power, CASE WHEN category = '{SUPPLY}' THEN 0 ELSE p_size END AS load, {WATTS} AS supply, p_partkey % 2 AS socket, list_position((SELECT t FROM ty), category) AS ci FROM c JOIN part ON p_partkey = product_id),
 v AS (SELECT * FROM v0 QUALIFY row_number() OVER (PARTITION BY request_id, category ORDER BY best_value DESC, product_id) <= {LIMIT}),
 x AS (SELECT a.request_id, a.product_id AS p0, b.product_id AS p1, d.product_id AS p2, e.product_id AS p3, f.product_id AS p4, g.product_id AS p5, a.price_cents + b.price_cents + d.price_cents + e.price_cents + f.price_cents + g.price_cents AS price_cents, 30 + a.load + b.load + d.load + e.load + f.load + g.load AS load_watts,
   {', '.join(f'a.{p} + b.{p} + d.{p} + e.{p} + f.{p} + g.{p} - CASE WHEN a.socket = 1 AND b.socket = 1 THEN 500 ELSE 0 END AS {p}' for p in ('best_value', 'best_overall', 'lowest_power'))}
-  FROM v a JOIN v b USING (request_id) JOIN v d USING (request_id) JOIN v e USING (request_id) JOIN v f USING (request_id) JOIN v g USING (request_id), ty
-  WHERE a.category = t[1] AND b.category = t[2] AND d.category = t[3] AND e.category = t[4] AND f.category = t[5] AND g.category = t[6] AND NOT (a.socket = 0 AND d.socket = 1) AND (30 + a.load + b.load + d.load + e.load + f.load + g.load) * 125 <= e.supply * 100
+  FROM {' JOIN '.join(f'(SELECT * FROM v WHERE ci = {i + 1}) {n}' + (' USING (request_id)' if i else '') for i, n in enumerate('abdefg'))}
+  WHERE NOT (a.socket = 0 AND d.socket = 1) AND (30 + a.load + b.load + d.load + e.load + f.load + g.load) * 125 <= e.supply * 100
   AND a.price_cents + b.price_cents + d.price_cents + e.price_cents + f.price_cents + g.price_cents <= {HARD.budget_cents})"""
 PICK = lambda p, source: f"SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY {p} DESC, price_cents, p0, p1, p2, p3, p4, p5) = 1"
 APART = lambda old: f"(x.p0 <> {old}.p0)::INT + (x.p1 <> {old}.p1)::INT + (x.p2 <> {old}.p2)::INT + (x.p3 <> {old}.p3)::INT + (x.p4 <> {old}.p4)::INT + (x.p5 <> {old}.p5)::INT >= 2"
