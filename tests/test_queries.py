@@ -16,6 +16,8 @@ CHOSEN = (
     "price_intelligence_by_brand", "price_mad_anomalies", "filter_products", "filter_eligibility_reasons", "join_cheapest_line", "join_quarantine", "agg_median_mad", "agg_facets", "window_ranks_and_scales",
     "sample_stratified", "retrieve_bm25", "retrieve_rank_fusion", "metric_binary", "metric_retrieval", "split_groups", "rank_heuristic", "entity_pair_features", "compat_report", "build_best_value",
     "quality_batch", "stream_idempotent_events", "performance_training_rows", "records_reconciled_stock", "source_json_lines_round_trip", "stream_deduplicated",
+    "compat_published_lists", "build_diverse_profiles", "entity_matches", "rank_features", "retrieve_hash_embedding", "split_components", "performance_estimates", "records_canonical_products", "source_feed_listings",
+    "quality_batch_report", "metric_frozen_candidates", "filter_allowed_products", "text_part_vocabulary", "join_arc_consistency",
 )
 
 
