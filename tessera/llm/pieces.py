@@ -15,8 +15,8 @@ from tessera.llm.common import cut, map_batches, text_steps
 
 #: Code points from which a text is giant, and of its chunks; chunks joined to one group of the scan.
 GIANT, CHUNK, GROUP = 65_536, 16_384, 256
-#: Words remembered by a worker (some 12 MB, kept from task to task); bytes of text encoded at once.
-MEMORY, STEP = 300_000, 1 << 22
+#: Words remembered by a worker (some 6 MB, kept from task to task); bytes of text encoded at once.
+MEMORY, STEP = 150_000, 1 << 21
 SPACE = "▁"
 NEVER = -np.inf
 
