@@ -66,3 +66,44 @@ kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(
          WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(ps) AS p FROM gone) q WHERE q.r = u.r AND q.p = u.p) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
+
+
+def _draw(seed: str, group: int) -> str:
+    """The ``group``-th 8 hex digits of sha256(``seed:doc_id``) as an unsigned integer."""
+    return f"('0x' || substr(sha256('{seed}:' || doc_id::VARCHAR), {8 * group - 7}, 8))::BIGINT"
+
+
+def resampling(source: str = "documents", target: str = "benchmark", seed: str = "7", buckets: int = 10_000) -> str:
+    words = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+    return rf"""
+WITH RECURSIVE low AS (SELECT b::BIGINT AS b, b::BIGINT AS r, 0 AS step FROM range(256) t(b)
+                       UNION ALL SELECT b, xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END), step + 1 FROM low WHERE step < 8),
+tab AS MATERIALIZED (SELECT list(r ORDER BY b) AS t FROM low WHERE step = 8),
+d AS (SELECT row_number() OVER () AS k, doc_id, {words} AS ws FROM {source}),
+e AS (SELECT {words} AS ws FROM {target}),
+f AS (SELECT k, unnest({grams}) AS g FROM d),
+g AS (SELECT unnest({grams}) AS g FROM e),
+names AS (SELECT DISTINCT g FROM (SELECT g FROM f UNION ALL SELECT g FROM g)),
+bytes AS (SELECT g, list_transform(range(0, octet_length(encode(g))::BIGINT), lambda i: ('0x' || substr(hex(encode(g)), (2 * i + 1)::BIGINT, 2))::BIGINT) AS bs FROM names),
+hashed AS (SELECT g, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8)), 4294967295) % {buckets} AS b FROM bytes, tab),
+s AS (SELECT b, count(*) AS n FROM f JOIN hashed USING (g) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM g JOIN hashed USING (g) GROUP BY b),
+sums AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t_all),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (s_all + {buckets}) / ((s.n::DOUBLE + 1) * (t_all + {buckets}))))::BIGINT AS gain FROM s LEFT JOIN t USING (b), sums),
+w AS (SELECT k, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN hashed USING (g) JOIN gain USING (b) GROUP BY k),
+r AS (SELECT k, doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, {_draw(seed, 1)} AS h FROM d LEFT JOIN w USING (k)),
+z AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296::DOUBLE))))::BIGINT AS score, n_words >= 20 AND doc_id IS NOT NULL AS open FROM r),
+o AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, 25 * count(*) OVER () // 100 AS drawn FROM z WHERE open)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM z LEFT JOIN o USING (k)"""
+
+
+FILL_IN_MIDDLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, {_draw("1", 1)} AS h1, {_draw("1", 2)} AS h2, {_draw("1", 3)} AS h3, {_draw("1", 4)} AS h4 FROM documents),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN doc_id IS NULL OR t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""

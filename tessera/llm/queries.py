@@ -12,8 +12,11 @@ from tessera.llm import oracle
 from tessera.llm.chat import chat_format
 from tessera.llm.common import shared_dir
 from tessera.llm.decontaminate import contamination
+from tessera.llm.fill_middle import fill_in_middle, restored
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import encode
+from tessera.llm.quality import quality
+from tessera.llm.resampling import resample
 from tessera.llm.secrets import KINDS, secret_spans, written
 from tessera.llm.substring import remove_repeats
 from tessera.llm.top_k import top_k
@@ -82,8 +85,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=7, share=(25, 100))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(table(spark, sf_dir, "documents"), seed=1)
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_warc, op2_exact_top_k, op3_training_order, op4_chat_format, op5_minhash_near_dedup, op6_decontaminate, op7_sentencepiece, op8_toxicity, op9_substring_dedup, op10_secret_scan)
+    found = (op1_warc, op2_exact_top_k, op3_training_order, op4_chat_format, op5_minhash_near_dedup, op6_decontaminate, op7_sentencepiece, op8_toxicity, op9_substring_dedup, op10_secret_scan, op11_importance_resampling, op12_fill_in_middle, op13_quality)
     return {f.__name__: f for f in found}
 
 
@@ -94,4 +111,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_minhash_near_dedup": oracle.near_dedup(),
         "op6_decontaminate": oracle.decontaminate(),
         "op9_substring_dedup": oracle.substring_dedup(),
+        "op11_importance_resampling": oracle.resampling(),
+        "op12_fill_in_middle": oracle.FILL_IN_MIDDLE,
     }
