@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parts as P
 from tessera.operators import entity as E
+from tessera.operators import lambdamart as L
 from tessera.operators import ranking as K
-from tessera.plans.registry import query, table
+from tessera.plans.registry import checkpoints, query, table
 
 ASKED = "CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 9 = 1 THEN 0 ELSE 16 END"
 CAND = f"""c AS (SELECT p_type AS query_id, p_partkey AS product_id, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS price, 1500.0::DOUBLE AS budget, p_size / 50 AS weighted_workload_score,
@@ -57,6 +58,25 @@ def rank_pointwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.train_pointwise(rows, "grade").transform(rows).select("query_id", "product_id", "prediction")
 
 
+def graded_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools of 40 parts in a row, graded 0 to 3 by size, offers and price; every fifth pool validates, another is held out."""
+    part = table(spark, sf_dir, "part")
+    pool = F.floor(F.col("p_partkey") / 40).cast("long")
+    worth = F.col("p_size") / 20 + (F.col("p_partkey") % 3) / 2 - F.col("p_retailprice") / 2000 + (F.xxhash64("p_partkey") % 100) / 400
+    grades = part.select(F.col("p_partkey").alias("product_id"), pool.alias("pool"), F.greatest(F.lit(0), F.least(F.lit(3), F.floor(worth))).cast("int").alias("grade"))
+    rows = K.features(candidates(spark, sf_dir).drop("query_id").withColumn("query_id", F.floor(F.col("product_id") / 40).cast("long"))).join(grades, "product_id")
+    return rows.withColumns({"valid": F.pmod("pool", F.lit(5)) == 1, "held_out": F.pmod("pool", F.lit(5)) == 2}).drop("pool")
+
+
+@query()
+def rank_grouped_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out pools in the order that LambdaMART learnt from the others."""
+    checkpoints(spark)
+    rows = graded_pools(spark, sf_dir).checkpoint()
+    model = L.train(rows.where("not held_out"), [*K.WEIGHTS, *K.MORE], valid="valid", settings=L.Settings(trees=30, leaves=15, levels=4, patience=8))
+    return L.predict(rows.where("held_out"), model).select("query_id", "product_id", "grade", "score", "rank")
+
+
 #: A part as a product and as its listing: expressions that both engines read.
 KINDS = [("STANDARD", "memory", "RAM", "capacity_gb", " GB"), ("PROMO", "storage", "SSD", "capacity_gb", " GB"), ("LARGE", "power_supply", "PSU", "wattage_w", " W"), ("SMALL", "gpu", "Graphics Card", "vram_gb", " GB"),
          ("ECONOMY", "cooler", "CPU Cooler", "radiator_size_mm", " mm"), ("MEDIUM", "cpu", "Processor", "cores", "")]
