@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,40 +42,6 @@ def coefficient(profile: str) -> Column:
     return out - F.coalesce(F.col("power_watts"), F.lit(0)).cast("long") * p.per_watt
 
 
-def undominated(candidates: DataFrame, by: Sequence[str] = ("request_id", "category")) -> DataFrame:
-    """Drops candidates for which a cheaper one (or an equally dear one with a smaller id) is worth as much.
-
-    No best choice under a budget alone needs a dominated candidate, and the rest is few: about the logarithm of
-    the pool.
-    """
-    w = Window.partitionBy(*by).orderBy("price_cents", F.desc("coef"), "product_id").rowsBetween(Window.unboundedPreceding, -1)
-    return candidates.withColumn("before", F.max("coef").over(w)).where(F.col("before").isNull() | (F.col("coef") > F.col("before"))).drop("before")
-
-
-def best_builds(candidates: DataFrame, categories: Sequence[str], budget_cents: int, profile: str, locked: DataFrame | None = None) -> DataFrame:
-    """The best choice of each request: objective, then price, then ids decide.
-
-    ``locked`` (request_id, category, product_id) leaves one candidate in its category.  Candidates of different
-    categories meet by request after domination has thinned them; partial choices over the budget are dropped.
-    """
-    rows = candidates.withColumn("coef", coefficient(profile))
-    if locked is not None:
-        lock = locked.select("request_id", "category", F.col("product_id").alias("locked_id"))
-        rows = rows.join(lock, ["request_id", "category"], "left").where("locked_id is null or locked_id = product_id").drop("locked_id")
-    rows = undominated(rows)
-    out = None
-    for i, c in enumerate(categories):
-        part = rows.where(F.col("category") == c).select("request_id", F.col("product_id").alias(f"p{i}"), F.col("price_cents").alias("price"), F.col("coef").alias("worth"))
-        if out is None:
-            out = part.withColumnsRenamed({"price": "price_cents", "worth": "objective"})
-        else:
-            out = out.join(part, "request_id").withColumns({"price_cents": F.col("price_cents") + F.col("price"), "objective": F.col("objective") + F.col("worth")}).drop("price", "worth")
-        out = out.where(F.col("price_cents") <= budget_cents)
-    ids = [f"p{i}" for i in range(len(categories))]
-    w = Window.partitionBy("request_id").orderBy(F.desc("objective"), "price_cents", *ids)
-    return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-
-
 class Limits(NamedTuple):
     """Hard limits of a build: cents, load without parts, and percent of head room of the supply's category."""
 
@@ -90,77 +55,131 @@ def _load(supply: str | None) -> Column:
     return F.when(F.col("category") == (supply or ""), 0).otherwise(F.coalesce(F.col("power_watts"), F.lit(0))).cast("long")
 
 
-def choose(candidates: DataFrame, categories: Sequence[str], limits: Limits, profiles: Sequence[str], pairs: DataFrame | None = None, locked: DataFrame | None = None, differ: int = 2) -> DataFrame:
-    """``(request_id, profile, place, objective, price_cents, load_watts, ids)`` of the best builds, one per profile.
+#: Partial builds that the first pass keeps of a request at each level, and the most that the exact pass may hold.
+BEAM, MOST = 64, 50_000
+#: Prices of a cent and of a watt that the bound tries: this many powers of two about the request's own ratio, and shares about the best.
+POWERS, NEAR = range(-6, 5), (0.6, 0.75, 0.9, 1.0, 1.15, 1.35, 1.6)
 
-    One candidate of each category within budget and supply; ``pairs`` (request_id, left_id, right_id, penalty) forbids
-    two candidates together (null) or charges for them; ``locked`` (request_id, category, product_id) fixes one.  Each
-    build differs from every earlier one in at least ``differ`` categories without a lock; a request ends at the first
-    profile without a build.  Objective, then price, then ids decide.
 
-    A request's pools, which candidate limits bound, are one group; within it the search goes category by category and
-    leaves a branch that can't reach the best build any more, so the result is exact.
+def _lagrange(offers: DataFrame, limits: Limits, count: int) -> DataFrame:
+    """``(request_id, lam, mu)``: a price of a cent and one of a watt that make the bound on a request's worth small.
+
+    For any such prices, the sum over the categories of the best worth less what the part uses, plus what the
+    limits hold, is at least the worth of every build within them.  Two rounds of a grid, each one aggregation, look
+    for the least; requests that lack a category are left out.
+    """
+    spread = lambda c: (F.max(c) - F.min(c)).cast("double")
+    seen = offers.groupBy("request_id").agg(F.count_distinct("category").alias("n"), spread("coef").alias("w"), spread("price").alias("p"), spread("load").alias("l")).where(F.col("n") == count)
+    per_cent = F.coalesce(F.try_divide("w", "p"), F.lit(0.0))
+    per_watt = F.coalesce(F.try_divide("w", F.col("l") * (100 + limits.headroom_percent)), F.lit(0.0)) if limits.supply else F.lit(0.0)
+    powers = [0.0, *(2.0**k for k in POWERS)]
+    pair = lambda lam, mu: F.struct(lam.alias("lam"), mu.alias("mu"))
+
+    def best(grid: DataFrame) -> DataFrame:
+        tried = offers.join(grid.select("request_id", "per_watt", F.explode(F.array_distinct("grid")).alias("g")), "request_id")
+        top = tried.groupBy("request_id", "per_watt", "g", "category").agg(F.max(_reduced(F.col("g.lam"), F.col("g.mu"), limits)).alias("top"))
+        held = F.col("g.lam") * limits.budget_cents - F.col("g.mu") * (100 + limits.headroom_percent) * limits.base_watts
+        return top.groupBy("request_id", "per_watt", "g").agg((F.sum("top") + held).alias("bound")).groupBy("request_id", "per_watt").agg(F.min_by("g", "bound").alias("g"))
+
+    first = best(seen.select("request_id", per_watt.alias("per_watt"), F.array(*[pair(per_cent * k, F.lit(0.0)) for k in powers]).alias("grid")))
+    second = F.array(*[pair(F.col("g.lam") * k, F.col("per_watt") * m) for k in NEAR for m in powers])
+    return best(first.select("request_id", "per_watt", second.alias("grid"))).select("request_id", "g.lam", "g.mu")
+
+
+def _reduced(lam: Column, mu: Column, limits: Limits) -> Column:
+    """A part's worth less the price of what it uses; the supply gives instead of using."""
+    gives = F.when(F.col("category") == (limits.supply or ""), mu * 100 * F.col("supply")).otherwise(0.0)
+    return F.col("coef") - lam * F.col("price") - mu * (100 + limits.headroom_percent) * F.col("load") + gives
+
+
+def choose(candidates: DataFrame, categories: Sequence[str], limits: Limits, profiles: Sequence[str], pairs: DataFrame | None = None, locked: DataFrame | None = None, differ: int = 2, most: int = MOST) -> DataFrame:
+    """``(request_id, profile, place, objective, price_cents, load_watts, ids, proved)`` of the best builds, one per profile.
+
+    One candidate of each category within budget and supply, out of whole pools; ``pairs`` (request_id, left_id,
+    right_id, penalty) forbids two candidates together (null) or charges for them (the most, if several rows say so);
+    ``locked`` (request_id, category, product_id) fixes one.  Each build differs from every earlier one in at least
+    ``differ`` categories without a lock; a request ends at the first profile without a build.  Objective, then price,
+    then ids decide.
+
+    Partial builds of all requests grow together, a join per category.  A first pass keeps BEAM of each request and
+    ends in a build to beat; the second keeps every partial build that can still reach it, by a Lagrangian bound over
+    budget and supply.  Should that be more than ``most`` of a request at one level, the most promising stay and
+    ``proved`` is false; otherwise the result is exact.
     """
-    rows = candidates.select("request_id", "category", "product_id", "price_cents", _load(limits.supply).alias("load"), F.coalesce(F.col("psu_watts"), F.lit(0)).cast("long").alias("supply") if "psu_watts" in candidates.columns else F.lit(0).cast("long").alias("supply"),
-                             *[coefficient(p).alias(f"coef_{p}") for p in profiles])
-    fixed = locked.select("request_id", "category", F.col("product_id").alias("locked_id")) if locked is not None else None
-    if fixed is not None:
-        rows = rows.join(fixed, ["request_id", "category"], "left").where("locked_id is null or locked_id = product_id").withColumn("is_locked", F.col("locked_id").isNotNull()).drop("locked_id")
+    has_supply = F.coalesce(F.col("psu_watts"), F.lit(0)).cast("long") if "psu_watts" in candidates.columns else F.lit(0).cast("long")
+    rows = candidates.select("request_id", "category", "product_id", F.col("price_cents").cast("long").alias("price"), _load(limits.supply).alias("load"), has_supply.alias("supply"), *[coefficient(p).alias(f"coef_{p}") for p in profiles])
+    rows = rows.where(F.col("category").isin(*categories))
+    fixed = F.array().cast("array<string>")
+    if locked is not None:
+        rows = rows.join(locked.select("request_id", "category", F.col("product_id").alias("locked_id")), ["request_id", "category"], "left").where("locked_id is null or locked_id = product_id")
+        fixed = F.col("fixed")
+    if pairs is not None:
+        one = lambda a, b: pairs.select("request_id", F.col(a).alias("product_id"), F.col(b).alias("with"), F.coalesce(F.col("penalty").cast("long"), F.lit(-1)).alias("charge"), F.col("penalty").isNull().alias("no"))
+        links = one("left_id", "right_id").union(one("right_id", "left_id")).groupBy("request_id", "product_id", "with").agg(F.when(F.bool_or("no"), -1).otherwise(F.max("charge")).alias("charge"))
+        rows = rows.join(links.groupBy("request_id", "product_id").agg(F.map_from_entries(F.collect_list(F.struct("with", "charge"))).alias("links")), ["request_id", "product_id"], "left")
     else:
-        rows = rows.withColumn("is_locked", F.lit(False))
-    if pairs is None:
-        pairs = rows.select("request_id", F.col("product_id").alias("left_id"), F.col("product_id").alias("right_id"), F.lit(0).cast("long").alias("penalty")).limit(0)
-    pairs = pairs.select(F.col("request_id").alias("pair_request"), "left_id", "right_id", F.col("penalty").cast("long").alias("penalty"), F.col("penalty").isNull().alias("forbidden"))
-    types = dict(candidates.dtypes)
-    schema = f"request_id {types['request_id']}, profile string, place int, objective long, price_cents long, load_watts long, ids array<{types['product_id']}>"
-    names, wanted, head = list(categories), list(profiles), limits
-
-    def solve(pool: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        apart, charge = set(), {}
-        for r in links.itertuples(index=False):
-            for pair in ((r.left_id, r.right_id), (r.right_id, r.left_id)):
-                if r.forbidden:
-                    apart.add(pair)
-                else:
-                    charge[pair] = int(r.penalty)
-        order = sorted(range(len(names)), key=lambda i: names[i] != head.supply)
-        free = [i for i, c in enumerate(names) if not pool.loc[pool["category"] == c, "is_locked"].any()]
-        chosen: list[tuple] = []
-        for place, profile in enumerate(wanted, 1):
-            pools = [pool[pool["category"] == names[i]].sort_values([f"coef_{profile}", "price_cents", "product_id"], ascending=[False, True, True]) for i in order]
-            options = [list(zip(p["product_id"], p[f"coef_{profile}"], p["price_cents"], p["load"], p["supply"], strict=True)) for p in pools]
-            if not all(options):
-                break
-            rest = lambda f: [sum(f(o) for o in options[k:]) for k in range(len(options) + 1)]
-            most, least, low = rest(lambda o: max(x[1] for x in o)), rest(lambda o: min(x[2] for x in o)), rest(lambda o: min(x[3] for x in o))
-            best: list = [None]
-
-            def grow(k: int, ids: tuple, worth: int, price: int, load: int, supply: int | None) -> None:
-                if best[0] is not None and (-(worth + most[k]), price + least[k]) > best[0][:2]:
-                    return
-                if price + least[k] > head.budget_cents or (supply is not None and (load + low[k]) * (100 + head.headroom_percent) > supply * 100):
-                    return
-                if k == len(options):
-                    final = tuple(x for _, x in sorted(zip(order, ids, strict=True)))
-                    if all(sum(final[i] != old[i] for i in free) >= differ for old in (c[5] for c in chosen)):
-                        key = (-worth, price, final)
-                        if best[0] is None or key < best[0][:3]:
-                            best[0] = (*key, load)
-                    return
-                for pid, coef, cents, watts, power in options[k]:
-                    if any((pid, x) in apart for x in ids):
-                        continue
-                    cost = sum(charge.get((pid, x), 0) for x in ids)
-                    grow(k + 1, (*ids, pid), worth + int(coef) - cost, price + int(cents), load + int(watts), int(power) if names[order[k]] == head.supply else supply)
-
-            grow(0, (), 0, 0, head.base_watts, None)
-            if best[0] is None:
-                break
-            chosen.append((profile, place, -best[0][0], best[0][1], best[0][3], best[0][2]))
-        return pd.DataFrame([(pool["request_id"].iloc[0], *c[:5], list(c[5])) for c in chosen], columns=[c.split()[0] for c in schema.split(", ")])
-
-    empty = lambda: pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-    return rows.groupBy("request_id").cogroup(pairs.groupBy("pair_request")).applyInPandas(lambda a, b: solve(a, b) if len(a) else empty(), schema)
+        rows = rows.withColumn("links", F.lit(None).cast(f"map<{dict(rows.dtypes)['product_id']},bigint>"))
+    rows = rows.checkpoint()
+    order = sorted(range(len(categories)), key=lambda i: categories[i] != limits.supply)
+    n, percent = len(order), 100 + limits.headroom_percent
+    old = rows.select("request_id").distinct().withColumn("old", F.array().cast(f"array<array<{dict(rows.dtypes)['product_id']}>>"))
+    out = None
+    for place, profile in enumerate(profiles, 1):
+        offers = rows.withColumnRenamed(f"coef_{profile}", "coef").drop(*[f"coef_{p}" for p in profiles])
+        prices = _lagrange(offers, limits, n).checkpoint()
+        offers = offers.join(prices, "request_id").withColumn("reduced", _reduced(F.col("lam"), F.col("mu"), limits))
+        own = lambda f, c: [f(F.when(F.col("category") == categories[i], F.col(c))).alias(f"{c}_{k}") for k, i in enumerate(order)]
+        locks = F.collect_set(F.when(F.col("locked_id").isNotNull(), F.col("category"))) if locked is not None else fixed
+        known = offers.groupBy("request_id", "lam", "mu").agg(*own(F.max, "reduced"), *own(F.min, "price"), *own(F.min, "load"), locks.alias("fixed")) if locked is not None else offers.groupBy("request_id", "lam", "mu").agg(*own(F.max, "reduced"), *own(F.min, "price"), *own(F.min, "load")).withColumn("fixed", fixed)
+        rest = lambda c, k: sum((F.col(f"{c}_{j}") for j in range(k, n)), F.lit(0))
+        held = F.col("lam") * limits.budget_cents
+        start = known.join(old, "request_id").select(
+            "request_id", "lam", "mu", "old", "fixed", *[F.struct(rest("reduced", k + 1).alias("worth"), rest("price", k + 1).alias("price"), rest("load", k + 1).alias("load")).alias(f"rest_{k}") for k in range(n)],
+            (rest("reduced", 0) + held - F.col("mu") * percent * limits.base_watts).alias("bound"), F.lit(0).cast("long").alias("worth"), F.lit(0).cast("long").alias("cents"), F.lit(limits.base_watts).cast("long").alias("watts"),
+            F.lit(None).cast("long").alias("power"), F.array().cast(f"array<{dict(rows.dtypes)['product_id']}>").alias("picked"), F.lit(False).alias("lost"),
+        )
+
+        def grown(start: DataFrame, offers: DataFrame, goal: bool, keep: int) -> DataFrame:
+            now = start
+            for k, i in enumerate(order):
+                part = offers.where(F.col("category") == categories[i]).select("request_id", "product_id", "coef", "price", "load", "supply", "links", "reduced")
+                both = now.join(part, "request_id")
+                charges = F.transform("picked", lambda x: F.coalesce(F.try_element_at("links", x), F.lit(0)))
+                watts, left = F.col("watts") + F.col("load"), F.col(f"rest_{k}")
+                power = F.col("supply") if categories[i] == limits.supply else F.col("power")
+                worth = F.col("worth") + F.col("coef") - F.aggregate(charges, F.lit(0).cast("long"), lambda t, c: t + c)
+                cents = F.col("cents") + F.col("price")
+                gives = F.col("mu") * 100 * F.coalesce(power, F.lit(0)) if limits.supply else F.lit(0.0)
+                bound = worth - F.col("lam") * cents - F.col("mu") * percent * watts + gives + left["worth"] + F.col("lam") * limits.budget_cents
+                free = F.lit(sum(1 for j in order[k + 1 :])) - sum((F.array_contains("fixed", categories[j]).cast("int") for j in order[k + 1 :]), F.lit(0))
+                ids = F.concat("picked", F.array("product_id"))
+                apart = lambda b: F.aggregate(F.zip_with(ids, F.slice(b, 1, k + 1), lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
+                # a category with a lock holds the same part in every build, so it never counts as a difference
+                ok = ~F.exists(charges, lambda c: c < 0) & (cents + left["price"] <= limits.budget_cents) & F.forall("old", lambda b: apart(b) + free >= differ)
+                if limits.supply:
+                    ok = ok & (power.isNull() | ((watts + left["load"]) * percent <= power * 100))
+                if goal:
+                    ok = ok & (bound + 1e-6 * F.greatest(F.lit(1.0), F.abs(bound)) >= F.col("goal"))
+                now = both.where(ok).select(*[c for c in now.columns if c not in ("bound", "worth", "cents", "watts", "power", "picked", f"rest_{k}")], bound.alias("bound"), worth.alias("worth"), cents.alias("cents"), watts.alias("watts"), power.alias("power"), ids.alias("picked"))
+                w = Window.partitionBy("request_id")
+                now = now.withColumns({"place": F.row_number().over(w.orderBy(F.desc("bound"), "picked")), "lost": F.col("lost") | (F.count("*").over(w) > keep)}).where(F.col("place") <= keep).drop("place")
+            final = F.array(*[F.col("picked")[order.index(i)] for i in range(n)])
+            key = F.struct((-F.col("worth")).alias("worth"), "cents", final.alias("ids"), "watts", "picked")
+            return now.groupBy("request_id").agg(F.min(key).alias("best"), F.bool_or("lost").alias("lost"))
+
+        first = grown(start, offers, False, BEAM).select("request_id", "best").checkpoint()
+        goal = first.select("request_id", (-F.col("best.worth")).alias("goal"))
+        # a part whose best completion doesn't reach the goal is in no better build
+        spare = offers.join(start.select("request_id", F.col("bound").alias("whole")), "request_id").join(goal, "request_id", "left").withColumn("top", F.max("reduced").over(Window.partitionBy("request_id", "category")))
+        useful = spare.where(F.col("goal").isNull() | (F.col("whole") - F.col("top") + F.col("reduced") + 1e-6 * F.greatest(F.lit(1.0), F.abs("whole")) >= F.col("goal"))).drop("whole", "goal", "top")
+        least = F.coalesce("goal", F.lit(float("-inf")))
+        exact = grown(start.join(goal, "request_id", "left").withColumn("goal", least), useful, True, most)
+        both = exact.select("request_id", "best", (~F.col("lost")).alias("proved")).unionByName(first.withColumn("proved", F.lit(False)))
+        found = both.groupBy("request_id").agg(F.min("best").alias("best"), F.bool_or("proved").alias("proved")).checkpoint()
+        shown = found.select("request_id", F.lit(profile).alias("profile"), F.lit(place).alias("place"), (-F.col("best.worth")).alias("objective"), F.col("best.cents").alias("price_cents"), F.col("best.watts").alias("load_watts"), "best.ids", "proved")
+        out = shown if out is None else out.unionByName(shown)
+        old = old.join(found, "request_id").select("request_id", F.concat("old", F.array("best.picked")).alias("old"))
+    return out
 
 
 def build_errors(builds: DataFrame, candidates: DataFrame, categories: Sequence[str], limits: Limits, pairs: DataFrame | None = None, locked: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import compat as C
 from tessera.operators import optimizer as O
-from tessera.plans.registry import query, table
+from tessera.plans.registry import checkpoints, query, table
 
 #: Measures of a build derived from a part, in SQL that both engines read.
 MEASURES = {
@@ -196,30 +196,45 @@ def _types(rows: DataFrame) -> list[str]:
     return [r.category for r in rows.select("category").distinct().orderBy("category").collect()]
 
 
-#: Candidates of a category that a request keeps, parts that don't go together, and the power supply's category.
-LIMIT, SUPPLY = 5, "PROMO"
+#: Parts that don't go together, and the power supply's category.
+SUPPLY = "PROMO"
 WATTS = "CASE WHEN p_partkey % 3 = 0 THEN 450 ELSE 300 END"
 HARD = O.Limits(BUDGET * 2, base_watts=30, headroom_percent=25, supply=SUPPLY)
 OTHER = {p: "(round_even((" + " + ".join(f"{w} * {s}" for w, s in zip(O.PROFILES[p].weights, O.SCORES, strict=True)) + f") * 100, 0)::BIGINT - p_size * {O.PROFILES[p].per_watt})" for p in ("best_overall", "lowest_power")}
-COMBOS = f"""{POOL}, v0 AS (SELECT c.*, {VALUE} AS best_value, {OTHER['best_overall']} AS best_overall, {OTHER['lowest_power']} AS lowest_power, CASE WHEN category = '{SUPPLY}' THEN 0 ELSE p_size END AS load, {WATTS} AS supply, p_partkey % 2 AS socket, list_position((SELECT t FROM ty), category) AS ci FROM c JOIN part ON p_partkey = product_id),
-v AS (SELECT * FROM v0 QUALIFY row_number() OVER (PARTITION BY request_id, category ORDER BY best_value DESC, product_id) <= {LIMIT}),
-x AS (SELECT a.request_id, a.product_id AS p0, b.product_id AS p1, d.product_id AS p2, e.product_id AS p3, f.product_id AS p4, g.product_id AS p5, a.price_cents + b.price_cents + d.price_cents + e.price_cents + f.price_cents + g.price_cents AS price_cents, 30 + a.load + b.load + d.load + e.load + f.load + g.load AS load_watts,
-  {', '.join(f'a.{p} + b.{p} + d.{p} + e.{p} + f.{p} + g.{p} - CASE WHEN a.socket = 1 AND b.socket = 1 THEN 500 ELSE 0 END AS {p}' for p in ('best_value', 'best_overall', 'lowest_power'))}
-  FROM {' JOIN '.join(f'(SELECT * FROM v WHERE ci = {i + 1}) {n}' + (' USING (request_id)' if i else '') for i, n in enumerate('abdefg'))}
-  WHERE NOT (a.socket = 0 AND d.socket = 1) AND (30 + a.load + b.load + d.load + e.load + f.load + g.load) * 125 <= e.supply * 100
-  AND a.price_cents + b.price_cents + d.price_cents + e.price_cents + f.price_cents + g.price_cents <= {HARD.budget_cents})"""
-PICK = lambda p, source: f"SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY {p} DESC, price_cents, p0, p1, p2, p3, p4, p5) = 1"
-APART = lambda old: f"(x.p0 <> {old}.p0)::INT + (x.p1 <> {old}.p1)::INT + (x.p2 <> {old}.p2)::INT + (x.p3 <> {old}.p3)::INT + (x.p4 <> {old}.p4)::INT + (x.p5 <> {old}.p5)::INT >= 2"
-IDS = "[p0, p1, p2, p3, p4, p5]::VARCHAR"
+ONE = {"best_value": VALUE} | OTHER
+PARTS = f"""{POOL}, v AS (SELECT c.*, {', '.join(f'{e} AS {p}' for p, e in ONE.items())}, CASE WHEN category = '{SUPPLY}' THEN 0 ELSE p_size END AS load, {WATTS} AS supply, p_partkey % 2 AS socket, list_position((SELECT t FROM ty), category) AS ci FROM c JOIN part ON p_partkey = product_id)"""
 
 
-def limited_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Each request's best few of every category, and the pairs that are forbidden or charged for."""
-    from tessera.operators.windows import top_k
+def _best(name: str, profile: str, olds: tuple[str, ...] = (), source: str = "v") -> str:
+    """CTE of each request's best build: all choices of the first and of the last three categories meet.
+
+    Of halves with the same load, supply and differences to earlier builds, one that another beats in worth at no
+    higher price, with smaller ids if equal, is in no best build.
+    """
+
+    def half(side: str, first: int, more: str, where: str) -> str:
+        ids = [f"p{first + i}" for i in range(3)]
+        apart = "".join(f", {' + '.join(f'({x}.product_id <> {o}.{i})::INT' for x, i in zip('xyz', ids))} AS d{o}" for o in olds)
+        group = ", ".join(["request_id", "load", "supply", *(f"d{o}" for o in olds)])
+        return f"""{name}{side} AS (SELECT * FROM (SELECT x.request_id, {', '.join(f'{x}.product_id AS {i}' for x, i in zip('xyz', ids))}, x.price_cents + y.price_cents + z.price_cents AS cents, x.load + y.load + z.load AS load, {'x.supply' if side == 'r' else '0'} AS supply, x.{profile} + y.{profile} + z.{profile}{more} AS worth{apart}
+  FROM {' JOIN '.join(f'(SELECT * FROM {source} WHERE ci = {first + i + 1}) {x}' + (' USING (request_id)' if i else '') for i, x in enumerate('xyz'))}{''.join(f' JOIN {o} USING (request_id)' for o in olds)}{where})
+  QUALIFY worth > coalesce(max(worth) OVER (PARTITION BY {group} ORDER BY cents, worth DESC, {', '.join(ids)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000000000))"""
+
+    left = half("l", 0, " - CASE WHEN x.socket = 1 AND y.socket = 1 THEN 500 ELSE 0 END", " WHERE NOT (x.socket = 0 AND z.socket = 1)")
+    right = half("r", 3, "", "")
+    keys = "'o': -(l.worth + r.worth), 'price_cents': l.cents + r.cents, " + ", ".join(f"'p{i}': {'l' if i < 3 else 'r'}.p{i}" for i in range(6)) + ", 'load_watts': 30 + l.load + r.load"
+    return f"""{left}, {right}, {name} AS MATERIALIZED (SELECT request_id, -m.o AS objective, m.price_cents AS price_cents, m.load_watts AS load_watts, {', '.join(f'm.p{i} AS p{i}' for i in range(6))}
+  FROM (SELECT l.request_id, min({{{keys}}}) AS m FROM {name}l l JOIN {name}r r USING (request_id) WHERE (30 + l.load + r.load) * 125 <= r.supply * 100 AND l.cents + r.cents <= {HARD.budget_cents}{''.join(f' AND l.d{o} + r.d{o} >= 2' for o in olds)} GROUP BY 1))"""
+
+
+IDS = "[p0, p1, p2, p3, p4, p5]::VARCHAR"
+
 
+def linked_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Each request's whole pools, and the pairs that are forbidden or charged for."""
+    checkpoints(spark)
     rows = pool(spark, sf_dir)
     kinds = _types(rows)
-    rows = top_k(rows.withColumn("coef", O.coefficient("best_value")), ["request_id", "category"], "coef", "product_id", LIMIT).drop("coef", "rank")
     rows = rows.withColumns({"psu_watts": F.when(F.col("product_id") % 3 == 0, 450).otherwise(300), "socket": F.col("product_id") % 2})
     side = lambda kind, socket, name: rows.where((F.col("category") == kind) & (F.col("socket") == socket)).select("request_id", F.col("product_id").alias(name))
     pairs = lambda a, b, penalty: side(*a, "left_id").join(side(*b, "right_id"), "request_id").withColumn("penalty", F.lit(penalty).cast("long"))
@@ -230,25 +245,24 @@ def _shown(builds: DataFrame) -> DataFrame:
     return builds.withColumn("ids", F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]")))
 
 
-@query(f"WITH {COMBOS} SELECT request_id, best_value AS objective, price_cents, load_watts::BIGINT AS load_watts, {IDS} AS ids FROM ({PICK('best_value', 'x')})")
+@query(f"WITH {PARTS}, {_best('a', 'best_value')} SELECT request_id, objective, price_cents, load_watts::BIGINT AS load_watts, {IDS} AS ids, true AS proved FROM a")
 def build_best_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, pairs, kinds = limited_pool(spark, sf_dir)
+    rows, pairs, kinds = linked_pool(spark, sf_dir)
     return _shown(O.choose(rows, kinds, HARD, ["best_value"], pairs)).drop("profile", "place")
 
 
-@query(f"""WITH {COMBOS}, a AS ({PICK('best_value', 'x')}), b0 AS (SELECT x.* FROM x JOIN a USING (request_id) WHERE {APART('a')}), b AS ({PICK('best_overall', 'b0')}),
-c0 AS (SELECT x.* FROM x JOIN a USING (request_id) JOIN b USING (request_id) WHERE {APART('a')} AND {APART('b')}), c1 AS ({PICK('lowest_power', 'c0')})
-SELECT request_id, 'best_value' AS profile, 1 AS place, best_value AS objective, {IDS} AS ids FROM a UNION ALL SELECT request_id, 'best_overall', 2, best_overall, {IDS} FROM b UNION ALL SELECT request_id, 'lowest_power', 3, lowest_power, {IDS} FROM c1""")
+@query(f"""WITH {PARTS}, {_best('a', 'best_value')}, {_best('b', 'best_overall', ('a',))}, {_best('d', 'lowest_power', ('a', 'b'))}
+SELECT request_id, 'best_value' AS profile, 1 AS place, objective, {IDS} AS ids FROM a UNION ALL SELECT request_id, 'best_overall', 2, objective, {IDS} FROM b UNION ALL SELECT request_id, 'lowest_power', 3, objective, {IDS} FROM d""")
 def build_diverse_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, pairs, kinds = limited_pool(spark, sf_dir)
-    return _shown(O.choose(rows, kinds, HARD, ["best_value", "best_overall", "lowest_power"], pairs)).drop("price_cents", "load_watts")
+    rows, pairs, kinds = linked_pool(spark, sf_dir)
+    return _shown(O.choose(rows, kinds, HARD, ["best_value", "best_overall", "lowest_power"], pairs)).drop("price_cents", "load_watts", "proved")
 
 
-@query(f"""WITH {COMBOS}, r AS (SELECT request_id, min(product_id) AS swap FROM v, ty WHERE category = t[2] GROUP BY 1), o AS (SELECT request_id, max(product_id) AS owned FROM v, ty WHERE category = t[6] GROUP BY 1),
-y AS (SELECT x.* FROM x JOIN r USING (request_id) JOIN o USING (request_id) WHERE p1 = swap AND p5 = owned) SELECT request_id, best_value AS objective, {IDS} AS ids FROM ({PICK('best_value', 'y')})""")
+@query(f"""WITH {PARTS}, u AS (SELECT * FROM v QUALIFY CASE ci WHEN 2 THEN product_id = min(product_id) OVER (PARTITION BY request_id, ci) WHEN 6 THEN product_id = max(product_id) OVER (PARTITION BY request_id, ci) ELSE true END), {_best('a', 'best_value', source='u')}
+SELECT request_id, objective, {IDS} AS ids FROM a""")
 def build_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part of the second category comes in, an owned one of the last stays, and the rest is chosen again."""
-    rows, pairs, kinds = limited_pool(spark, sf_dir)
+    rows, pairs, kinds = linked_pool(spark, sf_dir)
     pick = lambda kind, f: rows.where(F.col("category") == kind).groupBy("request_id", "category").agg(f("product_id").alias("product_id"))
     swap, owned = pick(kinds[1], F.min), pick(kinds[5], F.max)
     locks = O.replaced(owned, swap, reoptimize=True, owned=owned)
