@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,8 @@ PROSE3_EXCESS = 0.0011
 ORDER, MARGIN = 0.5, 3.5
 #: Share of false discoveries, upper ends of the length classes.
 FDR, LENGTHS = 0.01, (24, 32, 48, 96)
+#: Matches that one step turns into spans, code points of a block of text, and spans that can begin at one place.
+STRETCH, BLOCK, KINDS_AT_ONCE = 256, 1024, 4
 #: Bins of -log10 p: STEP to the unit, up to BINS.
 STEP, BINS = 20, 2000
 
@@ -60,7 +63,6 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     part = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
     pieces = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), F.arrays_zip(whole.alias("m"), part.alias("g")), lambda gap, x: F.struct(F.length(gap).alias("gap"), x["m"].alias("m"), x["g"].alias("g")))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,value:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -68,8 +70,21 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         one = F.struct(start.cast("int").alias("start"), rank.alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    def stretch(acc: Column, i: Column) -> Column:
+        """The spans of the next STRETCH matches; only stretches, not spans, are appended to the whole."""
+        part = F.aggregate(F.slice(acc["pieces"], i + 1, F.lit(STRETCH)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return bound(part, lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["out"], p["out"]).alias("out"), acc["pieces"].alias("pieces")))
+
+    def spans(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array(none).alias("out"), pieces.alias("pieces"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(pieces), F.lit(STRETCH)), start, stretch, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(text.rlike(pattern), bound(pieces, spans)).otherwise(none)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` found once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _normal_tail(z: Column) -> Column:
@@ -97,31 +112,33 @@ def battery(value: Column) -> Column:
     plain = F.when(fits[0][0], F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
     codes = F.transform(F.split(plain, ""), lambda c: F.position(c, pick(lambda e: e.symbols)) - 1)
 
-    def of(x: Column) -> Column:
-        codes, k, prose2 = x["codes"], x["k"], x["prose2"]
-        n = F.size(codes).cast("double")
+    def sums(x: Column) -> Column:
+        codes, k = x["codes"], x["k"]
         total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda t, v: t + f(v))
         squares = total(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda d: d == c)), F.lit(2.0)))
-        uniform = squares * k / n - n
-        after = F.concat(F.slice(codes, 2, F.size(codes)), F.slice(codes, 1, 1))
-        pairs = F.arrays_zip(codes.alias("a"), after.alias("b"))
         high = total(codes, lambda c: (c >= k / 2).cast("double"))
-        turns = total(F.slice(pairs, 1, F.size(codes) - 1), lambda p: ((p["a"] >= k / 2) != (p["b"] >= k / 2)).cast("double"))
+        s1, s2 = total(codes, lambda c: c), total(codes, lambda c: c * c)
+        each = [F.size(codes).cast("double").alias("n"), k.alias("k"), x["prose2"].alias("prose2"), x["encoding"].alias("encoding"), squares.alias("squares"), high.alias("high"), s1.alias("s1"), s2.alias("s2")]
+        after = F.concat(F.slice(codes, 2, F.size(codes)), F.slice(codes, 1, 1))
+        turns = lambda pairs: total(F.slice(pairs, 1, F.size(codes) - 1), lambda p: ((p["a"] >= k / 2) != (p["b"] >= k / 2)).cast("double"))
+        return bound(F.arrays_zip(codes.alias("a"), after.alias("b")), lambda pairs: F.struct(*each, turns(pairs).alias("turns"), total(pairs, lambda p: p["a"] * p["b"]).alias("s11")))
+
+    def tests(x: Column) -> Column:
+        n, k, high = x["n"], x["k"], x["high"]
+        uniform = x["squares"] * k / n - n
         mean = 2 * high * (n - high) / n
-        z2 = F.when((high > 0) & (high < n) & (mean > 1), (turns - mean) / F.sqrt(mean * (mean - 1) / (n - 1))).otherwise(n)
-        s1, s2, s11 = total(codes, lambda c: c), total(codes, lambda c: c * c), total(pairs, lambda p: p["a"] * p["b"])
-        spread = n * s2 - s1 * s1
-        z3 = F.when(spread > 0, ((n * s11 - s1 * s1) / spread + 1 / (n - 1)) * F.sqrt(n)).otherwise(n)
-        like_prose = (n - 1) * (k * prose2 - 1) + (k - 1)
+        z2 = F.when((high > 0) & (high < n) & (mean > 1), (x["turns"] - mean) / F.sqrt(mean * (mean - 1) / (n - 1))).otherwise(n)
+        spread = n * x["s2"] - x["s1"] * x["s1"]
+        z3 = F.when(spread > 0, ((n * x["s11"] - x["s1"] * x["s1"]) / spread + 1 / (n - 1)) * F.sqrt(n)).otherwise(n)
+        like_prose = (n - 1) * (k * x["prose2"] - 1) + (k - 1)
         spread_prose = F.sqrt(4 * n * k * k * PROSE3_EXCESS + 2 * (k - 1))
         ordered = ORDER * F.sqrt(n) + MARGIN
         shifts = F.array((like_prose - uniform) / spread_prose, ordered - F.abs(z2), ordered - F.abs(z3))
-        ps = F.transform(shifts, _normal_tail)
-        named = [ps[i].alias(name) for i, name in enumerate(("p_uniform", "p_runs", "p_serial"))]
-        return F.struct(n.cast("int").alias("n"), x["encoding"].alias("encoding"), *named, F.array_max(ps).alias("p"))
+        shown = lambda ps: F.struct(n.cast("int").alias("n"), x["encoding"].alias("encoding"), *[ps[i].alias(c) for i, c in enumerate(("p_uniform", "p_runs", "p_serial"))], F.array_max(ps).alias("p"))
+        return bound(F.transform(shifts, _normal_tail), shown)
 
     known = F.struct(codes.alias("codes"), pick(lambda e: e.name).alias("encoding"), pick(lambda e: float(len(e.symbols))).alias("k"), pick(lambda e: e.prose2).alias("prose2"))
-    return F.transform(F.array(known), of)[0]
+    return bound(bound(known, sums), tests)
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -183,12 +200,29 @@ def written(spans: str | Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by ``mark``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, or run of overlapping spans, replaced by ``mark``; null spans are none.
+
+    The text is taken in blocks of BLOCK code points, each with the spans that begin in it, so that no step looks at
+    more than a block: the work is in proportion to the text, however many spans there are.
+    """
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda b, i: F.struct(b.alias("text"), (i * BLOCK).alias("at")))
+
+    def step(acc: Column, s: Column, b: Column) -> Column:
+        gap = F.substring(b["text"], acc["at"] - b["at"] + 1, s["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        near = F.filter(F.slice(acc["spans"], acc["next"] + 1, F.lit(KINDS_AT_ONCE * BLOCK)), lambda s: s["start"] < b["at"] + BLOCK)
+        begin = F.struct(F.greatest(acc["at"], b["at"]).alias("at"), F.lit("").alias("out"))
+
+        def rest(n: Column, got: Column) -> Column:
+            left = F.concat(got["out"], F.substring(b["text"], got["at"] - b["at"] + 1, F.lit(BLOCK)))
+            return F.struct(acc["spans"].alias("spans"), (acc["next"] + n).alias("next"), got["at"].alias("at"), F.array_append(acc["out"], left).alias("out"))
+
+        return bound(near, lambda near: bound(F.aggregate(near, begin, lambda a, s: step(a, s, b)), lambda got: rest(F.size(near), got)))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    def whole(spans: Column) -> Column:
+        zero = F.struct(spans.alias("spans"), F.lit(0).alias("next"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(blocks, zero, block, lambda acc: F.array_join(acc["out"], ""))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, bound(spans, whole)).otherwise(text)
