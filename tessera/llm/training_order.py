@@ -25,37 +25,64 @@ MANIFEST = "shard long, file string, temporary string, records long, bytes long,
 
 
 class Permutation:
-    """A keyed permutation of ``0 .. n - 1``: a balanced Feistel network whose values beyond n walk on."""
+    """A keyed permutation of ``0 .. n - 1``: a balanced Feistel network whose values beyond n walk on.
+
+    Numbers below 2^96 are pairs of the bits above and below the 32nd, so that 64-bit ids times parts have room.
+    """
 
     def __init__(self, n: int, key: str) -> None:
         self.n = n
         bits = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
-        self.half, self.mask, self.whole = U(bits), U((1 << bits) - 1), n == 1 << 2 * bits
+        self.bits, self.half, self.mask, self.whole = bits, U(bits), U((1 << bits) - 1), n == 1 << 2 * bits
+        self.end = U(n >> 32), U(n & 0xFFFFFFFF)
         self.keys = [U(int.from_bytes(hashlib.blake2b(f"{key}/{r}".encode(), digest_size=8).digest(), "little")) for r in range(ROUNDS)]
 
-    def _walk(self, x: np.ndarray, once) -> np.ndarray:
-        x = once(np.asarray(x).astype(np.uint64))
-        while not self.whole and (out := x >= U(self.n)).any():
-            x[out] = once(x[out])
-        return x
+    def _halves(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = high >> U(self.bits - 32) if self.bits >= 32 else (high << U(32 - self.bits)) | (low >> self.half)
+        return left, ((high << U(32)) | low) & self.mask
 
-    def slot(self, index: np.ndarray) -> np.ndarray:
-        def once(x: np.ndarray) -> np.ndarray:
-            left, right = x >> self.half, x & self.mask
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = (left << self.half) | right
+        high = (left << U(self.bits - 32)) | (right >> U(32)) if self.bits >= 32 else low >> U(32)
+        return high, low & U(0xFFFFFFFF)
+
+    def _walk(self, high: np.ndarray, low: np.ndarray, once) -> tuple[np.ndarray, np.ndarray]:
+        high, low = self._joined(*once(*self._halves(high, low)))
+        while not self.whole and (out := (high > self.end[0]) | ((high == self.end[0]) & (low >= self.end[1]))).any():
+            high[out], low[out] = self._joined(*once(*self._halves(high[out], low[out])))
+        return high, low
+
+    def slots(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def once(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for k in self.keys:
                 left, right = right, left ^ (mix(right + k) & self.mask)
-            return (left << self.half) | right
+            return left, right
 
-        return self._walk(index, once)
+        return self._walk(high, low, once)
 
-    def index(self, slot: np.ndarray) -> np.ndarray:
-        def once(x: np.ndarray) -> np.ndarray:
-            left, right = x >> self.half, x & self.mask
+    def indexes(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def once(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for k in reversed(self.keys):
                 left, right = right ^ (mix(left + k) & self.mask), left
-            return (left << self.half) | right
+            return left, right
+
+        return self._walk(high, low, once)
+
+    def _plain(self, x: np.ndarray, f) -> np.ndarray:
+        x = np.asarray(x).astype(np.uint64)
+        high, low = f(x >> U(32), x & U(0xFFFFFFFF))
+        return (high << U(32)) | low
+
+    def slot(self, index: np.ndarray) -> np.ndarray:
+        """``slots`` of numbers below 2^64."""
+        return self._plain(index, self.slots)
+
+    def index(self, slot: np.ndarray) -> np.ndarray:
+        return self._plain(slot, self.indexes)
+
 
-        return self._walk(slot, once)
+#: A place: its bits above and below the 32nd.
+PLACE = np.dtype([("high", "<u8"), ("low", "<u4")])
 
 
 class Domain(NamedTuple):
@@ -66,16 +93,21 @@ class Domain(NamedTuple):
     parts: int
     shards: int
 
-    def codes(self, doc: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """A number below ``size`` for each sequence; only where ids times parts leave 63 bits do parts share one."""
-        return (doc.astype(np.uint64) - U(self.least % 2**64)) * U(self.parts) + (part % self.parts).astype(np.uint64)
+    def codes(self, doc: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number below ``size`` of its own for each sequence: ids from the least on, times parts, plus the part."""
+        at = doc.astype(np.uint64) - U(self.least % 2**64)
+        low = (at & U(0xFFFFFFFF)) * U(self.parts) + part.astype(np.uint64)
+        return (at >> U(32)) * U(self.parts) + (low >> U(32)), low & U(0xFFFFFFFF)
 
     @property
     def size(self) -> int:
         return self.ids * self.parts
 
-    def shard(self, place: np.ndarray) -> np.ndarray:
-        return (place // U(-(-self.size // self.shards))).astype(np.int64)
+    def shard(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Equal ranges of places, which small domains tell apart by all bits and wide ones by the upper ones."""
+        if self.size < 1 << 63:
+            return (((high << U(32)) | low) // U(-(-self.size // self.shards))).astype(np.int64)
+        return (high // U((self.size >> 32) // self.shards + 1)).astype(np.int64)
 
 
 def domain(docs: DataFrame, tokens, length: int = LENGTH, width: int = WIDTH, shards: int | None = None) -> Domain:
@@ -85,7 +117,9 @@ def domain(docs: DataFrame, tokens, length: int = LENGTH, width: int = WIDTH, sh
     if low is None:
         return Domain(0, 1, 1, 1)
     ids = high - low + 1
-    parts = max(1, min(-(-most // length), 2**63 // ids))
+    parts = max(1, -(-most // length))
+    if parts >= 1 << 31:
+        raise ValueError("a document has too many parts")
     shards = shards or max(LEAST_SHARDS, -(-int(total) * record(length, width).itemsize // SHARD_BYTES))
     return Domain(low, ids, parts, min(shards, ids * parts))
 
@@ -117,8 +151,9 @@ def _dealt(encoded: DataFrame, at: Domain, key: str, kind: np.dtype) -> DataFram
 
     def blocks(held: list[np.ndarray], order: Permutation) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(held)
-        place = order.slot(at.codes(rows["doc"], rows["part"]))
-        shard = at.shard(place)
+        place = np.empty(len(rows), PLACE)
+        place["high"], place["low"] = order.slots(*at.codes(rows["doc"], rows["part"]))
+        shard = at.shard(place["high"], place["low"].astype(np.uint64))
         by = np.argsort(shard, kind="stable")
         shard, place, rows = shard[by], place[by], rows[by]
         edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
@@ -168,7 +203,7 @@ def write_training_order(encoded: DataFrame, folder: str, key: str, length: int
 
         def close() -> pa.RecordBatch:
             place, own = np.concatenate(places), np.concatenate(rows)
-            by = np.lexsort((own["part"], own["doc"], place))
+            by = np.lexsort((own["part"], own["doc"], place["low"], place["high"]))
             place, own = place[by], own[by]
             ties = np.flatnonzero((place[1:] == place[:-1]) & (own["doc"][1:] == own["doc"][:-1]) & (own["part"][1:] == own["part"][:-1]))
             for lo, hi in _stretches(ties):
@@ -184,7 +219,7 @@ def write_training_order(encoded: DataFrame, folder: str, key: str, length: int
                     yield close()
                     places, rows = [], []
                 now = shard
-                places.append(np.frombuffer(pa.decompress(p, 8 * n, "zstd"), np.uint64))
+                places.append(np.frombuffer(pa.decompress(p, PLACE.itemsize * n, "zstd"), PLACE))
                 rows.append(np.frombuffer(pa.decompress(r, kind.itemsize * n, "zstd"), kind))
         if places:
             yield close()
