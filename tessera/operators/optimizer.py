@@ -119,66 +119,62 @@ def choose(candidates: DataFrame, categories: Sequence[str], limits: Limits, pro
         rows = rows.join(links.groupBy("request_id", "product_id").agg(F.map_from_entries(F.collect_list(F.struct("with", "charge"))).alias("links")), ["request_id", "product_id"], "left")
     else:
         rows = rows.withColumn("links", F.lit(None).cast(f"map<{dict(rows.dtypes)['product_id']},bigint>"))
+    kind = dict(rows.dtypes)["product_id"]
     rows = rows.checkpoint()
     order = sorted(range(len(categories)), key=lambda i: categories[i] != limits.supply)
     n, percent = len(order), 100 + limits.headroom_percent
-    old = rows.select("request_id").distinct().withColumn("old", F.array().cast(f"array<array<{dict(rows.dtypes)['product_id']}>>"))
-    out = None
+    old, out = None, None
     for place, profile in enumerate(profiles, 1):
         offers = rows.withColumnRenamed(f"coef_{profile}", "coef").drop(*[f"coef_{p}" for p in profiles])
-        prices = _lagrange(offers, limits, n).checkpoint()
-        offers = offers.join(prices, "request_id").withColumn("reduced", _reduced(F.col("lam"), F.col("mu"), limits))
+        offers = offers.join(_lagrange(offers, limits, n), "request_id").withColumn("reduced", _reduced(F.col("lam"), F.col("mu"), limits)).checkpoint()
         own = lambda f, c: [f(F.when(F.col("category") == categories[i], F.col(c))).alias(f"{c}_{k}") for k, i in enumerate(order)]
         locks = F.collect_set(F.when(F.col("locked_id").isNotNull(), F.col("category"))) if locked is not None else fixed
-        known = offers.groupBy("request_id", "lam", "mu").agg(*own(F.max, "reduced"), *own(F.min, "price"), *own(F.min, "load"), locks.alias("fixed")) if locked is not None else offers.groupBy("request_id", "lam", "mu").agg(*own(F.max, "reduced"), *own(F.min, "price"), *own(F.min, "load")).withColumn("fixed", fixed)
-        rest = lambda c, k: sum((F.col(f"{c}_{j}") for j in range(k, n)), F.lit(0))
-        held = F.col("lam") * limits.budget_cents
-        start = known.join(old, "request_id").select(
-            "request_id", "lam", "mu", "old", "fixed", *[F.struct(rest("reduced", k + 1).alias("worth"), rest("price", k + 1).alias("price"), rest("load", k + 1).alias("load")).alias(f"rest_{k}") for k in range(n)],
-            (rest("reduced", 0) + held - F.col("mu") * percent * limits.base_watts).alias("bound"), F.lit(0).cast("long").alias("worth"), F.lit(0).cast("long").alias("cents"), F.lit(limits.base_watts).cast("long").alias("watts"),
-            F.lit(None).cast("long").alias("power"), F.array().cast(f"array<{dict(rows.dtypes)['product_id']}>").alias("picked"), F.lit(False).alias("lost"),
+        known = offers.groupBy("request_id", "lam", "mu").agg(*own(F.max, "reduced"), *own(F.min, "price"), *own(F.min, "load"), *([locks.alias("fixed")] if locked is not None else []))
+        if old is not None:
+            known = known.join(old, "request_id")
+        rest = lambda c, k: " + ".join(["0", *(f"{c}_{j}" for j in range(k, n))])
+        start = known.selectExpr(
+            "request_id", "lam", "mu", "old" if old is not None else f"cast(array() as array<array<{kind}>>) as old", "fixed" if locked is not None else "cast(array() as array<string>) as fixed",
+            "array(" + ", ".join(f"struct(cast({rest('reduced', k + 1)} as double) as worth, cast({rest('price', k + 1)} as bigint) as price, cast({rest('load', k + 1)} as bigint) as load)" for k in range(n)) + ") as rests",
+            f"{rest('reduced', 0)} + lam * {limits.budget_cents} - mu * {percent * limits.base_watts} as bound", "0L as worth", "0L as cents", f"{limits.base_watts}L as watts", "cast(null as bigint) as power", f"cast(array() as array<{kind}>) as picked", "false as lost",
         )
 
         def grown(start: DataFrame, offers: DataFrame, goal: bool, keep: int) -> DataFrame:
-            now = start
+            now, same = start, ["request_id", "lam", "mu", "old", "fixed", "rests", "lost", *(["goal"] if goal else [])]
             for k, i in enumerate(order):
-                part = offers.where(F.col("category") == categories[i]).select("request_id", "product_id", "coef", "price", "load", "supply", "links", "reduced")
-                both = now.join(part, "request_id")
-                charges = F.transform("picked", lambda x: F.coalesce(F.try_element_at("links", x), F.lit(0)))
-                watts, left = F.col("watts") + F.col("load"), F.col(f"rest_{k}")
-                power = F.col("supply") if categories[i] == limits.supply else F.col("power")
-                worth = F.col("worth") + F.col("coef") - F.aggregate(charges, F.lit(0).cast("long"), lambda t, c: t + c)
-                cents = F.col("cents") + F.col("price")
-                gives = F.col("mu") * 100 * F.coalesce(power, F.lit(0)) if limits.supply else F.lit(0.0)
-                bound = worth - F.col("lam") * cents - F.col("mu") * percent * watts + gives + left["worth"] + F.col("lam") * limits.budget_cents
-                free = F.lit(sum(1 for j in order[k + 1 :])) - sum((F.array_contains("fixed", categories[j]).cast("int") for j in order[k + 1 :]), F.lit(0))
-                ids = F.concat("picked", F.array("product_id"))
-                apart = lambda b: F.aggregate(F.zip_with(ids, F.slice(b, 1, k + 1), lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
+                part = offers.where(F.col("category") == categories[i]).select("request_id", "product_id", "coef", "price", "load", "supply", "links")
+                step = now.join(part, "request_id").selectExpr(
+                    *same, "transform(picked, x -> coalesce(try_element_at(links, x), 0L)) as charges", "worth + coef as gross", "cents + price as cents", "watts + load as watts",
+                    f"{'supply' if categories[i] == limits.supply else 'power'} as power", "concat(picked, array(product_id)) as picked", f"rests[{k}] as left",
+                )
                 # a category with a lock holds the same part in every build, so it never counts as a difference
-                ok = ~F.exists(charges, lambda c: c < 0) & (cents + left["price"] <= limits.budget_cents) & F.forall("old", lambda b: apart(b) + free >= differ)
+                free = " + ".join(["0", *(f"if(array_contains(fixed, '{categories[j]}'), 0, 1)" for j in order[k + 1 :])])
+                ok = ["not exists(charges, c -> c < 0)", f"cents + left.price <= {limits.budget_cents}"]
                 if limits.supply:
-                    ok = ok & (power.isNull() | ((watts + left["load"]) * percent <= power * 100))
+                    ok.append(f"(power is null or (watts + left.load) * {percent} <= power * 100)")
+                if old is not None:
+                    ok.append(f"forall(old, b -> aggregate(zip_with(picked, slice(b, 1, {k + 1}), (x, y) -> if(x <> y, 1, 0)), 0, (t, x) -> t + x) + {free} >= {differ})")
+                gives = "mu * 100 * coalesce(power, 0)" if limits.supply else "0"
+                step = step.where(" and ".join(ok)).selectExpr(*same, "left", "gross - aggregate(charges, 0L, (t, c) -> t + c) as worth", "cents", "watts", "power", "picked")
+                step = step.selectExpr(*same, f"worth - lam * cents - mu * {percent} * watts + {gives} + left.worth + lam * {limits.budget_cents} as bound", "worth", "cents", "watts", "power", "picked")
                 if goal:
-                    ok = ok & (bound + 1e-6 * F.greatest(F.lit(1.0), F.abs(bound)) >= F.col("goal"))
-                now = both.where(ok).select(*[c for c in now.columns if c not in ("bound", "worth", "cents", "watts", "power", "picked", f"rest_{k}")], bound.alias("bound"), worth.alias("worth"), cents.alias("cents"), watts.alias("watts"), power.alias("power"), ids.alias("picked"))
-                w = Window.partitionBy("request_id")
-                now = now.withColumns({"place": F.row_number().over(w.orderBy(F.desc("bound"), "picked")), "lost": F.col("lost") | (F.count("*").over(w) > keep)}).where(F.col("place") <= keep).drop("place")
-            final = F.array(*[F.col("picked")[order.index(i)] for i in range(n)])
-            key = F.struct((-F.col("worth")).alias("worth"), "cents", final.alias("ids"), "watts", "picked")
-            return now.groupBy("request_id").agg(F.min(key).alias("best"), F.bool_or("lost").alias("lost"))
+                    step = step.where("bound + 1e-6 * greatest(1, abs(bound)) >= goal")
+                step = step.selectExpr(*[c for c in step.columns if c != "lost"], f"lost or count(*) over (partition by request_id) > {keep} as lost", "row_number() over (partition by request_id order by bound desc, picked) as nth")
+                now = step.where(f"nth <= {keep}").drop("nth")
+            final = ", ".join(f"picked[{order.index(i)}]" for i in range(n))
+            return now.groupBy("request_id").agg(F.expr(f"min(struct(-worth as worth, cents, array({final}) as ids, watts, picked)) as best"), F.bool_or("lost").alias("lost"))
 
         first = grown(start, offers, False, BEAM).select("request_id", "best").checkpoint()
-        goal = first.select("request_id", (-F.col("best.worth")).alias("goal"))
+        goal = start.select("request_id", F.col("bound").alias("whole")).join(first, "request_id", "left").selectExpr("request_id", "whole", "coalesce(-best.worth, double('-inf')) as goal")
         # a part whose best completion doesn't reach the goal is in no better build
-        spare = offers.join(start.select("request_id", F.col("bound").alias("whole")), "request_id").join(goal, "request_id", "left").withColumn("top", F.max("reduced").over(Window.partitionBy("request_id", "category")))
-        useful = spare.where(F.col("goal").isNull() | (F.col("whole") - F.col("top") + F.col("reduced") + 1e-6 * F.greatest(F.lit(1.0), F.abs("whole")) >= F.col("goal"))).drop("whole", "goal", "top")
-        least = F.coalesce("goal", F.lit(float("-inf")))
-        exact = grown(start.join(goal, "request_id", "left").withColumn("goal", least), useful, True, most)
+        useful = offers.join(goal, "request_id").withColumn("top", F.max("reduced").over(Window.partitionBy("request_id", "category"))).where("whole - top + reduced + 1e-6 * greatest(1, abs(whole)) >= goal").select(*offers.columns)
+        exact = grown(start.join(goal.select("request_id", "goal"), "request_id"), useful, True, most)
         both = exact.select("request_id", "best", (~F.col("lost")).alias("proved")).unionByName(first.withColumn("proved", F.lit(False)))
         found = both.groupBy("request_id").agg(F.min("best").alias("best"), F.bool_or("proved").alias("proved")).checkpoint()
         shown = found.select("request_id", F.lit(profile).alias("profile"), F.lit(place).alias("place"), (-F.col("best.worth")).alias("objective"), F.col("best.cents").alias("price_cents"), F.col("best.watts").alias("load_watts"), "best.ids", "proved")
         out = shown if out is None else out.unionByName(shown)
-        old = old.join(found, "request_id").select("request_id", F.concat("old", F.array("best.picked")).alias("old"))
+        picked = found.select("request_id", F.col("best.picked").alias("new"))
+        old = picked.select("request_id", F.array("new").alias("old")) if old is None else old.join(picked, "request_id").select("request_id", F.concat("old", F.array("new")).alias("old"))
     return out
 
 

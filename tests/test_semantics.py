@@ -58,21 +58,6 @@ def test_compatibility_is_never_guessed(spark):
     assert {r.build_id: r.status for r in compat.check(cables, ["psu.gpu_connectors"]).collect()} == {1: "fail", 2: "unknown"}
 
 
-def test_domination_keeps_the_best_build(spark):
-    import itertools
-    import random
-
-    rng = random.Random(3)
-    rows = [("r", c, 100 * i + j, rng.randrange(50, 300), 0.0, 0, *[float(rng.randrange(100)) for _ in range(6)]) for i, c in enumerate("abc") for j in range(15)]
-    df = spark.createDataFrame(rows, "request_id string, category string, product_id long, price_cents long, warning_penalty double, power_watts int, " + ", ".join(f"{s} double" for s in optimizer.SCORES))
-    got = optimizer.best_builds(df, list("abc"), 400, "best_overall").first()
-    w = optimizer.PROFILES["best_overall"].weights
-    coef = {r[2]: round(sum(a * b for a, b in zip(w, r[6:])) * 100) for r in rows}
-    price = {r[2]: r[3] for r in rows}
-    pools = [[r[2] for r in rows if r[1] == c] for c in "abc"]
-    best = min((-sum(coef[i] for i in p), sum(price[i] for i in p), p) for p in itertools.product(*pools) if sum(price[i] for i in p) <= 400)
-    assert (-got.objective, got.price_cents, (got.p0, got.p1, got.p2)) == best
-
 
 def test_allocation_and_split(spark):
     assert sampling.allocate(30, {"train": 0.6, "validation": 0.2, "test": 0.2}) == {"train": 18, "validation": 6, "test": 6}
