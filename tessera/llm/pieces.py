@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_batches, text_steps
+from tessera.llm.common import cut, give_back, map_batches, text_steps
 
 #: Code points from which a text is giant, and of its chunks; chunks joined to one group of the scan.
 GIANT, CHUNK, GROUP = 65_536, 16_384, 256
@@ -374,6 +374,21 @@ def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
+def _tidied(model, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker forgets the words and pairs of the giants and gives its free memory back."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            p = load(model.value)
+            p.spelled.clear()
+            p.fits.clear()
+            give_back()
+
+    return tidy
+
+
 ENCODED = "n_tokens bigint, ids array<int>, round_trip boolean"
 
 
@@ -470,15 +485,15 @@ def _giant(texts: DataFrame, model, chunk: int) -> DataFrame:
             same = [p.decode(i) == t for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["text_key", "ids", "round_trip"])
 
-    chunks = cut(texts.mapInArrow(split, "text_key string, chunk long, grp long, text string, begin long, last boolean"))
+    chunks = cut(texts.mapInArrow(_tidied(model, split), "text_key string, chunk long, grp long, text string, begin long, last boolean"))
     dealt = chunks.repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism), "text_key", "chunk")
-    ms = cut(dealt.mapInArrow(matrices, "text_key string, chunk long, grp long, n long, m binary"))
+    ms = cut(dealt.mapInArrow(_tidied(model, matrices), "text_key string, chunk long, grp long, n long, m binary"))
     groups = ms.groupBy("text_key", "grp").applyInPandas(product, "text_key string, grp long, n long, m binary")
     between = groups.groupBy("text_key").applyInPandas(ends_of, "text_key string, grp long, entry long, leave long")
     states = ms.join(between, ["text_key", "grp"]).groupBy("text_key", "grp").applyInPandas(inside, "text_key string, chunk long, entry long, leave long")
-    traced = dealt.join(states, ["text_key", "chunk"]).select("text_key", "chunk", "text", "begin", "last", "entry", "leave").mapInArrow(trace, "text_key string, chunk long, ids array<int>")
+    traced = dealt.join(states, ["text_key", "chunk"]).select("text_key", "chunk", "text", "begin", "last", "entry", "leave").mapInArrow(_tidied(model, trace), "text_key string, chunk long, ids array<int>")
     whole = traced.groupBy("text_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    whole = whole.join(texts.withColumnRenamed("text", "own"), "text_key").select("text_key", "ids", "own").mapInArrow(check, "text_key string, ids array<int>, round_trip boolean")
+    whole = whole.join(texts.withColumnRenamed("text", "own"), "text_key").select("text_key", "ids", "own").mapInArrow(_tidied(model, check), "text_key string, ids array<int>, round_trip boolean")
     return whole.select("text_key", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
