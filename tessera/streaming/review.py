@@ -23,7 +23,8 @@ class Decisions(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values("seq")
-        first = tuple(self.first.get()) if self.first.exists() else None
+        first = self.first.get()
+        first = None if first is None else tuple(first)
         out = []
         for r in log.itertuples(index=False):
             said = tuple(None if pd.isna(v) else v for v in (getattr(r, c) for c in SAID))
