@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers as X
 from tessera.operators import candidates as R
+from tessera.operators import intervals as V
 from tessera.operators import metrics as M
 from tessera.operators import performance as G
 from tessera.operators import quality as Q
@@ -57,6 +58,20 @@ def metric_grouped_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.grouped_bootstrap(rows, "o_custkey", lambda d: float((d["actual"] - d["predicted"]).abs().mean()), ["actual", "predicted"], resamples=80, by=["c_mktsegment"])
 
 
+@query()
+def metric_published_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six statistics of a forecast of the totals per segment and priority, whole customers drawn, with what blocks a claim."""
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = both.select("c_mktsegment", "o_custkey", "o_orderkey", F.col("o_totalprice").alias("actual"), (F.col("c_acctbal") + 150_000).alias("predicted"))
+    pair = ("actual", "predicted")
+    kinds = {"mean": V.mean("actual"), "mae": V.absolute_error(*pair), "mape": V.percentage_error(*pair), "r2": V.determination(*pair), "pooled": V.pooled_ratio(*pair[::-1]), "macro": V.macro_ratio(*pair[::-1])}
+    found = [V.interval(rows, s, "o_custkey", "o_orderkey", ["c_mktsegment"]).withColumn("statistic", F.lit(name)) for name, s in kinds.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return V.claim_gate(out, least_groups=20, floor=0.0, least_low=0.0).withColumn("blockers", F.array_join("blockers", ","))
+
+
 @query("SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.9), 6) AS value, count(l_extendedprice) AS n FROM lineitem GROUP BY 1")
 def metric_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(M.percentile(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.9), "value")
