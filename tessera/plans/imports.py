@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import digests as D
+from tessera.operators import mentions as N
 from tessera.plans.operations import _folder
 from tessera.plans.registry import checkpoints, query, table
+from tessera.sources import vectors as V
 from tessera.sources.files import write_json_lines
 from tessera.streaming import imports as I
 
@@ -61,3 +63,34 @@ def performance_frame_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoints(spark)
     part = table(spark, sf_dir, "part").select(*FRAME)
     return spark.createDataFrame([(part.count(), D.ordered_digest(part, FRAME, ["p_partkey"]))], "n long, sha256 string")
+
+
+@query("""SELECT vec_id, 'h' || vec_id % 7 AS content_hash, len(embedding) AS dims, round(embedding[1]::DOUBLE + CASE WHEN vec_id % 50 = 3 THEN 1 ELSE 0 END, 5) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + CASE WHEN vec_id % 50 = 3 THEN 1 ELSE 0 END, 4) AS total
+FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0""")
+def source_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in a first index, a changed one in a second that takes over the shards without a change."""
+    base = _folder(spark)
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = float('inf'))")
+    rows = rows.select(F.col("vec_id").alias("id"), F.concat(F.lit("h"), F.col("vec_id") % 7).alias("content_hash"), F.col("embedding").alias("vector"))
+    dims = rows.select(F.size("vector").alias("n")).first().n
+    V.write_index(rows, f"{base}/index", "v1", dims)
+    changed = rows.withColumn("vector", F.when(F.col("id") % 50 == 3, F.transform("vector", lambda x, i: F.when(i == 0, x + 1).otherwise(x))).otherwise(F.col("vector")))
+    V.write_index(changed, f"{base}/index", "v2", dims, earlier="v1")
+    total = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x)
+    return V.read_index(spark, f"{base}/index", "v2").select(F.col("id").alias("vec_id"), "content_hash", F.size("vector").alias("dims"), F.round(F.col("vector")[0].cast("double"), 5).alias("first"), F.round(total, 4).alias("total"))
+
+
+NAMED = "SELECT DISTINCT split_part(p_name, ' ', 1) AS entity, split_part(p_name, ' ', 1) AS name FROM part UNION ALL SELECT DISTINCT p_type, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) FROM part WHERE p_size < 4"
+
+
+@query(f"""WITH n AS (SELECT name, list_sort(list(DISTINCT entity)) AS es FROM ({NAMED}) GROUP BY 1), t AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS ws FROM part),
+g AS (SELECT id, s, k, array_to_string(ws[s:s + k - 1], ' ') AS name FROM t, range(1, 4) a(s), range(1, 3) b(k) WHERE s + k - 1 <= len(ws)), m AS (SELECT id, s, k, es FROM g JOIN n USING (name)),
+w AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.id = m.id AND x.k > m.k AND x.s <= m.s AND x.s + x.k >= m.s + m.k)), e AS (SELECT id, list(DISTINCT e) AS es FROM (SELECT id, unnest(es) AS e FROM w) GROUP BY 1)
+SELECT t.id, CASE WHEN es IS NULL THEN 'unknown' WHEN len(es) > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, CASE WHEN len(es) = 1 THEN es[1] END AS entity FROM t LEFT JOIN e USING (id)""")
+def text_named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the names in their titles: colours are entities, and so are the kinds that some pairs of words name."""
+    part = table(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    one = part.select(words[0].alias("entity"), words[0].alias("name")).distinct()
+    two = part.where("p_size < 4").select(F.col("p_type").alias("entity"), F.concat_ws(" ", words[0], words[1]).alias("name")).distinct()
+    return N.named_entities(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), one.union(two))

@@ -11,7 +11,7 @@ from tessera.operators import aggregates as A
 from tessera.operators import performance as G
 from tessera.operators import quality as Q
 from tessera.operators import records as N
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, shared_root, table
 from tessera.sources import files
 from tessera.streaming import ingest
 
@@ -144,8 +144,7 @@ def source_new_or_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer")

@@ -28,7 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; on one machine without it, one of the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
+
+
 def checkpoints(spark: SparkSession) -> None:
-    """Makes ``checkpoint()`` usable: the folder that the cluster names, or the warehouse's where it names none."""
+    """Makes ``checkpoint()`` usable."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
