@@ -162,6 +162,17 @@ def compat_published_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.check(rows, list(LISTED))
 
 
+@query("""WITH b AS (SELECT p_partkey AS build_id, CASE WHEN p_partkey % 11 <> 0 THEN p_size % 3 END AS n8, p_partkey % 2 AS n4, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 4 END AS o8, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS o4, p_partkey % 20 <> 0 AS authoritative FROM part)
+SELECT build_id, 'psu.eps_connectors' AS rule, CASE WHEN NOT authoritative OR n8 IS NULL OR o8 IS NULL THEN 'unknown' WHEN n8 <= o8 AND n4 <= o4 THEN 'pass' ELSE 'fail' END AS status FROM b""")
+def compat_board_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board's own connectors against what the power supply offers; a supply without a kind of connector names none."""
+    k = F.col("p_partkey")
+    needs = F.when(k % 11 != 0, F.create_map(F.lit("eps_8pin"), (F.col("p_size") % 3).cast("int"), F.lit("eps_4pin"), (k % 2).cast("int")))
+    offers = F.when(k % 3 == 0, F.create_map(F.lit("eps_8pin"), (k % 4).cast("int"), F.lit("eps_4pin"), F.lit(1))).otherwise(F.create_map(F.lit("eps_8pin"), (k % 4).cast("int")))
+    rows = table(spark, sf_dir, "part").select(k.alias("build_id"), needs.alias("board_connectors"), F.when(k % 13 != 0, offers).alias("psu_connectors"), (k % 20 != 0).alias("authoritative"))
+    return C.check(rows, ["psu.eps_connectors"])
+
+
 @query("""WITH p AS (SELECT l_orderkey AS build_id, l_partkey AS product_id FROM lineitem), k AS (SELECT DISTINCT build_id, product_id + (build_id % 5 = 0)::INT AS product_id FROM p)
 SELECT k.build_id, k.product_id, 'existing.retained' AS rule, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.build_id = k.build_id AND p.product_id = k.product_id) THEN 'pass' ELSE 'fail' END AS status FROM k""")
 def compat_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
