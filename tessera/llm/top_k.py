@@ -17,6 +17,8 @@ from tessera.llm.common import cut
 SHARD, LEAF, QUERIES = 8192, 64, 1024
 #: Shards, and blocks of queries, that meet in one task at most; both sides are copied the less the more meet.
 SHARDS_MET, BLOCKS_MET = 16, 32
+#: Bytes of a shard's and of a block's components at most: wide vectors make them fewer rows.
+SHARD_BYTES, BLOCK_BYTES = 1 << 24, 1 << 22
 
 PACKED = "{} long, dim int, ids binary, vecs binary, tree binary"
 
@@ -161,8 +163,8 @@ def _met(blocks: DataFrame, shards: DataFrame, on: list[str], k: int, schema: st
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, vec: str = "embedding") -> DataFrame:
     """The ``k`` rows of ``vectors`` with the highest integer inner product for each row of ``queries``.
 
-    Vectors are dealt into shards of about SHARD rows by a hash of their id, and each shard gets a ball tree.
-    Queries are packed in blocks of about QUERIES.  A first round searches one shard per block and leaves each
+    Vectors are dealt into shards of about SHARD rows or SHARD_BYTES by a hash of their id, and each shard gets a
+    ball tree.  Queries are packed in blocks of about QUERIES or BLOCK_BYTES.  A first round searches one shard per block and leaves each
     query's k-th score with it; in the second, groups of blocks meet groups of shards, both of bounded size, and
     the k-th score of a block only rises from shard to shard.  The best of all groups are then ranked.
 
@@ -174,7 +176,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     other columns are ignored.
     """
     x, q = scaled(vectors, vec, scale), scaled(queries, vec, scale).distinct()
-    n_shards, n_blocks = (max(1, -(-n // size)) for n, size in ((vectors.count(), SHARD), (queries.count(), QUERIES)))
+    sides = [df.agg(F.count("*"), F.coalesce(F.max(F.size(vec)), F.lit(0))).first() for df in (vectors, queries)]
+    n_shards, n_blocks = (max(1, -(-n // rows), -(-n * 8 * dims // most)) for (n, dims), rows, most in zip(sides, (SHARD, QUERIES), (SHARD_BYTES, BLOCK_BYTES), strict=True))
     n_groups = -(-n_blocks // BLOCKS_MET)
     n_parts = max(-(-n_shards // SHARDS_MET), min(n_shards, -(-vectors.sparkSession.sparkContext.defaultParallelism // n_groups)))
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
