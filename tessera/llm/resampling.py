@@ -16,7 +16,7 @@ from tessera.llm.common import byte_class, cut, map_batches, text_steps, word_sp
 #: Buckets of the feature hash, words of the longest feature, and least words of a text that can be drawn.
 BUCKETS, ORDERS, LEAST_WORDS = 10_000, 2, 20
 #: Rows that one range of the sort holds, least number of ranges, and regular samples that reach the driver (about).
-RANGE_ROWS, LEAST_RANGES, SAMPLES = 1_000_000, 48, 1 << 18
+RANGE_ROWS, LEAST_RANGES, SAMPLES = 1_000_000, 48, 1 << 16
 #: Words above this many bytes are hashed one by one.
 LONG = 64
 
