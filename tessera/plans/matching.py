@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import parts as P
+from tessera.operators import calibration as B
 from tessera.operators import entity as E
 from tessera.operators import lambdamart as L
 from tessera.operators import ranking as K
@@ -279,3 +280,20 @@ def entity_trained_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = model.transform(rows.where("split <> 'train'")).withColumn("score", vector_to_array("probability")[1])
     slope, intercept = E.platt(scored.where("split = 'calibration'"))
     return scored.where("split = 'test'").select("l_id", "p_id", "label", sigmoid(slope * logit(F.col("score")) + intercept).alias("probability"))
+
+
+@query()
+def entity_calibrated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall on unseen listings, at a threshold chosen on others under a calibration learnt on yet others.
+
+    An order is a listing and its lines are candidates: the larger the quantity, the likelier a match.
+    """
+    checkpoints(spark)
+    odds = (F.col("l_quantity") - 20) / 6
+    label = (F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(1000)) / 1000 < 1 / (1 + F.exp(-odds))).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("listing_id"), (1 / (1 + F.exp(-odds / 2))).alias("score"), label.alias("label"))
+    split = B.split_reviews(rows).checkpoint()
+    part = lambda name: split.where(F.col("split") == name)
+    point = B.calibrate_and_select(part("calibration"), part("threshold"), least_precision=0.9)
+    scored = part("test").withColumn("score", point.platt.probability(F.col("score")))
+    return B.evaluate_reviews(scored, point.threshold if point.threshold is not None else 1.0, resamples=200)

@@ -18,6 +18,8 @@ CHOSEN = (
     "quality_batch", "stream_idempotent_events", "performance_training_rows", "records_reconciled_stock", "source_json_lines_round_trip", "stream_deduplicated",
     "compat_published_lists", "build_diverse_profiles", "entity_matches", "rank_features", "retrieve_hash_embedding", "split_components", "performance_estimates", "records_canonical_products", "source_feed_listings",
     "quality_batch_report", "metric_frozen_candidates", "filter_allowed_products", "text_part_vocabulary", "join_arc_consistency",
+    "build_replacement", "review_queue_items", "review_queue_manifest", "review_decisions", "review_training_pairs", "lease_replay", "lease_stream", "source_chained_import", "sink_version_switch",
+    "performance_frame_digest", "source_vector_index", "text_named_entities", "compat_board_power",
 )
 
 
