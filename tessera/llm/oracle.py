@@ -20,6 +20,13 @@ SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS
 FROM src s LEFT JOIN sizes USING (doc_id) LEFT JOIN comp ON comp.x = s.doc_id"""
 
 
+#: Base 32 of a SHA-1: every five hex digits are four symbols.
+BASE32 = "list_reduce(list_transform(range(0, 40, 5), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, i + 1, 5))::BIGINT >> b) & 31) + 1)::BIGINT, 1)), lambda a, c: a || c)), lambda a, c: a || c)"
+
+WARC = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, n::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p"""
+
 TOP_K = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),

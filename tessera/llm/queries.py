@@ -106,6 +106,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": oracle.WARC,
         "op2_exact_top_k": oracle.TOP_K,
         "op4_chat_format": oracle.CHAT,
         "op5_minhash_near_dedup": oracle.near_dedup(),
