@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import fill_middle, oracle, quality, resampling
+from tessera.llm import fill_middle, oracle, quality, resampling, toxicity
 from tessera.llm.common import shared_dir
 from tessera.llm.secrets import redacted, secret_spans
 from tessera.llm.training_order import Permutation, domain, read_training_order, write_training_order
@@ -263,3 +263,21 @@ def test_training_order_of_wide_ids(spark):
     assert out[0] == out[1] and [x[0] for x in out[0]] == list(range(200)) and len({x[1:] for x in out[0]}) == 200
     near = sum(a[1] == b[1] for a, b in zip(out[0], out[0][1:]))
     assert near < 80, "sequences of one document lie together"
+
+
+def test_toxicity_scores_from_the_machine(spark):
+    """Scores are the intercept, the weights and every pair's product of factors, added up one by one."""
+    rng, rows, labels = random.Random(6), [], []
+    for i in range(500):
+        ws = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 25))] + [w for w in ("idiot", "those") if rng.random() < 0.4]
+        rows.append((i, " ".join(ws), 0.5, "o", 1, "f"))
+        labels.append((i, int("idiot" in ws and "those" in ws)))
+    df = spark.createDataFrame(rows + [(900, None, 0.1, "o", 1, "f"), (901, "", 0.1, "o", 1, "f"), (902, "IDIOT those idiot", 0.1, "o", 1, "f")], DOCS)
+    machine = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert machine is not None and len(machine.terms)
+    own = {int(t): machine.weights[:, i].astype(float) for i, t in enumerate(machine.terms)}
+    terms = {r.doc_id: r.terms for r in toxicity.with_terms(df).collect()}
+    for r in toxicity.score(df, machine).collect():
+        ws = [own[t] for t in terms[r.doc_id] if t in own]
+        z = machine.intercept + sum(w[0] for w in ws) + sum(float(a[1:] @ b[1:]) for i, a in enumerate(ws) for b in ws[i + 1 :])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
