@@ -7,6 +7,7 @@ import pandas as pd
 
 from tessera.functions import text as T
 from tessera.operators import entity as E
+from tessera.operators import retrieval as R
 from tessera.plans import matching as M
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +26,13 @@ def test_similarity_is_that_of_a_new_matcher_for_every_pair():
     pairs = [(x, y) for y in texts for x in texts]
     got = T.sequence_ratio.func(pd.Series([x for x, _ in pairs]), pd.Series([y for _, y in pairs]))
     assert got.tolist() == [SequenceMatcher(None, x or "", y or "").ratio() for x, y in pairs]
+
+
+def test_words_are_counted_where_their_document_is(spark):
+    rows = [(1, "x", "b a b c b"), (2, "x", ""), (3, "x", None), (4, "y", "c c")]
+    postings, terms = R.bm25_index(spark.createDataFrame(rows, "id long, category string, text string"))
+    got = {(r.category, r.term, r.id): (r.tf, r.length, r.avg_length) for r in postings.collect()}
+    assert got == {("x", "a", 1): (1, 5, 5 / 3), ("x", "b", 1): (3, 5, 5 / 3), ("x", "c", 1): (1, 5, 5 / 3), ("y", "c", 4): (2, 2, 2.0)}
+    assert {(r.category, r.term) for r in terms.collect()} == {("x", "a"), ("x", "b"), ("x", "c"), ("y", "c")}
+    counted = postings.select("id", "category", "term", "tf")._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.count("Aggregate [") == 1, "only the sizes of the categories are aggregated"
