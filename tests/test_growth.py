@@ -36,3 +36,9 @@ def test_words_are_counted_where_their_document_is(spark):
     assert {(r.category, r.term) for r in terms.collect()} == {("x", "a"), ("x", "b"), ("x", "c"), ("y", "c")}
     counted = postings.select("id", "category", "term", "tf")._jdf.queryExecution().optimizedPlan().toString()
     assert counted.count("Aggregate [") == 1, "only the sizes of the categories are aggregated"
+
+
+def test_embedding_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "x", "a b"), (2, None, "")], "id long, category string, text string")
+    kept, plain = R.hash_embedding(docs, keep=["category"]), R.hash_embedding(docs)
+    assert {(r.id, r.category) for r in kept.collect()} == {(1, "x"), (2, None)} and kept.drop("category").collect() == plain.collect()
