@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def tasks_of(df: DataFrame) -> int:
+    """Tasks for work that is large beside its bytes."""
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def best_per(df: DataFrame, key: Sequence[str], order: Column, values: Sequence[str]) -> DataFrame:
     """The values of the row that comes first in ``order`` (a struct) within each key."""
     return df.groupBy(*key).agg(*[F.min_by(v, order).alias(v) for v in values])

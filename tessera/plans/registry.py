@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.relations import tasks_of
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -40,3 +42,12 @@ def checkpoints(spark: SparkSession) -> None:
     """Makes ``checkpoint()`` usable."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores: a table of a few MB is read by one task, whatever is done with its rows.
+
+    The checkpoint keeps the optimizer from moving later conditions back into that one task.
+    """
+    checkpoints(rows.sparkSession)
+    return rows.repartition(tasks_of(rows)).checkpoint()

@@ -8,6 +8,7 @@ import pandas as pd
 from tessera.functions import text as T
 from tessera.operators import entity as E
 from tessera.operators import retrieval as R
+from tessera.plans import ingestion as I
 from tessera.plans import matching as M
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,13 @@ def test_embedding_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "x", "a b"), (2, None, "")], "id long, category string, text string")
     kept, plain = R.hash_embedding(docs, keep=["category"]), R.hash_embedding(docs)
     assert {(r.id, r.category) for r in kept.collect()} == {(1, "x"), (2, None)} and kept.drop("category").collect() == plain.collect()
+
+
+def test_names_are_read_once_and_by_all_cores(spark, tmp_path):
+    spark.range(1, 40_001, 8).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 40_001, 8).selectExpr("id as l_orderkey", "1 as l_linenumber", "id as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for q, n in ((I.text_hardware_families, None), (I.join_hardware_families, 8)):
+        out = q(spark, str(tmp_path))
+        assert "regexp_extract_all" in (plan := out._jdf.queryExecution().optimizedPlan().toString())
+        assert not [line for line in plan.split("\n") if "regexp_extract_all" in line and "p_partkey" in line], "no pattern meets a row of the table"
+        assert out.count() == 5000 and (n is None or {r.products for r in out.collect()} == {n})
