@@ -1,12 +1,15 @@
 """Steps whose memory has to stay bounded while tables grow."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 
 from tessera.functions import text as T
 from tessera.operators import entity as E
+from tessera.operators import metrics as X
 from tessera.operators import retrieval as R
 from tessera.plans import ingestion as I
 from tessera.plans import matching as M
@@ -53,3 +56,16 @@ def test_names_are_read_once_and_by_all_cores(spark, tmp_path):
         assert "regexp_extract_all" in (plan := out._jdf.queryExecution().optimizedPlan().toString())
         assert not [line for line in plan.split("\n") if "regexp_extract_all" in line and "p_partkey" in line], "no pattern meets a row of the table"
         assert out.count() == 5000 and (n is None or {r.products for r in out.collect()} == {n})
+
+
+def test_grouped_draws_gather_rows_once(spark):
+    rows = pd.DataFrame({"g": [3, 10, 3, 7, 1, 10, 2, 7], "v": [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0]})
+    parts = [g for _, g in sorted(rows.groupby("g"), key=lambda x: str(x[0]))]
+    draws = [np.random.default_rng([5, i]).integers(0, len(parts), len(parts)) for i in range(40)]
+    want = np.quantile([pd.concat([parts[j] for j in d])["v"].mean() for d in draws], [0.025, 0.975])
+    got = X.grouped_bootstrap(spark.createDataFrame(rows), "g", lambda d: float(d["v"].mean()), ["v"], 40, seed=5).collect()[0]
+    assert np.allclose([got.low, got.high], want) and got.groups == 5
+    many = spark.range(50_000).selectExpr("id as g", "double(id) as v")
+    began = time.time()
+    assert X.grouped_bootstrap(many, "g", lambda d: float(d["v"].mean()), ["v"], 64).collect()[0].groups == 50_000
+    assert time.time() - began < 60
