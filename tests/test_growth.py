@@ -58,6 +58,16 @@ def test_names_are_read_once_and_by_all_cores(spark, tmp_path):
         assert out.count() == 5000 and (n is None or {r.products for r in out.collect()} == {n})
 
 
+def test_pairs_are_met_and_judged_by_all_tasks(spark):
+    plan = E.block_pairs(*M.listings(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3 and "Scan parquet" not in plan
+
+
+def test_matched_reads_the_pairs_once(spark):
+    plan = E.matched(*(sides := M.listings(spark, SF)), spark.range(0).selectExpr("id as l_id", "id as p_id", "0.5D as score", "false as conflict"))._jdf.queryExecution().optimizedPlan().toString()
+    assert sides and plan.count("Range (0, 0") == 1
+
+
 def test_grouped_draws_gather_rows_once(spark):
     rows = pd.DataFrame({"g": [3, 10, 3, 7, 1, 10, 2, 7], "v": [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0]})
     parts = [g for _, g in sorted(rows.groupby("g"), key=lambda x: str(x[0]))]
