@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators.relations import tasks_of
 from tessera.operators.review import SAID, examined
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -155,13 +156,25 @@ def leased(stream: DataFrame, required: int = 1, time: str = "at_time", delay: s
 def replayed(events: DataFrame, required: int = 1) -> DataFrame:
     """The same outcomes from a log at rest; of the leases that ran out, those that a later event of the task met.
 
-    A task's events follow one another by nature, so a task is one group; its state is as small as in the stream.
+    A task's events follow one another by nature, so they are in one partition, one after the other; its state is as
+    small as in the stream, and no task's log is held whole.
     """
 
-    def play(key: tuple, log: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_played(key[0], log, [], required)[0])
+    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, leases = None, []
+        for log in frames:
+            out = []
+            columns = (log[c].to_numpy(object, na_value=None) for c in ("task", "event_id", "kind", "reviewer", "at", "seconds"))
+            for name, event, kind, reviewer, at, seconds in zip(*columns, strict=True):
+                if name != task:
+                    task, leases = name, []
+                outcome, gone = lease_step(leases, kind, reviewer, int(at), None if seconds is None else int(seconds), required)
+                out += [(name, None, who, until, "expired") for who, until in gone]
+                out.append((name, event, reviewer, int(at), outcome))
+            yield _frame(out)
 
-    return events.groupBy("task").applyInPandas(play, OUT)
+    rows = events.select("task", "event_id", "kind", "reviewer", "at", "seconds").repartition(tasks_of(events), "task")
+    return rows.sortWithinPartitions("task", "at", "event_id").mapInPandas(play, OUT)
 
 
 def with_store(spark: SparkSession, run: Callable[[], None]) -> None:

@@ -151,3 +151,16 @@ def test_a_timer_of_the_clock_returns_the_task(spark, tmp_path):
 
     S.with_store(spark, run)
     assert {(r.event_id, r.outcome) for r in spark.read.parquet(f"{base}/out").collect()} == {(1, "granted"), (2, "held"), (None, "expired")}
+
+
+def test_replay_holds_no_log_of_a_task_whole(spark):
+    rows, df = events(spark, n=300, seed=2)
+    leases = {}
+    want = {(task, i, S.lease_step(leases.setdefault(task, []), kind, who, at, seconds, 2)[0]) for task, i, kind, who, at, seconds in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = S.replayed(df.withColumn("seconds", F.expr("if(event_id = 0, null, seconds)")), 2)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.task, r.event_id, r.outcome) for r in got.where("event_id > 0").collect()} >= {x for x in want if x[0] != rows[0][0]}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
