@@ -164,3 +164,29 @@ def test_replay_holds_no_log_of_a_task_whole(spark):
         assert {(r.task, r.event_id, r.outcome) for r in got.where("event_id > 0").collect()} >= {x for x in want if x[0] != rows[0][0]}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_decisions_shuffle_the_log_once_and_no_repeated_pairs(spark):
+    queue = R.queued(spark.range(5).selectExpr("'v' as data_version", "string(id) as listing_id", "'p' as product_id", "0.5D as blocking_score", "array('brand') as blocking_reasons", "'t' as title"), SHOWN)
+    log = queue.select(F.lit(1).cast("long").alias("seq"), "queue_item_id", "snapshot_sha256", F.lit("SKIPPED").alias("state"), F.lit(None).cast("string").alias("human_label"), F.lit("r").alias("reviewer_id"), F.lit("2024-05-01T10:00:00Z").alias("reviewed_at"), F.lit(None).cast("string").alias("note"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = R.decided(queue, log).select("seq", "queue_item_id", "outcome")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(shuffles) == 2 and "ReusedExchange" in plan and "Window" not in plan
+
+
+def test_decisions_in_batches_equal_one_log(spark, queue, tmp_path):
+    base = f"file://{tmp_path}"
+    ids = [(r.queue_item_id, r.snapshot_sha256) for r in queue.orderBy("queue_item_id").collect()]
+    rows = [(10 * k + j, i, snap if (k + j) % 5 else "x", "LABELLED", ("MATCH", "NON_MATCH")[(k + j) % 3 == 0], "r", "2024-05-01T10:00:00Z", None) for j in range(6) for k, (i, snap) in enumerate(ids)] + [(999, "erq-none", "x", "SKIPPED", None, "r", "2024-05-01T10:00:00Z", None)]
+    log = spark.createDataFrame(rows, R.DECISION)
+    for part in ("seq % 10 < 2", "seq % 10 = 2", "seq % 10 > 2"):
+        log.where(part).write.mode("append").parquet(f"{base}/log")
+        S.decide_new(spark, f"{base}/log", queue, f"{base}/out", f"{base}/state")
+    got = {(r.seq, r.queue_item_id, r.outcome) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {(r.seq, r.queue_item_id, r.outcome) for r in R.decided(queue, log).collect()} and len(got) == len(rows)
