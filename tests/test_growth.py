@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import entity as E
@@ -79,3 +80,10 @@ def test_grouped_draws_gather_rows_once(spark):
     began = time.time()
     assert X.grouped_bootstrap(many, "g", lambda d: float(d["v"].mean()), ["v"], 64).collect()[0].groups == 50_000
     assert time.time() - began < 60
+
+
+def test_plain_texts_stay_out_of_python(spark):
+    docs = spark.createDataFrame([(1, "Ab c-D"), (2, "ＡＢ ﬁx Straße"), (3, None), (4, "")], "id long, text string").select("id", T.search_terms(F.col("text")).alias("t"))
+    assert {r.id: r.t for r in docs.collect()} == {1: ["ab", "c-d"], 2: ["ab", "fix", "strasse"], 3: [], 4: []}
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "search_normalised(CASE WHEN" in plan and "octet_length" in plan
