@@ -36,22 +36,23 @@ def log_odds(score: Column) -> Column:
 def fit_platt(rows: DataFrame, score: str = "score", label: str = "label") -> Platt:
     """Slope and offset of least log loss against smoothed targets, by Newton's method.
 
-    A step is one aggregation of five sums, whatever the number of rows.  The targets are (n + 1) / (n + 2) and
+    A step is one aggregation of five sums over the distinct pairs of score and label.  The targets are (n + 1) / (n + 2) and
     1 / (n + 2) of each class, so that separable labels have a finite fit; ValueError without both labels.
     """
     own = rows.where(f"{score} is not null and {label} is not null").select(log_odds(F.col(score)).alias("x"), F.col(label).cast("int").alias("y"))
-    pos, neg = own.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    own = own.groupBy("x", "y").agg(F.count("*").alias("n")).checkpoint()
+    pos, neg = (int(n or 0) for n in own.agg(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.sum(F.when(F.col("y") == 0, F.col("n")))).first())
     if not pos or not neg:
         raise ValueError("both labels are needed")
     own = own.withColumn("t", F.when(F.col("y") == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2)))
     a, b, before = 0.0, math.log((pos + 1) / (neg + 1)), math.inf
-    step = (0.0, 0.0)
+    step, n = (0.0, 0.0), F.col("n")
     for _ in range(STEPS):
         z = a * F.col("x") + b
         p = 1 / (1 + F.exp(-z))
-        w = p * (1 - p)
-        loss = F.sum(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("t") * z)
-        x, d = F.col("x"), p - F.col("t")
+        w = n * p * (1 - p)
+        loss = F.sum(n * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("t") * z))
+        x, d = F.col("x"), n * (p - F.col("t"))
         now, ga, gb, haa, hab, hbb = own.agg(loss, F.sum(d * x), F.sum(d), F.sum(w * x * x), F.sum(w * x), F.sum(w)).first()
         if now > before + 1e-12 * abs(before):
             step = (step[0] / 2, step[1] / 2)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups that one evaluation may have, draws that are made at once, and the published defaults.
-UNITS, AT_ONCE = 200_000, 1 << 22
+#: Groups whose sums one task holds, draws that are made at once, and the published defaults.
+UNITS, AT_ONCE = 1 << 21, 1 << 22
 RESAMPLES, CONFIDENCE, SEED = 1000, 0.95, 20260722
 
 Sums = dict[str, np.ndarray]
@@ -84,45 +86,83 @@ def choices(n: int, count: int, bits: np.random.MT19937, held: list[np.ndarray])
     return all_[:count]
 
 
+def drawn(sums: Sums, n: int, begin: int, resamples: int, seed: int) -> Sums:
+    """What the groups from place ``begin`` on add to each resample of ``n`` groups, with replacement.
+
+    All ``n`` are drawn, so that whoever holds other groups draws the same.
+    """
+    bits, held, size = twister(seed), [], len(next(iter(sums.values())))
+    out, padded = {c: np.zeros(resamples) for c in sums}, {c: np.append(v, 0.0) for c, v in sums.items()}
+    step, stretch = max(1, AT_ONCE // n), min(n, AT_ONCE)
+    for i in range(0, resamples, step):
+        many = min(step, resamples - i)
+        for at in range(0, n, stretch):
+            pick = choices(n, many * min(stretch, n - at), bits, held).reshape(many, -1)
+            if size < n:
+                pick -= begin
+                pick[(pick < 0) | (pick > size)] = size
+            for c, v in padded.items():
+                out[c][i : i + many] += v[pick].sum(1)
+    return out
+
+
 def resampled(sums: Sums, value: Callable[[Sums], np.ndarray], resamples: int, seed: int) -> np.ndarray:
     """The statistic of each resample of as many groups as there are, with replacement."""
-    n, bits, held, out = len(next(iter(sums.values()))), twister(seed), [], []
-    step = max(1, AT_ONCE // n)
-    for i in range(0, resamples, step):
-        pick = choices(n, min(step, resamples - i) * n, bits, held).reshape(-1, n)
-        out.append(value({c: v[pick].sum(1) for c, v in sums.items()}))
-    return np.concatenate(out)
+    return value(drawn(sums, len(next(iter(sums.values()))), 0, resamples, seed))
+
+
+def placed(units: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``units`` with their ``place`` within ``by``, from 0 in ``order``, and the number of ``groups`` there.
+
+    A place is the size of the sorted ranges before its own plus that in it, so no ``by`` meets in one task.
+    """
+    dealt = units.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    of = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("size").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(*by, "part").agg(F.count("*").alias("size")).withColumns({"before": before, "groups": F.sum("size").over(of)})
+    sizes = sizes.select(*[F.col(c).alias(f"of_{c}") for c in (*by, "part")], "before", "groups")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, "part")])
+    within = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order))
+    return dealt.withColumn("within", within).join(sizes, same).select(*units.columns, (F.col("before") + F.col("within") - 1).alias("place"), "groups")
 
 
 def interval(rows: DataFrame, statistic: Statistic, group: str, order: str | None = None, by: Sequence[str] = (), resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
     """``(by..., value, low, high, groups)``: percentile interval of a statistic, whole groups drawn with replacement.
 
     Groups count in the order of their least ``order`` (the group itself, if none is given), which with the seed
-    fixes every draw.  Rows are added up by group where they are; only the groups' sums, UNITS of them at most (else
-    an error), come to the task that draws.  Resamples without a finite value are left out, and fewer than two
-    finite ones give nulls; percentiles are interpolated.
+    fixes every draw.  Rows are added up by group where they are; a task holds the sums of UNITS groups at most, and
+    what each resample draws of them is added up over the tasks.  Resamples without a finite value are left out, and
+    fewer than two finite ones give nulls; percentiles are interpolated.
     """
     if resamples < 2 or not 0 < confidence < 1:
         raise ValueError("at least two resamples and a confidence between 0 and 1 are needed")
-    names, value = list(statistic.sums), statistic.value
+    names, value, held = list(statistic.sums), statistic.value, UNITS
     kinds = dict(rows.dtypes)
     first = F.min(order or group).alias("first")
     units = rows.groupBy(*by, group).agg(first, *[statistic.sums[c].cast("double").alias(f"sum_{c}") for c in names])
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "value double, low double, high double, groups long"])
+    keys = [f"`{c}` {kinds[c]}" for c in by]
     tail = (1 - confidence) / 2
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > UNITS:
-            raise ValueError(f"{len(pdf)} groups; {UNITS} is the most")
-        pdf = pdf.sort_values(["first", group], na_position="first")
+        pdf = pdf.sort_values("place")
         sums = {c: pdf[f"sum_{c}"].fillna(0.0).to_numpy(float) for c in names}
-        found = resampled(sums, value, resamples, seed)
+        found = drawn(sums, int(pdf["groups"].iloc[0]), int(pdf["place"].iloc[0]), resamples, seed)
+        # the whole comes before the resamples
+        out = pd.DataFrame({f"sum_{c}": np.append(sums[c].sum(), found[c]) for c in names})
+        return out.assign(**{c: pdf[c].iloc[0] for c in (*by, "block", "groups")}, resample=np.arange(resamples + 1))
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "resample"])
+        all_ = {c: pdf[f"sum_{c}"].to_numpy().reshape(-1, resamples + 1).sum(0) for c in names}
+        whole, *_ = value({c: v[:1] for c, v in all_.items()})
+        found = value({c: v[1:] for c, v in all_.items()})
         found = found[np.isfinite(found)]
         low, high = np.quantile(found, [tail, 1 - tail]) if len(found) > 1 else (None, None)
-        whole = float(value({c: v.sum(keepdims=True) for c, v in sums.items()})[0])
-        return pd.DataFrame([(*(pdf[c].iloc[0] for c in by), whole, low, high, len(pdf))], columns=[*by, "value", "low", "high", "groups"])
+        return pd.DataFrame([(*(pdf[c].iloc[0] for c in by), float(whole), low, high, pdf["groups"].iloc[0])], columns=[*by, "value", "low", "high", "groups"])
 
-    return units.groupBy(*by).applyInPandas(draw, schema)
+    blocks = placed(units, by, ["first", group]).select(*by, "groups", "place", F.floor(F.col("place") / held).cast("long").alias("block"), *[f"sum_{c}" for c in names])
+    parts = blocks.groupBy(*by, "block").applyInPandas(draw, ", ".join([*keys, "block long, groups long, resample int", *(f"sum_{c} double" for c in names)]))
+    return parts.groupBy(*by).applyInPandas(finish, ", ".join([*keys, "value double, low double, high double, groups long"]))
 
 
 def claim_gate(intervals: DataFrame, least_groups: int, floor: float, least_low: float) -> DataFrame:

@@ -61,6 +61,7 @@ def metric_grouped_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def metric_published_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six statistics of a forecast of the totals per segment and priority, whole customers drawn, with what blocks a claim."""
+    checkpoints(spark)
     both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = both.select("c_mktsegment", "o_custkey", "o_orderkey", F.col("o_totalprice").alias("actual"), (F.col("c_acctbal") + 150_000).alias("predicted"))
     pair = ("actual", "predicted")

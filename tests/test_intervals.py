@@ -76,3 +76,16 @@ def test_draws_in_parts_are_the_same(monkeypatch):
     whole = V.resampled(sums, lambda t: t["s"] / t["n"], 90, 5)
     monkeypatch.setattr(V, "AT_ONCE", 100)
     assert (V.resampled(sums, lambda t: t["s"] / t["n"], 90, 5) == whole).all()
+
+
+def test_groups_beyond_one_task(spark, monkeypatch):
+    df = spark.range(700).selectExpr("if(id % 7 = 0, null, id % 2) as side", "id div 2 as g", "id as i", "double(id % 13) as y", "1.0D as p")
+    cases = [(V.mean("y"), ["side"]), (V.pooled_ratio("y", "p"), []), (V.determination("y", "p"), ["side"])]
+    want = [V.interval(df, s, "g", "i", by, resamples=40).collect() for s, by in cases]
+    monkeypatch.setattr(V, "UNITS", 64)
+    monkeypatch.setattr(V, "AT_ONCE", 100)
+    for (s, by), rows in zip(cases, want):
+        got = V.interval(df, s, "g", "i", by, resamples=40)
+        key = lambda r: str(r[0])
+        for a, b in zip(sorted(got.collect(), key=key), sorted(rows, key=key), strict=True):
+            assert a[: len(by)] == b[: len(by)] and a.groups == b.groups > 64 and a[len(by) : -1] == pytest.approx(b[len(by) : -1])
