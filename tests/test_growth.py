@@ -1,5 +1,6 @@
 """Steps whose memory has to stay bounded while tables grow."""
 
+import hashlib
 import random
 import time
 from difflib import SequenceMatcher
@@ -87,3 +88,40 @@ def test_plain_texts_stay_out_of_python(spark):
     assert {r.id: r.t for r in docs.collect()} == {1: ["ab", "c-d"], 2: ["ab", "fix", "strasse"], 3: [], 4: []}
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     assert "search_normalised(CASE WHEN" in plan and "octet_length" in plan
+
+
+def plain_embedding(words, dim=512):
+    out, joined = np.zeros(dim, np.float32), "".join(words)
+    for weight, features in ((1.0, [f"w:{w}" for w in words]), (1.35, [f"b:{a}_{b}" for a, b in zip(words, words[1:])]), (0.2, [f"c:{joined[i : i + 4]}" for i in range(len(joined) - 3)])):
+        for f in features:
+            digest = hashlib.sha256(f.encode()).digest()
+            out[int.from_bytes(digest[:8], "big") % dim] += np.float32(weight if digest[8] & 1 else -weight)
+    norm = float(np.linalg.norm(out))
+    return (out / np.float32(norm) if norm else out).tolist(), norm
+
+
+def test_embedding_is_that_of_each_feature_in_turn(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = ["", "a", "ab cd", *(" ".join("".join(draw.choices("abc{}1", k=draw.randint(1, 6))) for _ in range(draw.randint(1, 80))) for _ in range(30))]
+    monkeypatch.setattr(R, "REMEMBERED", 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = {r.id: r.w for r in docs.select("id", T.search_terms(F.col("text")).alias("w")).collect()}
+    assert {r.id: (r.vector, r.norm) for r in R.hash_embedding(docs).collect()} == {i: plain_embedding(w) for i, w in words.items()}
+
+
+def test_allowed_pairs_are_compared_in_products_and_not_broadcast(spark):
+    draw = random.Random(6)
+    vector = lambda: [float(draw.randint(-3, 3)) for _ in range(4)]
+    vectors = [(i, "xy"[i % 2], vector() if i % 9 else None) for i in range(60)]
+    queries = [(f"q{i}", vector()) for i in range(4)] + [("q4", [0.0] * 4)]
+    pairs = [(f"q{draw.randrange(6)}", draw.randrange(70)) for _ in range(150)]
+    v, q, p = (spark.createDataFrame(r, s) for r, s in ((vectors, "id long, category string, vector array<float>"), (queries, "query_id string, vector array<float>"), (pairs, "query_id string, id long")))
+    found = R.cosine_search(v, q, 3, p)
+    unit = lambda x: np.zeros(4) if x is None or not any(x) else np.array(x) / np.linalg.norm(x)
+    want = set()
+    for name, x in queries:
+        for kind in "xy":
+            rows = sorted((-round(float(unit(x) @ unit(y)), 9) + 0.0, i) for i, c, y in vectors if c == kind and (name, i) in set(pairs))[:3]
+            want |= {(name, kind, i, rank, -s + 0.0) for rank, (s, i) in enumerate(rows, 1)}
+    assert {(r.query_id, r.category, r.id, r.rank, r.score + 0.0) for r in found.collect()} == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
