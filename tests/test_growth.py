@@ -7,11 +7,13 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import entity as E
 from tessera.operators import metrics as X
+from tessera.operators import performance as G
 from tessera.operators import retrieval as R
 from tessera.plans import ingestion as I
 from tessera.plans import matching as M
@@ -125,3 +127,20 @@ def test_allowed_pairs_are_compared_in_products_and_not_broadcast(spark):
             want |= {(name, kind, i, rank, -s + 0.0) for rank, (s, i) in enumerate(rows, 1)}
     assert {(r.query_id, r.category, r.id, r.rank, r.score + 0.0) for r in found.collect()} == want
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cross_validation_reads_the_rows_twice(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = spark.range(300).selectExpr("id % 3 as fold", "double(id % 17) as a", "double(id * 7 % 31) / 10 as b", "4.0D as c", "double(id % 17) * 3 - double(id * 7 % 31) + double(id * 13 % 11) as y").checkpoint()
+    features = ["a", "b", "c"]
+    found = {r.penalty: r.mae for r in G.cross_validated(rows, features, "y", "fold", [0.0, 2.0, 50.0]).collect()}
+    data, judge = VectorAssembler(inputCols=features, outputCol="v").transform(rows), RegressionEvaluator(labelCol="y", metricName="mae")
+    for penalty, mae in found.items():
+        model = LinearRegression(labelCol="y", featuresCol="v", elasticNetParam=0.0, regParam=penalty)
+        assert abs(mae - np.mean([judge.evaluate(model.fit(data.where(f"fold <> {i}")).transform(data.where(f"fold = {i}"))) for i in range(3)])) < 1e-6  # Spark iterates where a column is constant
+    for bad in (rows.withColumn("b", F.when(F.col("b") > 1, F.col("b"))), rows.where("fold <> 1")):
+        with pytest.raises(ValueError):
+            G.cross_validated(bad, features, "y", "fold", [0.0])
