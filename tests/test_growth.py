@@ -144,3 +144,9 @@ def test_cross_validation_reads_the_rows_twice(spark):
     for bad in (rows.withColumn("b", F.when(F.col("b") > 1, F.col("b"))), rows.where("fold <> 1")):
         with pytest.raises(ValueError):
             G.cross_validated(bad, features, "y", "fold", [0.0])
+
+
+def test_texts_to_embed_are_dealt_out(spark):
+    docs = spark.range(40).selectExpr("id", "'ab cd' as text").coalesce(1)
+    plan = R.hash_embedding(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.index("MapInPandas") < plan.index("REPARTITION_BY_NUM")
