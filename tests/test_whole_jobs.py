@@ -1,5 +1,8 @@
 """Queries that have to read all of their tables, and steps that may leave nothing out."""
 
+from tests.test_builds import KINDS, POOL, plain, pools
+
+from tessera.operators import optimizer as O
 from tessera.plans import ingestion as I
 
 
@@ -9,3 +12,14 @@ def test_every_family_of_the_table_is_joined(spark, tmp_path):
     got = {r.l_orderkey: r.products for r in I.join_hardware_families(spark, str(tmp_path)).collect()}
     # Radeon VII has no number, so all its products are one family; names without a family meet nothing
     assert got == {k: 2 if k % 8 == 5 else 1 for k in range(5_000, 5_016) if k % 8 in (1, 2, 3, 5, 6)}
+
+
+def test_no_partial_build_is_cut(spark, monkeypatch):
+    rows, pairs = pools(7, requests=2, n=5)
+    limits, profiles = O.Limits(60_000, base_watts=40, headroom_percent=25, supply="psu"), ["best_value", "lowest_power"]
+    for name in ("BEAM", "MOST"):
+        monkeypatch.setattr(O, name, 1, raising=False)
+    monkeypatch.setattr(O.choose, "__defaults__", tuple(1 if d == 50_000 else d for d in O.choose.__defaults__))  # what the cap was
+    got = O.choose(spark.createDataFrame(rows, POOL), KINDS, limits, profiles, spark.createDataFrame(pairs, "request_id int, left_id int, right_id int, penalty long")).collect()
+    assert sorted((r.request_id, r.profile, r.place, r.objective, r.price_cents, tuple(r.ids), r.load_watts) for r in got) == sorted(plain(rows, pairs, [], limits, profiles, 2))
+    assert all(r.proved for r in got)
